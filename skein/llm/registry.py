@@ -7,6 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .simhash import op1_simhash_near_dedup
 from .url_filter import OP5_SQL, op5_url_filter
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
@@ -16,8 +17,9 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_url_filter": op5_url_filter,
         "op7_decontaminate": op7_decontaminate,
+        "op8_warc": op8_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL}
