@@ -5,7 +5,9 @@ from __future__ import annotations
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .quality_crf import op3_quality
 from .simhash import op1_simhash_near_dedup
+from .toxicity import op10_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 from .warc import OP8_SQL, op8_warc
 
@@ -14,10 +16,12 @@ def queries() -> dict:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_line_dedup": op2_line_dedup,
+        "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_url_filter": op5_url_filter,
         "op7_decontaminate": op7_decontaminate,
         "op8_warc": op8_warc,
+        "op10_toxicity": op10_toxicity,
     }
 
 
