@@ -6,6 +6,7 @@ from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .quality_crf import op3_quality
+from .recurrent_lm import op9_lm_scoring
 from .simhash import op1_simhash_near_dedup
 from .toxicity import op10_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op5_url_filter": op5_url_filter,
         "op7_decontaminate": op7_decontaminate,
         "op8_warc": op8_warc,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_toxicity": op10_toxicity,
     }
 
