@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .mixing import op6_mixing
 from .quality_crf import op3_quality
 from .recurrent_lm import op9_lm_scoring
 from .simhash import op1_simhash_near_dedup
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_url_filter": op5_url_filter,
+        "op6_mixing": op6_mixing,
         "op7_decontaminate": op7_decontaminate,
         "op8_warc": op8_warc,
         "op9_lm_scoring": op9_lm_scoring,

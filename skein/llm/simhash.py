@@ -22,6 +22,13 @@ from .components import components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
+#: Of copies found by their word sets: seeds of the fingerprints, each of which
+#: finds most, and the most differing bits of the shingle fingerprints.  Texts
+#: with a Jaccard similarity of 0.8 differ in about ten bits there, unrelated
+#: ones in about 32.
+WORD_SEEDS = (1, 2)
+WORD_BITS = 5
+CHECK_BITS = 13
 #: (offset, width) of the segments: MAX_BITS differing bits leave at most one
 #: in some segment, as three segments with two each would make six.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -61,20 +68,37 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; null texts have no words."""
+def word_fingerprint(text: str | None, seed: int) -> int:
+    """64-bit SimHash over the distinct words; no words: 0.
+
+    A changed word moves one feature here, but four of a shingle fingerprint,
+    so near copies stay close; it says nothing of the order of words.
+    """
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return 0
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(seed)), np.uint64, len(words))
+    return int(np.packbits(_ones(h) * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_seeds: tuple[int, ...] = ()
+) -> DataFrame:
+    """(doc_id, fp, w0, w1, ...) of each row; null texts have no words."""
     small_batches(docs.sparkSession)
+    names = ["fp", *(f"w{i}" for i in range(len(word_seeds)))]
 
-    @F.arrow_udf("bigint")
-    def fp(texts: pa.Array) -> pa.Array:
-        found = [fingerprint(t) for t in texts.to_pylist()]
-        return pa.array(np.array(found, np.uint64).view(np.int64))
+    @F.arrow_udf(f"struct<{','.join(f'{x}:bigint' for x in names)}>")
+    def all_of(texts: pa.Array) -> pa.Array:
+        texts = texts.to_pylist()
+        found = [[fingerprint(t) for t in texts], *([word_fingerprint(t, s) for t in texts] for s in word_seeds)]
+        return pa.StructArray.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in found], names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), all_of(F.col(text_col)).alias("f")).select("doc_id", "f.*")
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
-    """(key, bit, fp, rep): a row for each wiped-out bit.
+    """(key, bit, fp, rep, chk): a row for each wiped-out bit.
 
     bit is the wiped bit.  The key holds it, and the segment's other bits.
     """
@@ -86,8 +110,8 @@ def _keyed(reps: DataFrame) -> DataFrame:
     masks = [((1 << w) - 1) << o for o, w in SEGMENTS]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     kept = F.col("fp").bitwiseAND(case(masks)).bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)")))
-    return reps.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
-        F.xxhash64("bit", kept).alias("key"), "bit", "fp", "rep"
+    return reps.select("fp", "rep", "chk", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
+        F.xxhash64("bit", kept).alias("key"), "bit", "fp", "rep", "chk"
     )
 
 
@@ -110,21 +134,23 @@ def _keyed_again(rows: DataFrame) -> DataFrame:
     table = F.when(F.col("bit") < SEGMENTS[1][0], tables[0]).when(
         F.col("bit") < SEGMENTS[2][0], tables[1]
     ).otherwise(tables[2])
-    return rows.select("key", "fp", "rep", F.explode(table).alias("c")).select(
+    return rows.select("key", "fp", "rep", "chk", F.explode(table).alias("c")).select(
         F.xxhash64(
             "key", F.col("c.b"), F.expr("fp & c.m & ~shiftleft(1L, c.b)")
         ).alias("key"),
         F.col("c.b").alias("bit"),
         "fp",
         "rep",
+        "chk",
     )
 
 
-def links_of_run(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+def links_of_run(fps: np.ndarray, near) -> list[tuple[int, int]]:
     """Index pairs that join what can be joined among fps: a spanning forest.
 
-    A breadth-first search: each reached fingerprint is compared with those not
-    reached yet, so a dense group costs little more than one pass.
+    near(i, js) tells which of js are near i.  A breadth-first search: each
+    reached fingerprint is compared with those not reached yet, so a dense
+    group costs little more than one pass.
     """
     left = np.arange(len(fps))
     out = []
@@ -132,26 +158,24 @@ def links_of_run(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= max_bits
-            if near.any():
-                hit = left[near]
+            hits = near(at, left)
+            if hits.any():
+                hit = left[hits]
                 out += [(at, x) for x in hit.tolist()]
                 todo += hit.tolist()
-                left = left[~near]
+                left = left[~hits]
     return out
 
 
-def _linker(max_bits: int, max_bucket: int | None):
+def _linker(max_bits: int, check_bits: int, max_bucket: int | None):
     """Over rows sorted by key: links (kind 0), and rows of too large keys (kind 1)."""
-    names = ["kind", "u", "v", "key", "bit"]
+    names = ["kind", "u", "v", "key", "bit", "chk"]
 
-    def batch(kind, u, v, key=None, bit=None):
-        n = len(u)
-        zero = np.zeros(n, np.int64)
-        cols = [np.full(n, kind, np.int64), u, v, zero if key is None else key, zero if bit is None else bit]
-        return pa.record_batch([pa.array(np.asarray(c, np.int64)) for c in cols], names)
+    def batch(kind, u, v, *rest):
+        rest = rest or [np.zeros(len(u), np.int64)] * 3
+        return pa.record_batch([pa.array(np.asarray(c, np.int64)) for c in (np.full(len(u), kind), u, v, *rest)], names)
 
-    def solve(k, f, r):
+    def solve(k, f, r, c):
         """Links among the whole keys of a block."""
         edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[edge, len(k)])
@@ -163,10 +187,15 @@ def _linker(max_bits: int, max_bucket: int | None):
             if not len(i):
                 break
             i = i[np.bitwise_count(f[i] ^ f[i + d]) <= max_bits]
+            i = i[np.bitwise_count(c[i] ^ c[i + d]) <= check_bits]
             us.append(r[i])
             vs.append(r[i + d])
         for at, n in zip(edge[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
-            found = links_of_run(f[at : at + n], max_bits)
+            ff, cc = f[at : at + n], c[at : at + n]
+            near = lambda i, js: (
+                (np.bitwise_count(ff[js] ^ ff[i]) <= max_bits) & (np.bitwise_count(cc[js] ^ cc[i]) <= check_bits)  # noqa: B023
+            )
+            found = links_of_run(ff, near)
             if found:
                 pairs = np.array(found)
                 us.append(r[at + pairs[:, 0]])
@@ -178,51 +207,54 @@ def _linker(max_bits: int, max_bucket: int | None):
         held = None  # the rows of the last key so far
         large = None  # a key that goes on to the next round
         for b in batches:
-            k, bit, f, r = (np.asarray(b.column(i)) for i in range(4))
-            f = f.view(np.uint64)
+            k, bit, f, r, c = (np.asarray(b.column(i)) for i in range(5))
+            f, c = f.view(np.uint64), c.view(np.uint64)
             if large is not None:
                 n = int(np.searchsorted(k != large, True))
-                yield batch(1, f[:n].view(np.int64), r[:n], k[:n], bit[:n])
-                k, bit, f, r = k[n:], bit[n:], f[n:], r[n:]
+                yield batch(1, f[:n].view(np.int64), r[:n], k[:n], bit[:n], c[:n].view(np.int64))
+                k, bit, f, r, c = k[n:], bit[n:], f[n:], r[n:], c[n:]
                 if not len(k):
                     continue
                 large = None
             if held is not None:
-                k, bit, f, r = (np.concatenate(x) for x in zip(held, (k, bit, f, r), strict=True))
+                k, bit, f, r, c = (np.concatenate(x) for x in zip(held, (k, bit, f, r, c), strict=True))
             cut = len(k) - int(np.searchsorted(k[::-1] != k[-1], True))
             if cut:
-                yield from solve(k[:cut], f[:cut], r[:cut])
-            held = k[cut:], bit[cut:], f[cut:], r[cut:]
+                yield from solve(k[:cut], f[:cut], r[:cut], c[:cut])
+            held = k[cut:], bit[cut:], f[cut:], r[cut:], c[cut:]
             if max_bucket and len(held[0]) > max_bucket:
                 large = held[0][0]
-                yield batch(1, held[2].view(np.int64), held[3], held[0], held[1])
+                yield batch(1, held[2].view(np.int64), held[3], held[0], held[1], held[4].view(np.int64))
                 held = None
         if held is not None and len(held[0]):
-            yield from solve(held[0], held[2], held[3])
+            yield from solve(held[0], held[2], held[3], held[4])
 
     return run
 
 
-def fingerprint_links(reps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(u, v): links that connect what pairs of (fp, rep) within max_bits connect.
+def fingerprint_links(
+    reps: DataFrame, max_bits: int = MAX_BITS, check_bits: int = 64, max_bucket: int = MAX_BUCKET
+) -> DataFrame:
+    """(u, v): links that connect what pairs of (fp, rep, chk) rows connect.
 
-    reps holds distinct fingerprints; u and v are rep values.  Keys of more
-    than max_bucket rows are cut again on their remaining bits, on which the
-    same argument about three segments holds; no pair is lost.
+    A pair is linked if its fp differ in at most max_bits bits and its chk in
+    at most check_bits; u and v are rep values.  Keys of more than max_bucket
+    rows are cut again on their remaining bits, on which the same argument
+    about three segments holds; no pair is lost.
     """
-    if max_bits > MAX_BITS:
-        raise ValueError("three segments find at most four differing bits")
-    form = "kind bigint, u bigint, v bigint, key bigint, bit bigint"
+    if max_bits > 5:
+        raise ValueError("three segments find at most five differing bits")
+    form = "kind bigint, u bigint, v bigint, key bigint, bit bigint, chk bigint"
 
     def solved(keyed, limit, name):
-        keyed = keyed.select("key", F.col("bit").cast("bigint"), "fp", "rep")
+        keyed = keyed.select("key", F.col("bit").cast("bigint"), "fp", "rep", "chk")
         dealt = keyed.repartition("key").sortWithinPartitions("key")
-        return settle(dealt.mapInArrow(_linker(max_bits, limit), form), name)
+        return settle(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form), name)
 
     found = solved(_keyed(reps), max_bucket, "links")
     links = found.where("kind = 0").select("u", "v")
     more = found.where("kind = 1").select(
-        F.col("u").alias("fp"), F.col("v").alias("rep"), "key", F.col("bit").cast("int").alias("bit")
+        F.col("u").alias("fp"), F.col("v").alias("rep"), "chk", "key", F.col("bit").cast("int").alias("bit")
     )
     if not more.isEmpty():
         again = solved(_keyed_again(more), None, "links")
@@ -231,7 +263,12 @@ def fingerprint_links(reps: DataFrame, max_bits: int = MAX_BITS, max_bucket: int
 
 
 def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_bits: int = MAX_BITS,
+    word_bits: int | None = None,
+    check_bits: int = CHECK_BITS,
 ) -> DataFrame:
     """(doc_id, fp, component_id) of each row.
 
@@ -240,25 +277,42 @@ def near_components(
     Texts without words share fingerprint 0 and are linked like others.  Rows
     that repeat an id are one node.  A null id takes part in no search: its row
     gets the component of its fingerprint, or null if no row with an id has it.
+
+    With word_bits, rows are linked as well if the fingerprints of their word
+    sets differ in at most word_bits bits and those of their shingles in at
+    most check_bits.  That finds copies with a few changed words, whose
+    shingle fingerprints alone are too far apart to search for.
     """
-    rows = settle(fingerprints(docs, id_col, text_col), "fingerprints")
+    seeds = WORD_SEEDS if word_bits is not None else ()
+    rows = settle(fingerprints(docs, id_col, text_col, seeds), "fingerprints")
+    prints = ["fp", *(f"w{i}" for i in range(len(seeds)))]
     reps = settle(
-        rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives"
+        rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("rep")), "representatives"
     )
-    links = fingerprint_links(reps, max_bits)
+    own = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
+    links = fingerprint_links(own.withColumn("chk", F.lit(0).cast("bigint")), max_bits)
+    if seeds:
+        # Equal fp under other word sets: one link to their least.
+        links = links.unionByName(
+            reps.select("fp", F.col("rep").alias("v")).join(own, "fp").where("rep < v").select(F.col("rep").alias("u"), "v")
+        )
+        for w in prints[1:]:
+            links = links.unionByName(
+                fingerprint_links(reps.select(F.col(w).alias("fp"), "rep", F.col("fp").alias("chk")), word_bits, check_bits)
+            )
     # A repeated id with two texts connects their fingerprints.
     twice = (
         rows.where("doc_id IS NOT NULL")
-        .join(reps, "fp")
+        .join(reps, prints)
         .groupBy("doc_id")
         .agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
         .where("u < v")
     )
     parts = components(links.unionByName(twice.select("u", "v")))
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+        *prints, F.coalesce("component", "rep").alias("component_id")
     )
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(named, prints, "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

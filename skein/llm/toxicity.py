@@ -25,8 +25,8 @@ ORDER = 5
 SHARED = 2
 DISCOUNT = 0.75
 #: Bounds of the labelled sample, for each label: documents, bytes of text.
-SAMPLE_DOCS = 4000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_DOCS = 2500
+SAMPLE_BYTES = 10 << 20
 THRESHOLD = 0.3
 FOLDS = 2
 #: Distinct words that a worker keeps scores of.
@@ -66,18 +66,20 @@ class SpellingModel:
         self.order = order
         codes, word = _codes(words)
         weight = counts[word].astype(np.float64)
-        grams = {n: (h, ok) for n, h, ok in _grams(codes, word, order)}
         first = np.arange(len(codes)) - np.searchsorted(word, word)
         self.tables = []
-        for n in range(1, order + 1):
-            h, ok = grams[n]
+        # Three orders at a time: a gram, its context, and what continues it.
+        grams = _grams(codes, word, order)
+        before, now, after = None, next(grams), next(grams, None)
+        while now:
+            n, h, ok = now
             keys, at = np.unique(h[ok], return_inverse=True)
             full = np.zeros((len(keys), 2))
             for c in (0, 1):
                 full[:, c] = np.bincount(at, weight[ok, c], len(keys))
             if n < order:
                 # Continuation counts, but at the start of a word, where nothing can precede.
-                longer, whole = grams[n + 1]
+                _, longer, whole = after
                 _, one, where = np.unique(longer[whole], return_index=True, return_inverse=True)
                 of = np.searchsorted(keys, h[whole][one])
                 left = np.zeros((len(keys), 2))
@@ -93,7 +95,7 @@ class SpellingModel:
             where_ok = np.flatnonzero(ok)
             some = np.full(len(keys), -1)
             some[at] = where_ok
-            context = grams[n - 1][0][some - 1] if n > 1 else np.zeros(len(keys), np.uint64)
+            context = before[1][some - 1] if n > 1 else np.zeros(len(keys), np.uint64)
             ckeys, cat = np.unique(context, return_inverse=True)
             total, kinds = np.zeros((len(ckeys), 2)), np.zeros((len(ckeys), 2))
             for c in (0, 1):
@@ -102,6 +104,7 @@ class SpellingModel:
             kept = np.maximum(full - DISCOUNT, 0) / np.maximum(total[cat], 1)
             rest = np.where(total > 0, np.minimum(1, DISCOUNT * kinds / np.maximum(total, 1)), 1)
             self.tables.append((keys, kept.astype(np.float32), ckeys, rest.astype(np.float32)))
+            before, now, after = now, after, next(grams, None)
         self.floor = 1 / 2048  # of any code, where even the shortest context says nothing
 
     def margins(self, words: list[str]) -> np.ndarray:
