@@ -25,8 +25,8 @@ ORDER = 5
 SHARED = 2
 DISCOUNT = 0.75
 #: Bounds of the labelled sample, for each label: documents, bytes of text.
-SAMPLE_DOCS = 2500
-SAMPLE_BYTES = 10 << 20
+SAMPLE_DOCS = 1200
+SAMPLE_BYTES = 3 << 20
 THRESHOLD = 0.3
 FOLDS = 2
 #: Distinct words that a worker keeps scores of.
@@ -39,7 +39,13 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words, each between a start 2 and an end 3; and their word numbers."""
     text = "".join(["\x02" + w + "\x03" for w in words])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return codes, np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    return codes, np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
+
+
+def _places(word: np.ndarray) -> np.ndarray:
+    """How far each code is from its word's start."""
+    edge = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    return np.arange(len(word), dtype=np.int32) - np.repeat(edge.astype(np.int32), np.diff(np.r_[edge, len(word)]))
 
 
 def _grams(codes: np.ndarray, word: np.ndarray, order: int):
@@ -47,7 +53,7 @@ def _grams(codes: np.ndarray, word: np.ndarray, order: int):
 
     A gram never leaves its word, and never ends at the start sign.
     """
-    place = np.arange(len(codes)) - np.searchsorted(word, word)
+    place = _places(word)
     mixed = (codes + np.uint64(1)) * _MIX
     mixed ^= mixed >> np.uint64(31)
     h = np.zeros(len(codes), np.uint64)
@@ -65,8 +71,8 @@ class SpellingModel:
         """counts: (len(words), 2), how often each class has each word."""
         self.order = order
         codes, word = _codes(words)
-        weight = counts[word].astype(np.float64)
-        first = np.arange(len(codes)) - np.searchsorted(word, word)
+        counts = counts.astype(np.float32)
+        first = _places(word)
         self.tables = []
         # Three orders at a time: a gram, its context, and what continues it.
         grams = _grams(codes, word, order)
@@ -76,7 +82,7 @@ class SpellingModel:
             keys, at = np.unique(h[ok], return_inverse=True)
             full = np.zeros((len(keys), 2))
             for c in (0, 1):
-                full[:, c] = np.bincount(at, weight[ok, c], len(keys))
+                full[:, c] = np.bincount(at, counts[word[ok], c], len(keys))
             if n < order:
                 # Continuation counts, but at the start of a word, where nothing can precede.
                 _, longer, whole = after
@@ -84,7 +90,7 @@ class SpellingModel:
                 of = np.searchsorted(keys, h[whole][one])
                 left = np.zeros((len(keys), 2))
                 for c in (0, 1):
-                    has = np.bincount(where, weight[whole, c], len(one)) > 0
+                    has = np.bincount(where, counts[word[whole], c], len(one)) > 0
                     left[:, c] = np.bincount(of, has, len(keys))
                 starts = np.zeros(len(keys), bool)
                 starts[at[first[ok] == n - 1]] = True
@@ -192,14 +198,19 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
         counts = [Counter(), Counter()]
         for text, label in part:
             counts[label].update(tokens(text))
-        words = list(counts[0] | counts[1])
-        return SpellingModel(words, np.array([[counts[0][w], counts[1][w]] for w in words]).reshape(-1, 2))
+        words = list({**counts[0], **counts[1]})
+        both = np.empty((len(words), 2), np.float32)
+        for c in (0, 1):
+            both[:, c] = np.fromiter((counts[c].get(w, 0) for w in words), np.float32, len(words))
+        del counts
+        return SpellingModel(words, both)
 
     x, y = [np.zeros((0, 5))], [np.zeros(0)]
     for i in range(FOLDS):
         margins = WordMargins(spell([r for j, r in enumerate(rows) if j % FOLDS != i]))
         x.append(margins.features([t for t, _ in rows[i::FOLDS]]))
         y.append(np.array([label for _, label in rows[i::FOLDS]], float))
+        del margins
     return ToxicityModel(spell(rows), fit_logistic(np.concatenate(x), np.concatenate(y)))
 
 
