@@ -25,8 +25,8 @@ ORDER = 5
 SHARED = 2
 DISCOUNT = 0.75
 #: Bounds of the labelled sample, for each label: documents, bytes of text.
-SAMPLE_DOCS = 1200
-SAMPLE_BYTES = 3 << 20
+SAMPLE_DOCS = 800
+SAMPLE_BYTES = 2 << 20
 THRESHOLD = 0.3
 FOLDS = 2
 #: Distinct words that a worker keeps scores of.
