@@ -33,7 +33,7 @@ SEED = 42
 VOCABULARY = 4096
 WORD_CLASSES = 64
 #: Words whose counts go to every task; the rest meet their counts in a join.
-CARRIED = 1 << 20
+CARRIED = 1 << 19
 HIDDEN = 24
 LANES, WINDOW = 128, 32
 #: Share of training tokens that the recurrent weights are trained on; small
@@ -114,6 +114,8 @@ class Lexicon:
     def __init__(self, hashes, counts, shapes, total, types, shape_total, shape_types, vocabulary, word_classes):
         order = np.argsort(hashes)
         self.hashes, self.counts, shapes = hashes[order], counts[order], shapes[order]
+        if len(counts) and counts.max() < 1 << 31:
+            self.counts = self.counts.astype(np.int32)  # half the size of what goes to every task
         self.total, self.types = int(total), int(types)
         # The vocabulary: the most frequent words, ties by hash.
         top = np.lexsort((self.hashes, -self.counts))[:vocabulary]
@@ -124,7 +126,7 @@ class Lexicon:
         self.words = len(top)
         self.classes = word_classes + SHAPES
         # number[i]: of the i-th carried word: its vocabulary number, or vocabulary + shape.
-        self.number = self.words + shapes.astype(np.int64)
+        self.number = (self.words + shapes).astype(np.int32)
         self.number[top] = np.arange(self.words)
         self.top_counts = self.counts[top]
         left = np.array(shape_total, float)
@@ -161,11 +163,11 @@ def fit_lexicon(counts: DataFrame, vocabulary: int, word_classes: int, carried:
         if taken + k > carried:
             break
         least, taken = s, taken + k
-    few = counts.where(step >= (least if least is not None else 1 << 20)).toPandas()
+    few = counts.where(step >= (least if least is not None else 1 << 20)).toArrow()
     return Lexicon(
-        few["hash"].to_numpy(np.int64),
-        few["n"].to_numpy(np.int64),
-        few["shape"].to_numpy(np.int64),
+        few.column("hash").to_numpy(),
+        few.column("n").to_numpy(),
+        few.column("shape").to_numpy(),
         shape_total.sum(),
         shape_types.sum(),
         shape_total,
@@ -184,7 +186,7 @@ class Reader:
 
     def clear(self):
         self.local: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
         self.counts = np.zeros(0, np.int64)  # -1: not carried
         self.hashes = np.zeros(0, np.int64)
 
@@ -204,7 +206,7 @@ class Reader:
             at = np.searchsorted(lex.hashes, hashes)
             at[at == len(lex.hashes)] = 0
             has = lex.hashes[at] == hashes if len(lex.hashes) else np.zeros(len(fresh), bool)
-            ids = np.empty(len(fresh), np.int64)
+            ids = np.empty(len(fresh), np.int32)
             ids[has] = lex.number[at[has]]
             ids[~has] = [lex.words + shape(fresh[i]) for i in np.flatnonzero(~has)]
             counts = np.full(len(fresh), -1, np.int64)
@@ -439,9 +441,9 @@ def _buffers(batches, columns: int):
         yield held
 
 
-def _copies(held, rate: float):
+def _copies(book, weights, rate: float):
     def run(batches):
-        lexicon, hidden, flat = held.value
+        lexicon, (hidden, flat) = book.value, weights.value
         model = Gru(lexicon.words, lexicon.starts, lexicon.classes, hidden, flat)
         trainer, reader, tokens = Trainer(model, lexicon, rate), Reader(lexicon), 0
         for rows in _buffers(batches, 1):
@@ -470,10 +472,13 @@ def _mean_block(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "weights": pa.array([mean.tobytes()], pa.binary())})
 
 
-def train_model(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", hidden: int = HIDDEN) -> Gru:
+def train_model(
+    docs: DataFrame, lexicon: Lexicon, book, id_col: str = "doc_id", text_col: str = "text", hidden: int = HIDDEN
+) -> Gru:
     """Train on documents chosen by a hash of their ids, in rounds of averaged copies.
 
-    What is trained on grows with docs: TRAIN_SHARE of the tokens.
+    What is trained on grows with docs: TRAIN_SHARE of the tokens.  book is a
+    broadcast of the lexicon.
     """
     model = first_model(lexicon, hidden)
     share = min(1.0, max(TRAIN_SHARE, LEAST_TOKENS / max(1, lexicon.total)))
@@ -482,9 +487,9 @@ def train_model(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_
         lo, hi = share * i / ROUNDS, share * (i + 1) / ROUNDS
         part = docs.where((place >= lo) & (place < hi)).select(text_col, F.xxhash64(F.lit("deal"), id_col).alias("deal"))
         copies = int(min(MOST_COPIES, max(1, lexicon.total * share / ROUNDS // COPY_TOKENS)))
-        held = docs.sparkSession.sparkContext.broadcast((lexicon, hidden, model.flat))
+        held = docs.sparkSession.sparkContext.broadcast((hidden, model.flat))
         trained = part.repartition(copies, "deal").select(text_col).mapInArrow(
-            _copies(held, RATE / (1 + i)), "block int, tokens double, weights binary"
+            _copies(book, held, RATE / (1 + i)), "block int, tokens double, weights binary"
         )
         means = trained.groupBy("block").applyInArrow(_mean_block, "block int, weights binary").collect()
         if means:
@@ -494,11 +499,11 @@ def train_model(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_
     return model
 
 
-def _score(held):
-    """Per document its sums over carried words (kind 0), and its other words (kind 1)."""
+def _score(book, weights):
+    """Per document its sums over carried words, and a row for each of its other words."""
 
     def run(batches):
-        lexicon, hidden, flat = held.value
+        lexicon, (hidden, flat) = book.value, weights.value
         model = Gru(lexicon.words, lexicon.starts, lexicon.classes, hidden, flat)
         reader = Reader(lexicon)
         key = TaskContext.get().partitionId() << 40
@@ -579,9 +584,10 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     train = rows.where(~F.col("held_out"))
     counts = settle(token_counts(train), "counts")
     lexicon = fit_lexicon(counts, VOCABULARY, WORD_CLASSES, CARRIED)
-    model = train_model(train, lexicon)
-    held = spark.sparkContext.broadcast((lexicon, model.hidden, model.flat))
-    parts = settle(rows.mapInArrow(_score(held), _PARTS), "scored")
+    book = spark.sparkContext.broadcast(lexicon)
+    model = train_model(train, lexicon, book)
+    weights = spark.sparkContext.broadcast((model.hidden, model.flat))
+    parts = settle(rows.mapInArrow(_score(book, weights), _PARTS), "scored")
     whole = parts.where("hash IS NULL").drop("hash", "shape")
     scales = F.array(*[F.lit(float(x)) for x in lexicon.shape_scale])
     others = (
