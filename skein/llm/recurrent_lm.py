@@ -261,21 +261,30 @@ class Gru:
         new = np.tanh(add[:, 2 * k :] + rh @ self.v)
         return new + z * (h - new), (z, r, rh, new, h)
 
+    @staticmethod
+    def _softmax(w, bias, across, targets, rows):
+        """Log-probabilities of the targets, and all probabilities (candidates, targets)."""
+        p = w.T @ across
+        p += bias[:, None]
+        p -= p.max(axis=0)
+        logs = p[targets, rows]
+        np.exp(p, out=p)
+        z = p.sum(axis=0)
+        p /= z
+        return logs - np.log(z), p
+
     def log_probs(self, states: np.ndarray, classes: np.ndarray, ids: np.ndarray, grad: Gru | None = None):
         """Natural log-probabilities of targets; with grad, also d(-sum)/d(states), adding to grad."""
-        logits = states @ self.cw + self.cb
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        z = p.sum(axis=1)
+        # Candidates run down, targets across: sums over candidates are then fast.
+        across = np.ascontiguousarray(states.T)
         rows = np.arange(len(ids))
-        out = logits[rows, classes] - np.log(z)
+        out, p = self._softmax(self.cw, self.cb, across, classes, rows)
         back = None
         if grad is not None:
-            p /= z[:, None]
-            p[rows, classes] -= 1
-            grad.cw += states.T @ p
-            grad.cb += p.sum(axis=0)
-            back = p @ self.cw.T
+            p[classes, rows] -= 1
+            grad.cw += across @ p.T
+            grad.cb += p.sum(axis=1)
+            back = np.ascontiguousarray((self.cw @ p).T)
         known = np.flatnonzero(ids < self.words)
         known = known[np.argsort(classes[known], kind="stable")]
         edges = np.searchsorted(classes[known], np.arange(len(self.starts)))
@@ -284,19 +293,15 @@ class Gru:
             a, b = self.starts[c], self.starts[c + 1]
             if not len(at) or b - a < 2:
                 continue
-            own = states[at]
-            logits = own @ self.ww[:, a:b] + self.wb[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            z = p.sum(axis=1)
+            own = np.ascontiguousarray(states[at].T)
             i = np.arange(len(at))
-            out[at] += logits[i, ids[at] - a] - np.log(z)
+            logs, p = self._softmax(self.ww[:, a:b], self.wb[a:b], own, ids[at] - a, i)
+            out[at] += logs
             if grad is not None:
-                p /= z[:, None]
-                p[i, ids[at] - a] -= 1
-                grad.ww[:, a:b] += own.T @ p
-                grad.wb[a:b] += p.sum(axis=0)
-                back[at] += p @ self.ww[:, a:b].T
+                p[ids[at] - a, i] -= 1
+                grad.ww[:, a:b] += own @ p.T
+                grad.wb[a:b] += p.sum(axis=1)
+                back[at] += (self.ww[:, a:b] @ p).T
         return out, back
 
 
