@@ -24,9 +24,9 @@ WEIGHTS = {
 }
 MAX_EPOCHS = 4
 SEED = 17
-#: Order keys of a leaf fall into so many bins; only the bin in which the
-#: prefix ends is sorted.
-BINS = 1 << 14
+#: Order keys of a leaf fall into so many bins, and again as many finer ones;
+#: only the fine bin in which the prefix ends is sorted.
+BINS = 1 << 8
 #: Leaves come to the driver, a row each; more than this is an error.
 MOST_LEAVES = 200_000
 
@@ -84,6 +84,28 @@ def leaf_budgets(leaves: dict[tuple, int], budget: float, weights: dict, max_epo
     return out
 
 
+def _leaf(tag: str) -> Column:
+    """Whether a row's leaf is that of a table that _ends() named by tag."""
+    a, b, c = (F.col(x).eqNullSafe(F.col(f"{tag}_{x}")) for x in LEVELS)
+    return a & b & c
+
+
+def _ends(rows: DataFrame, bins: str, end: str, before: str) -> DataFrame:
+    """For each leaf the bin in which its tokens pass its rest, and the tokens before that bin.
+
+    base is what comes before the first bin.  A leaf has BINS sums at most.
+    """
+    running = Window.partitionBy(*LEVELS).orderBy(bins)
+    return (
+        rows.groupBy(*LEVELS, bins)
+        .agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("rest"), F.max("base").alias("base"))
+        .withColumn("up_to", F.col("base") + F.sum("held").over(running))
+        .where(F.col("up_to") > F.col("rest"))
+        .groupBy(*[F.col(x).alias(f"{end}_{x}") for x in LEVELS])
+        .agg(F.min(bins).alias(end), F.min_by(F.col("up_to") - F.col("held"), bins).alias(before))
+    )
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -138,38 +160,26 @@ def mix(
         & F.col("lang").eqNullSafe(F.col("p_lang"))
         & F.col("source").eqNullSafe(F.col("p_source"))
     )
+    bits = (BINS - 1).bit_length()
     placed = (
         rows.join(plan, same)
         .withColumn("at", F.xxhash64(F.lit(seed), "epochs", "doc_id"))
-        .withColumn("bin", F.shiftrightunsigned("at", 64 - (BINS.bit_length() - 1)).cast("int"))
-    )
-    # Tokens up to each bin: a leaf has BINS of them at most.
-    leaf = [F.col(x) for x in LEVELS]
-    running = Window.partitionBy(*leaf).orderBy("bin")
-    ends = (
-        placed.groupBy(*LEVELS, "bin")
-        .agg(F.sum("n_tokens").alias("in_bin"), F.max("rest").alias("rest"))
-        .withColumn("up_to", F.sum("in_bin").over(running))
-        .where(F.col("up_to") > F.col("rest"))
-        .groupBy(*LEVELS)
-        .agg(F.min("bin").alias("end_bin"), F.min_by(F.col("up_to") - F.col("in_bin"), "bin").alias("before"))
-        .select(
-            F.col("domain").alias("e_domain"), F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), "end_bin", "before"
-        )
-    )
-    same = (
-        F.col("domain").eqNullSafe(F.col("e_domain"))
-        & F.col("lang").eqNullSafe(F.col("e_lang"))
-        & F.col("source").eqNullSafe(F.col("e_source"))
+        .withColumn("bin", F.shiftrightunsigned("at", 64 - bits).cast("int"))
+        .withColumn("fine", (F.shiftrightunsigned("at", 64 - 2 * bits) % BINS).cast("int"))
     )
-    # As many rows as leaves, again.
-    placed = placed.join(F.broadcast(ends), same, "left")
+    # The bin in which the rest ends, then the finer bin within it.  As many
+    # rows as leaves, again.
+    placed = placed.join(F.broadcast(_ends(placed.withColumn("base", F.lit(0).cast("bigint")), "bin", "end_bin", "bin_base")), _leaf("end_bin"), "left")
+    inside = placed.where(F.col("bin") == F.col("end_bin")).withColumn("base", F.col("bin_base"))
+    placed = placed.join(F.broadcast(_ends(inside, "fine", "end_fine", "before")), _leaf("end_fine"), "left")
     cols = ["doc_id", *LEVELS, "n_tokens"]
+    place = F.struct("bin", "fine")
+    end = F.struct(F.col("end_bin").alias("bin"), F.col("end_fine").alias("fine"))
     # Without an end the rest covers the leaf, which then has no tokens at all.
-    within = placed.where((F.col("bin") < F.col("end_bin")) | F.col("end_bin").isNull())
-    beyond = placed.where(F.col("bin") > F.col("end_bin"))
-    order = Window.partitionBy(*leaf).orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    border = placed.where(F.col("bin") == F.col("end_bin")).withColumn("run", F.col("before") + F.sum("n_tokens").over(order))
+    within = placed.where((place < end) | F.col("end_bin").isNull())
+    beyond = placed.where(F.col("end_bin").isNotNull() & (place > end))
+    order = Window.partitionBy(*LEVELS).orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    border = placed.where(F.col("end_bin").isNotNull() & (place == end)).withColumn("run", F.col("before") + F.sum("n_tokens").over(order))
     return (
         within.select(*cols, (F.col("epochs") + 1).alias("copies"))
         .unionByName(beyond.select(*cols, F.col("epochs").alias("copies")))
