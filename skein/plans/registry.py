@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import stories
+from . import stories, texts
 
-MODULES = (stories,)
+MODULES = (stories, texts)
 
 
 def queries() -> dict:
