@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _written: list[str] = []
+_held: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,21 +35,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs at most the tasks that read
-    the table, and what follows never computes df twice.
+    the table, and what follows never computes df twice.  files: for small
+    tables, how many files at most.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df on the executors' disks for a second reading.
+
+    What a lost executor held is computed again, from a lineage that is short:
+    df is made from tables.  Files in the shared folder would cost a process
+    each on file systems whose permissions are set by a command.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    _held.append(df)
+    return df
+
+
 def release(spark: SparkSession) -> None:
-    """Delete the tables that settle() wrote; their readers must be done."""
+    """Drop what hold() keeps and the tables that settle() wrote; readers must be done."""
+    while _held:
+        _held.pop().unpersist()
     jvm = spark.sparkContext._jvm
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Files of a round's table: so many, or more if each would get more rows.
+FILES, ROWS_A_FILE = 6, 1_000_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round over (u, v) with u < v; gives (u, v) with u < v, distinct.
@@ -38,10 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(
         edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(),
         "edges",
+        FILES,
     )
     mark = _mark(now)
     while mark[0]:
-        now = settle(_star(_star(now, True), False), "edges")
+        now = settle(_star(_star(now, True), False), "edges", max(FILES, mark[0] // ROWS_A_FILE))
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import hold
 
 #: Counters of a Misra-Gries summary, and the share of all rows that makes a
 #: digest heavy.  At most 1 / HEAVY_SHARE digests can be, which bounds the
@@ -51,7 +51,8 @@ def heavy_hitters(rows: DataFrame, key: str, value: str, counters: int, share: f
     """(key, winner, group_size) of each key that holds over `share` of the rows.
 
     winner is the largest value.  Summaries never miss such a key; counting
-    their candidates over all rows drops the false ones.
+    their candidates over all rows drops the false ones.  At most 1 / share
+    winners pass through the driver.
     """
     total = rows.count()
     least = max(2, int(total * share))
@@ -64,12 +65,13 @@ def heavy_hitters(rows: DataFrame, key: str, value: str, counters: int, share: f
         .where(F.col("n") >= max(1, int(least - slack)))
         .select(F.col("key").alias(key))
     )
-    return (
+    winners = (
         rows.join(F.broadcast(found), key)
         .groupBy(key)
         .agg(F.max(value).alias("winner"), F.count("*").alias("group_size"))
         .where(F.col("group_size") >= least)
     )
+    return rows.sparkSession.createDataFrame(winners.collect(), winners.schema)
 
 
 def exact_dedup(
@@ -86,14 +88,13 @@ def exact_dedup(
     repeat the staying id, one stays.  Every row gets a result row; an empty
     table gives none; other columns are not looked at.
     """
-    rows = settle(
+    rows = hold(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"),
-        ),
-        "digests",
+        )
     )
-    heavy = settle(heavy_hitters(rows, "digest", "doc_id", counters, share), "heavy")
+    heavy = heavy_hitters(rows, "digest", "doc_id", counters, share)
     split = rows.join(F.broadcast(heavy), "digest", "left")
     hot = split.where(F.col("group_size").isNotNull())
     hot_out = hot.where(~F.col("doc_id").eqNullSafe(F.col("winner"))).withColumn("kept", F.lit(False))

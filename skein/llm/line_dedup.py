@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, settle
+from .common import BLANKS, ascii_lower, hold
 
 #: Shorter keys are never dropped.
 MIN_CHARS = 10
@@ -58,7 +58,7 @@ def keep_bitmaps(
             F.xxhash64(F.lit("second"), "key").alias("h2"),
         )
     )
-    lines = settle(lines, "lines")
+    lines = hold(lines)
     least = max(2, int(lines.count() * share))
     heavy = (
         lines.groupBy("h1", "h2")
@@ -66,7 +66,9 @@ def keep_bitmaps(
         .where(F.col("n") >= least)
         .drop("n")
     )
-    marked = lines.join(F.broadcast(settle(heavy, "heavy-lines")), ["h1", "h2"], "left")
+    # At most 1 / share rows, through the driver.
+    heavy = docs.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
+    marked = lines.join(F.broadcast(heavy), ["h1", "h2"], "left")
     common = marked.where("doc_id > first_doc")
     run = (
         Window.partitionBy("h1", "h2")

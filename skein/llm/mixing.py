@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import hold
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of nodes by level; a node that is not named weighs 1.
@@ -130,15 +130,14 @@ def mix(
     """
     spark = docs.sparkSession
     domain = default_domain(F.col(source_col)) if domain is None else domain
-    rows = settle(
+    rows = hold(
         docs.select(
             F.col(id_col).alias("doc_id"),
             domain.alias("domain"),
             F.col(lang_col).alias("lang"),
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n_tokens"),
-        ),
-        "mix-rows",
+        )
     )
     found = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).limit(MOST_LEAVES + 1).collect()
     if len(found) > MOST_LEAVES:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, settle, small_batches
+from .common import fold, hold, small_batches
 
 END = b"\n"  # no word holds white space
 SEED = 42
@@ -150,7 +150,7 @@ class Lexicon:
 
 
 def fit_lexicon(counts: DataFrame, vocabulary: int, word_classes: int, carried: int) -> Lexicon:
-    """counts must be settled.  At most `carried` words come to the driver."""
+    """counts must be held.  At most `carried` words come to the driver."""
     forms = counts.groupBy("shape").agg(F.sum("n"), F.count("*")).collect()
     shape_total, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
     for s, n, k in forms:
@@ -587,12 +587,12 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         F.col(text_col).alias("text"), F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out")
     )
     train = rows.where(~F.col("held_out"))
-    counts = settle(token_counts(train), "counts")
+    counts = hold(token_counts(train))
     lexicon = fit_lexicon(counts, VOCABULARY, WORD_CLASSES, CARRIED)
     book = spark.sparkContext.broadcast(lexicon)
     model = train_model(train, lexicon, book)
     weights = spark.sparkContext.broadcast((model.hidden, model.flat))
-    parts = settle(rows.mapInArrow(_score(book, weights), _PARTS), "scored")
+    parts = hold(rows.mapInArrow(_score(book, weights), _PARTS))
     whole = parts.where("hash IS NULL").drop("hash", "shape")
     scales = F.array(*[F.lit(float(x)) for x in lexicon.shape_scale])
     others = (

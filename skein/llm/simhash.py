@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import hold, small_batches
 from .components import components
 
 SHINGLE = 4
@@ -246,18 +246,18 @@ def fingerprint_links(
         raise ValueError("three segments find at most five differing bits")
     form = "kind bigint, u bigint, v bigint, key bigint, bit bigint, chk bigint"
 
-    def solved(keyed, limit, name):
+    def solved(keyed, limit):
         keyed = keyed.select("key", F.col("bit").cast("bigint"), "fp", "rep", "chk")
         dealt = keyed.repartition("key").sortWithinPartitions("key")
-        return settle(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form), name)
+        return hold(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form))
 
-    found = solved(_keyed(reps), max_bucket, "links")
+    found = solved(_keyed(reps), max_bucket)
     links = found.where("kind = 0").select("u", "v")
     more = found.where("kind = 1").select(
         F.col("u").alias("fp"), F.col("v").alias("rep"), "chk", "key", F.col("bit").cast("int").alias("bit")
     )
     if not more.isEmpty():
-        again = solved(_keyed_again(more), None, "links")
+        again = solved(_keyed_again(more), None)
         links = links.unionByName(again.where("kind = 0").select("u", "v"))
     return links
 
@@ -284,11 +284,9 @@ def near_components(
     shingle fingerprints alone are too far apart to search for.
     """
     seeds = WORD_SEEDS if word_bits is not None else ()
-    rows = settle(fingerprints(docs, id_col, text_col, seeds), "fingerprints")
+    rows = hold(fingerprints(docs, id_col, text_col, seeds))
     prints = ["fp", *(f"w{i}" for i in range(len(seeds)))]
-    reps = settle(
-        rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("rep")), "representatives"
-    )
+    reps = hold(rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("rep")))
     own = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
     links = fingerprint_links(own.withColumn("chk", F.lit(0).cast("bigint")), max_bits)
     if seeds:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, hold
 
 #: (host, path, verdict)
 RULES = [
@@ -50,7 +50,6 @@ def judge_urls(
     No fit: rule null, verdict `default`.  Null and repeated rows stay rows.
     A rule with an empty host fits every host.  Empty pages give no rows.
     """
-    spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     # One row a distinct URL: a URL that many pages share is judged once.
@@ -66,7 +65,7 @@ def judge_urls(
     )
     expression = lambda h, p: F.unhex(F.sha2(F.concat(h, F.lit("\n"), p), 256))
     rules = rules.withColumn("rule_digest", expression(F.col("rule_host"), F.col("rule_path")))
-    rules = settle(rules.withColumn("rule_short", F.substring("rule_digest", 1, 4)), "rules")
+    rules = hold(rules.withColumn("rule_short", F.substring("rule_digest", 1, 4)))
     # As many as the longest rule path has characters, whatever the pages.
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
     if not lengths:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir, small_batches
+from .common import hold, shared_dir, small_batches
 from .exact_dedup import COUNTERS, HEAVY_SHARE, heavy_hitters
 
 #: Of the format: magic number of the skippable frame that holds the
@@ -234,16 +234,15 @@ def revisits(
     shuffle.  Rows with null ids are stored as they are.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = settle(
+    rows = hold(
         pages.where(F.col(id_col).isNotNull() & (F.octet_length(payload) >= min_bytes)).select(
             F.col(id_col).alias("page_id"),
             F.unhex(F.sha2(payload, 256)).alias("digest"),
             (-F.col(id_col)).alias("order"),
-        ),
-        "payloads",
+        )
     )
     # The winner is the largest order, that is the least id.
-    heavy = settle(heavy_hitters(rows, "digest", "order", COUNTERS, HEAVY_SHARE), "heavy-payloads")
+    heavy = heavy_hitters(rows, "digest", "order", COUNTERS, HEAVY_SHARE)
     split = rows.join(F.broadcast(heavy), "digest", "left")
     hot = split.where("winner IS NOT NULL").select("page_id", (-F.col("winner")).alias("first_id"))
     cold = split.where("winner IS NULL").select("page_id", "digest")
@@ -282,7 +281,9 @@ def write_warc(
     )
     fs, inner = _open(folder)
     fs.create_dir(inner, recursive=True)
-    return settle(rows.mapInArrow(_writer(folder, date, level), _MANIFEST), "archives")
+    # A row a task, like a listing of the files.
+    done = rows.mapInArrow(_writer(folder, date, level), _MANIFEST)
+    return pages.sparkSession.createDataFrame(done.collect(), done.schema)
 
 
 def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
