@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import stories, texts
+from . import facts, stories, texts
 
-MODULES = (stories, texts)
+MODULES = (stories, texts, facts)
 
 
 def queries() -> dict:
