@@ -63,7 +63,7 @@ def simple_sentences(body: Column) -> Column:
     """Sentences after . ! or ? and at line ends, code fences removed."""
     plain = F.regexp_replace(body, r"(?s)```.*?```", "")
     parts = F.split(plain, r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def words(text: Column) -> Column:

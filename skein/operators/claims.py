@@ -191,7 +191,7 @@ def resolve_origins(claims: DataFrame, key: str, text: str, publications: list[s
     Parts of origin between semicolons are checked in order: anonymous,
     product, named in the text, attributed there, and not the outlet itself.
     """
-    part = F.explode(F.transform(F.split("origin", ";"), F.trim)).alias("part")
+    part = F.explode(F.transform(F.split("origin", ";"), lambda x: F.trim(x))).alias("part")
     each = claims.select(key, text, "outlet", part).where("part != '' AND part != 'unstated'")
     low, name = F.lower(text), F.lower("part")
     anonymous = name.rlike(r"^(?:(?:an?|the|unnamed|anonymous|several|multiple|people|person|sources?|insiders?|familiar|with|matter)\s*)+$")
