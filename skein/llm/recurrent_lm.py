@@ -490,10 +490,11 @@ def train_model(
     place = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 20)) / float(1 << 20)
     for i in range(ROUNDS):
         lo, hi = share * i / ROUNDS, share * (i + 1) / ROUNDS
-        part = docs.where((place >= lo) & (place < hi)).select(text_col, F.xxhash64(F.lit("deal"), id_col).alias("deal"))
+        part = docs.where((place >= lo) & (place < hi)).select(text_col)
         copies = int(min(MOST_COPIES, max(1, lexicon.total * share / ROUNDS // COPY_TOKENS)))
         held = docs.sparkSession.sparkContext.broadcast((hidden, model.flat))
-        trained = part.repartition(copies, "deal").select(text_col).mapInArrow(
+        # Dealt in turn, not by a key: every copy costs its weights once more.
+        trained = part.repartition(copies).mapInArrow(
             _copies(book, held, RATE / (1 + i)), "block int, tokens double, weights binary"
         )
         means = trained.groupBy("block").applyInArrow(_mean_block, "block int, weights binary").collect()
