@@ -299,14 +299,22 @@ def near_components(
                 fingerprint_links(reps.select(F.col(w).alias("fp"), "rep", F.col("fp").alias("chk")), word_bits, check_bits)
             )
     # A repeated id with two texts connects their fingerprints.
+    each = F.struct(*prints)
     twice = (
         rows.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.min(each).alias("lo"), F.max(each).alias("hi"))
+        .where("lo != hi")
+        .select("doc_id")
+    )
+    twice = (
+        rows.join(twice, "doc_id", "left_semi")
         .join(reps, prints)
         .groupBy("doc_id")
-        .agg(F.min("rep").alias("u"), F.max("rep").alias("v"))
-        .where("u < v")
+        .agg(F.min("rep").alias("u"), F.collect_set("rep").alias("all"))
+        .select("u", F.explode("all").alias("v"))
     )
-    parts = components(links.unionByName(twice.select("u", "v")))
+    parts = components(links.unionByName(twice))
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select(
         *prints, F.coalesce("component", "rep").alias("component_id")
     )
