@@ -137,7 +137,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
     )
     # Rows that repeat an id and its text are rare; only with them is it worth
     # dealing the texts out once more.
-    repeats = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h")).groupBy("__id", "__h")
+    repeats = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("__h")).groupBy("__id", "__h")
     if repeats.count().where("count > 1").isEmpty():
         return joined.drop("__digest")
     one = Window.partitionBy(id_col, "__digest").orderBy(id_col)

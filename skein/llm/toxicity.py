@@ -115,8 +115,8 @@ class SpellingModel:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """log P(word | class 1) - log P(word | class 0), per code."""
-        if not words:
-            return np.zeros(0)
+        if not words or not len(self.tables[0][0]):
+            return np.zeros(len(words))  # nothing seen, nothing told apart
         codes, word = _codes(words)
         p = np.full((len(codes), 2), self.floor)
         before = np.zeros(len(codes), np.uint64)
@@ -127,11 +127,12 @@ class SpellingModel:
             else:
                 context, back = np.unique(before[at - 1], return_inverse=True)
                 slot, found = _find(ckeys, context)
-                factor = np.where(found[:, None], rest[slot], 1)
+                factor = np.where(found[:, None], rest[slot], 1) if len(rest) else np.ones((len(context), 2))
                 p[at] *= factor[back]
             gram, back = np.unique(h[at], return_inverse=True)
             slot, found = _find(keys, gram)
-            p[at] += np.where(found[:, None], kept[slot], 0)[back]
+            if len(kept):
+                p[at] += np.where(found[:, None], kept[slot], 0)[back]
             before = h
         use = codes != 2
         logs = np.log(p[use, 1]) - np.log(p[use, 0])
@@ -205,6 +206,7 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
         del counts
         return SpellingModel(words, both)
 
+    rows = sorted(rows, key=lambda r: r[1])  # so that each part has its share of both labels
     x, y = [np.zeros((0, 5))], [np.zeros(0)]
     for i in range(FOLDS):
         margins = WordMargins(spell([r for j, r in enumerate(rows) if j % FOLDS != i]))
