@@ -304,3 +304,39 @@ def display_entities(variants: DataFrame, key: str, spelling: str) -> DataFrame:
     counted = variants.groupBy(key, spelling).agg(F.count("*").alias("n"))
     rank = F.struct(accents.alias("a"), titled.alias("t"), F.col("n"), F.length(spelling).alias("l"), F.col(spelling).alias("s"))
     return counted.groupBy(key).agg(F.max_by(spelling, rank).alias(spelling))
+
+
+def trim_to_budget(claims: DataFrame, story: str, budget: float, entities: list[str]) -> DataFrame:
+    """Claims of a story whose prompts fit a token budget: distinct values, the most useful first.
+
+    Central claims always stay and count first; the order of others is kind,
+    named entities, then position.
+    """
+    named = F.exists(F.array(*[F.lit(e.lower()) for e in entities]), lambda e: F.contains(F.lower(F.concat_ws(" ", "claim", "value")), e)) if entities else F.lit(False)
+    score = strength(F.col("kind")) + F.when(F.col("central"), 10).otherwise(0) + F.when(named, 2).otherwise(0)
+    once = Window.partitionBy(story, F.lower(F.trim("value"))).orderBy(F.desc("score"), "seq", "source_url", "claim")
+    ranked = claims.withColumn("score", score).withColumn("n", F.row_number().over(once)).where("n = 1").drop("n")
+    cost = X.token_estimate(F.concat_ws(" ", "claim", "value"))
+    run = Window.partitionBy(story).orderBy(F.desc("central"), F.desc("score"), "seq", "source_url", "claim", "value").rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumn("tokens", F.sum(cost).over(run)).where(F.col("central") | (F.col("tokens") <= budget))
+
+
+def member_support(members: DataFrame, story: str, entities: DataFrame, least: int = 3) -> DataFrame:
+    """(story, seq, support): how each member of a fact names a story's entities.
+
+    direct: its own words; title: its source's headline; peer: a member of
+    another source that is named directly shares enough words; none.
+    entities: (story, entity).
+    """
+    text = X.normalize_title(F.concat_ws(" ", "claim", "value"))
+    rows = members.withColumn("__t", text).withColumn("__h", X.normalize_title(F.coalesce("source_title", F.lit(""))))
+    named = rows.join(entities.select(story, X.normalize_title(F.col("entity")).alias("__e")), story).groupBy(story, "seq").agg(
+        F.bool_or(X.contains_phrase(F.col("__t"), F.col("__e"))).alias("direct"), F.bool_or(X.contains_phrase(F.col("__h"), F.col("__e"))).alias("headed")
+    )
+    rows = rows.join(named, [story, "seq"], "left")
+    words = rows.select(story, "seq", "source_url", "direct", F.explode(F.filter(F.array_distinct(F.split("__t", " ")), lambda w: F.length(w) >= 4)).alias("w"))
+    firm = words.where("direct").select(story, F.col("seq").alias("o"), F.col("source_url").alias("ou"), "w")
+    peers = words.join(firm, [story, "w"]).where("source_url != ou").groupBy(story, "seq", "o").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    peers = peers.select(story, "seq", F.lit(True).alias("peer")).distinct()
+    support = F.when(F.col("direct"), "direct").when(F.col("headed"), "title").when(F.col("peer"), "peer").otherwise("none")
+    return rows.join(peers, [story, "seq"], "left").select(story, "seq", support.alias("support"))

@@ -128,3 +128,43 @@ def phrase_matches(titles: DataFrame, text: str, phrases: DataFrame) -> DataFram
     each = have.withColumn("__word", F.explode(F.array_distinct("__words")))
     hits = each.join(wanted, "__word").where(F.size(F.array_except("__need", "__words")) == 0)
     return hits.drop("__word", "__words", "__need").distinct()
+
+
+def near_duplicate_articles(articles: DataFrame, key: str, title: str, day: str, days: int = 7, share: float = 0.5) -> DataFrame:
+    """(key, earlier, why): articles with an earlier near copy.
+
+    The same normalised title at any time, or within `days` a title whose words
+    are alike.  Dates meet in buckets of `days`, titles on their rarest words,
+    so no two articles are compared without a reason.
+    """
+    rows = articles.select(F.col(key).alias("k"), F.to_date(day).alias("d"), X.normalize_title(F.col(title)).alias("t")).where("t != ''")
+    first = rows.groupBy("t").agg(F.min(F.struct("d", "k")).alias("f"))
+    same = rows.join(first, "t").where("k != f.k").select(F.col("k").alias(key), F.col("f.k").alias("earlier"), F.lit("title").alias("why"))
+    # One article stands for all with its title in a bucket of days.
+    bucket = F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / days)
+    heads = rows.withColumn("b", bucket).groupBy("t", "b").agg(F.min("d").alias("d"), F.min("k").alias("k"))
+    sets = heads.withColumn("set", F.array_distinct(F.split("t", " ")))
+    each = sets.select("k", "d", "b", "t", "set", F.explode("set").alias("w"))
+    rare = each.groupBy("w").agg(F.count("*").alias("n"))
+    place = Window.partitionBy("k").orderBy("n", "w")
+    prefix = each.join(rare, "w").withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= F.size("set") - F.ceil(F.size("set") * share) + 1)
+    a = prefix.select("w", F.col("k").alias("ka"), F.col("d").alias("da"), F.col("t").alias("ta"), F.col("set").alias("sa"), F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
+    b = prefix.select("w", "b", F.col("k").alias("kb"), F.col("d").alias("db"), F.col("t").alias("tb"), F.col("set").alias("sb"))
+    near = a.join(b, ["w", "b"]).where(
+        (F.col("ta") != F.col("tb")) & (F.datediff("da", "db").between(0, days)) & ((F.col("da") > F.col("db")) | (F.col("ka") > F.col("kb"))) & (X.jaccard(F.col("sa"), F.col("sb")) >= share)
+    )
+    alike = near.groupBy(F.col("ka").alias(key)).agg(F.min("kb").alias("earlier")).select(key, "earlier", F.lit("similar").alias("why"))
+    return same.unionByName(alike)
+
+
+def robots_allowed(pages: DataFrame, url: str, rules: DataFrame) -> DataFrame:
+    """Pages that the longest rule of their host allows; rules: (host, path, allow).  No rule allows."""
+    from skein.functions.urls import host_of
+
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    tagged = pages.withColumn("__host", host_of(F.col(url))).withColumn("__path", F.when(path == "", "/").otherwise(path))
+    r = rules.select(F.lower("host").alias("__rhost"), F.col("path").alias("__rpath"), "allow")
+    fits = tagged.join(r, (F.col("__host") == F.col("__rhost")) & F.startswith("__path", F.col("__rpath")))
+    # Longest rule first; of equal ones the one that allows.
+    denied = fits.groupBy("__host", "__path").agg(F.max(F.struct(F.length("__rpath").alias("n"), F.col("allow"))).alias("best")).where("NOT best.allow")
+    return tagged.join(denied, ["__host", "__path"], "left_anti").drop("__host", "__path")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, stories, texts
+from . import editorial, facts, stories, texts
 
-MODULES = (stories, texts, facts)
+MODULES = (stories, texts, facts, editorial)
 
 
 def queries() -> dict:
