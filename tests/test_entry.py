@@ -18,7 +18,7 @@ def test_entry_without_the_corpus_part(monkeypatch):
     class Gone:
         def find_spec(self, name, path=None, target=None):
             if name.startswith("skein.llm") or name == "corpus_pipeline":
-                raise ModuleNotFoundError(name)
+                raise ModuleNotFoundError(name, name=name)
 
     monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
     entry = importlib.import_module("__spark_entry__")
