@@ -26,9 +26,9 @@ SEED = 42
 #: finds most, and the most differing bits of the shingle fingerprints.  Texts
 #: with a Jaccard similarity of 0.8 differ in about ten bits there, unrelated
 #: ones in about 32.
-WORD_SEEDS = (1, 2)
+WORD_SEEDS = (1, 2, 3)
 WORD_BITS = 5
-CHECK_BITS = 13
+CHECK_BITS = 14
 #: (offset, width) of the segments: MAX_BITS differing bits leave at most one
 #: in some segment, as three segments with two each would make six.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
