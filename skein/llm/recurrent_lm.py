@@ -594,6 +594,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     model = train_model(train, lexicon, book)
     weights = spark.sparkContext.broadcast((model.hidden, model.flat))
     parts = hold(rows.mapInArrow(_score(book, weights), _PARTS))
+    # Filled before two branches read it, which would wait for each other's tasks.
+    parts.count()
     whole = parts.where("hash IS NULL").drop("hash", "shape")
     scales = F.array(*[F.lit(float(x)) for x in lexicon.shape_scale])
     others = (
