@@ -9,6 +9,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files of a small table: so many, or more if each would get more rows.
+FILES, ROWS_A_FILE = 6, 1_000_000
+
 #: The white space of the contracts: space, tab, newline, VT, FF, CR.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +64,12 @@ def hold(df: DataFrame) -> DataFrame:
     return df
 
 
+def let_go(df: DataFrame) -> None:
+    """Drop what hold() keeps of df; shuffles behind it can then be cleaned up."""
+    df.unpersist()
+    _held[:] = [d for d in _held if d is not df]
+
+
 def release(spark: SparkSession) -> None:
     """Drop what hold() keeps and the tables that settle() wrote; readers must be done."""
     while _held:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
-
-#: Files of a round's table: so many, or more if each would get more rows.
-FILES, ROWS_A_FILE = 6, 1_000_000
+from .common import FILES, ROWS_A_FILE, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

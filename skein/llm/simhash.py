@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, small_batches
+from .common import FILES, ROWS_A_FILE, hold, let_go, settle, small_batches
 from .components import components
 
 SHINGLE = 4
@@ -249,7 +249,12 @@ def fingerprint_links(
     def solved(keyed, limit):
         keyed = keyed.select("key", F.col("bit").cast("bigint"), "fp", "rep", "chk")
         dealt = keyed.repartition("key").sortWithinPartitions("key")
-        return hold(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form))
+        found = hold(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form))
+        n = found.count()
+        # The result is small; the shuffle behind it is not, and goes with what is held.
+        kept = settle(found, "links", max(FILES, n // ROWS_A_FILE))
+        let_go(found)
+        return kept
 
     found = solved(_keyed(reps), max_bucket)
     links = found.where("kind = 0").select("u", "v")
