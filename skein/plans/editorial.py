@@ -11,6 +11,7 @@ from skein.functions import udfs
 from skein.functions import urls as U
 from skein.operators import claims as C
 from skein.operators import joins as J
+from skein.operators import editorial as E
 from skein.operators import media as M
 from skein.plans.facts import _claims
 from skein.sources import tables as S
@@ -228,3 +229,96 @@ SQL = {
         UNION ALL SELECT '$.k: under 10', count(*) FROM e WHERE k < 10 HAVING count(*) > 0 UNION ALL SELECT '$.k: over 90', count(*) FROM e WHERE k > 90 HAVING count(*) > 0""",
     "cue_sources": "SELECT unnest(['lead:Acme Corp', 'subject:Roe Hart']) AS cue, count(*) AS n FROM events GROUP BY 1",
 }
+
+
+# ---- drafts -----------------------------------------------------------------
+
+
+def _drafts(spark, sf):
+    docs = table(spark, sf, "documents").where("lang = 'en'")
+    first = F.split("text", "\n")[0]
+    return docs.select("doc_id", F.substring(first, 1, 90).alias("title"), F.substring("text", 1, 150).alias("description"), X.slugify(F.substring(first, 1, 40)).alias("slug"), F.array("source", "lang").alias("tags"), "text", "source")
+
+
+def seo_validation(spark, sf):
+    return E.seo_errors(_drafts(spark, sf), "doc_id")
+
+
+def title_entity_coverage(spark, sf):
+    d = _drafts(spark, sf).withColumn("entities", F.array(F.substring_index("title", " ", 2), F.lit("the")))
+    return E.title_coverage(d, "doc_id", "title", "entities")
+
+
+def entity_mentions(spark, sf):
+    d = _drafts(spark, sf).withColumn("entities", F.array(F.lit("of the"), F.lit("licensed under"), F.substring_index("title", " ", 1)))
+    return E.entity_mentions(d, "doc_id", "text", "entities").groupBy("entity").agg(F.count("*").alias("n")).where("n > 3")
+
+
+def outlet_names(spark, sf):
+    d = _drafts(spark, sf)
+    outlets = d.select("doc_id", F.explode(F.array(F.lit("The"), F.lit("the"), F.lit("Of"))).alias("outlet"))
+    return E.outlets_named(d, "doc_id", "text", outlets).groupBy("outlet").agg(F.count("*").alias("n"))
+
+
+def offers_and_completeness(spark, sf):
+    d = _drafts(spark, sf).withColumn("facts", F.when(F.col("doc_id") % 2 == 0, "until 2024-05-01, all of it").otherwise("soon"))
+    return E.offer_gate(d, "doc_id", "text", "facts", ["tion of", "and the"]).unionByName(E.completeness_gate(d, "doc_id", "text", "facts", ["all", "the"]))
+
+
+def performance_claims(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("runs "), F.when(F.col("p_size") % 2 == 0, F.concat("p_size", F.lit(" percent far "))).otherwise("much much much much more or less "), F.lit("faster than a, b, c, d and 9")).alias("t"))
+    return p.groupBy(E.numeric_claims(F.col("t"), ["faster", "slower"], 3).alias("numeric")).agg(F.count("*").alias("n"))
+
+
+def statement_attribution(spark, sf):
+    c = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("story"), F.col("o_orderkey").alias("clause_id"), (F.col("o_orderkey") % 2).alias("fact_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, "Hart says yes").otherwise("so it goes").alias("clause"), F.when(F.col("o_orderkey") % 5 == 0, "Roe Hart").otherwise("they").alias("sentence"),
+    )
+    f = table(spark, sf, "customer").select(F.col("c_custkey").alias("story"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("fact_id")).withColumn("kind", F.when(F.col("fact_id") == 0, "statement").otherwise("confirmed")).withColumn("speakers", F.array(F.lit("Roe Hart")))
+    return E.statement_attribution(c, f, "story").select("clause_id")
+
+
+def _short(text: str) -> str:
+    if len(text) > 100:
+        raise ValueError("too long")
+    return '{"n": %d}' % len(text)
+
+
+def _any(text: str) -> str:
+    return '{"n": %d, "cut": true}' % min(len(text), 100)
+
+
+def model_call_chain(spark, sf):
+    """A chain of two deterministic stand-ins: the second takes what the first cannot."""
+    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    got = E.model_calls(c, "key", "text", {"small": _short, "large": _any}, ["n"])
+    return got.groupBy("provider").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+
+
+def stage_timing(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.floor("value").alias("seconds"))
+    return E.stage_seconds(e)
+
+
+for _f in (
+    seo_validation, title_entity_coverage, entity_mentions, outlet_names, offers_and_completeness, performance_claims, statement_attribution,
+    model_call_chain, stage_timing,
+):
+    QUERIES[_f.__name__] = _f
+
+_DRAFT = r"""a AS (SELECT doc_id, text, substr(split_part(text, chr(10), 1), 1, 90) AS title, substr(text, 1, 150) AS d, lower(regexp_replace(regexp_replace(substr(split_part(text, chr(10), 1), 1, 40), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents WHERE lang = 'en')"""
+_FORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+SQL |= {
+    "seo_validation": rf"""WITH {_DRAFT} SELECT doc_id, 'seo' AS "check", unnest(list_filter([CASE WHEN length(title) < 15 OR length(title) > 65 THEN 'title length' END, CASE WHEN regexp_matches(title, '[!?]{{2,}}|\.\.\.$') THEN 'title punctuation' END,
+        CASE WHEN upper(title) = title THEN 'title in capitals' END, CASE WHEN length(d) < 70 OR length(d) > 160 THEN 'description length' END, CASE WHEN {_FORM.format('title')} = {_FORM.format('d')} THEN 'description repeats title' END,
+        CASE WHEN NOT regexp_matches(slug, '^[a-z0-9]+(?:-[a-z0-9]+)*$') THEN 'slug form' END], lambda x: x IS NOT NULL)) AS failure FROM a""",
+    "performance_claims": "SELECT p_size % 2 = 0 AS numeric, count(*) AS n FROM part GROUP BY 1",
+    "statement_attribution": "SELECT o_orderkey AS clause_id FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)",
+    "model_call_chain": "SELECT CASE WHEN length(text) > 100 THEN 'large' ELSE 'small' END AS provider, count(*) AS n, count(*) FILTER (length(text) > 100) AS errors FROM conversations GROUP BY 1",
+    "stage_timing": "SELECT event_type AS stage, CAST(sum(floor(value)) AS BIGINT) AS seconds, count(*) AS runs FROM events GROUP BY 1",
+    "offers_and_completeness": r"""WITH a AS (SELECT doc_id, lower(text) AS t, doc_id % 2 = 0 AS e FROM documents WHERE lang = 'en')
+        SELECT doc_id, 'offers' AS "check", 'tion of without a date' AS failure FROM a WHERE contains(t, 'tion of') AND NOT e UNION ALL SELECT doc_id, 'offers', 'and the without a date' FROM a WHERE contains(t, 'and the') AND NOT e
+        UNION ALL SELECT doc_id, 'completeness', 'all' FROM a WHERE regexp_matches(t, '(^|[^\p{L}\p{N}\p{M}_])all($|[^\p{L}\p{N}\p{M}_])') AND NOT e UNION ALL SELECT doc_id, 'completeness', 'the' FROM a WHERE regexp_matches(t, '(^|[^\p{L}\p{N}\p{M}_])the($|[^\p{L}\p{N}\p{M}_])')""",
+    "outlet_names": r"""WITH a AS (SELECT text AS p FROM documents WHERE lang = 'en') SELECT o AS outlet, count(*) AS n FROM a, (VALUES ('The'), ('Of')) v(o) WHERE regexp_matches(p, '(^|[^\p{L}\p{N}\p{M}_])' || o || '($|[^\p{L}\p{N}\p{M}_])') GROUP BY o""",
+}
