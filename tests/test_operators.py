@@ -31,6 +31,24 @@ def test_greedy_stories_join_seeds_not_members(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
 
+def test_greedy_stories_by_walking(spark):
+    import random
+
+    from skein.functions.udfs import same_story
+
+    dice = random.Random(4)
+    first, second = ["Harbor of Glass", "Winter Crown", "Harbor", "Crown of Ice"], ["sold 3 million copies", "review", "delayed to May", "opens in May", "sales pass 3 million"]
+    titles = [f"{dice.choice(['New', 'The'])} {dice.choice(first)} {dice.choice(second)}" for _ in range(60)]
+    rows = [(i, t, NOW - dt.timedelta(hours=dice.randrange(20))) for i, t in enumerate(titles)]
+    seeds, want = [], {}
+    for i, t, _ in sorted(rows, key=lambda r: (-r[2].timestamp(), r[0])):
+        want[i] = next((s for s, u in seeds if same_story(t, u)), i)
+        if want[i] == i:
+            seeds.append((i, t))
+    df = spark.createDataFrame(rows, "id bigint, title string, published timestamp")
+    assert {r["key"]: r["seed"] for r in clusters.greedy_stories(df, "id", "title", "published").collect()} == want
+
+
 def test_greedy_claims_never_merge_one_source(spark):
     rows = [
         ("s", 1, "u1", "copies sold", "4 million copies"), ("s", 2, "u2", "copies sold", "4m copies"),
