@@ -83,15 +83,11 @@ def keep_bitmaps(
         .where("doc_id > first_doc")
     )
     dropped = common.select("doc_id", "text_hash", "pos").unionByName(rest.select("doc_id", "text_hash", "pos"))
-    words = (
-        dropped.groupBy("doc_id", "text_hash", F.expr("pos div 64").alias("word"))
-        .agg(
-            F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"),
-            F.countDistinct("pos").alias("n"),
-        )
+    words = dropped.groupBy("doc_id", "text_hash", F.expr("pos div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
     return words.groupBy("doc_id", "text_hash").agg(
-        F.sum("n").alias("n_dropped"),
+        F.sum(F.bit_count("bits")).alias("n_dropped"),
         F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("drops"),
     )
 
