@@ -30,7 +30,7 @@ SAMPLE_BYTES = 2 << 20
 THRESHOLD = 0.3
 FOLDS = 2
 #: Distinct words that a worker keeps scores of.
-CACHE = 1 << 20
+CACHE = 1 << 19
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
