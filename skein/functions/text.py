@@ -183,3 +183,17 @@ def leaks(body: Column) -> Column:
         ("facts heading", r"(?im)^#{1,6}\s*facts?\s+sheet\b"),
     ]
     return F.array_compact(F.array(*[F.when(body.rlike(p), F.lit(n)) for n, p in tests]))
+
+
+def plain_html(source: Column) -> Column:
+    """Text of simple HTML by patterns alone: scripts, styles and comments go, blocks end lines.
+
+    The Arrow function html_to_text() parses; this stays in generated code.
+    """
+    t = F.regexp_replace(source, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)\s*>|<!--.*?-->", "")
+    t = F.regexp_replace(t, r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote|pre|hr)\b[^>]*>", "\n")
+    t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
+    for code, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(code), F.lit(sign))
+    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

@@ -322,3 +322,26 @@ SQL |= {
         UNION ALL SELECT doc_id, 'completeness', 'all' FROM a WHERE regexp_matches(t, '(^|[^\p{L}\p{N}\p{M}_])all($|[^\p{L}\p{N}\p{M}_])') AND NOT e UNION ALL SELECT doc_id, 'completeness', 'the' FROM a WHERE regexp_matches(t, '(^|[^\p{L}\p{N}\p{M}_])the($|[^\p{L}\p{N}\p{M}_])')""",
     "outlet_names": r"""WITH a AS (SELECT text AS p FROM documents WHERE lang = 'en') SELECT o AS outlet, count(*) AS n FROM a, (VALUES ('The'), ('Of')) v(o) WHERE regexp_matches(p, '(^|[^\p{L}\p{N}\p{M}_])' || o || '($|[^\p{L}\p{N}\p{M}_])') GROUP BY o""",
 }
+
+
+def html_to_text_native(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", X.plain_html(F.col("html")).alias("t"))
+    return pages.select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("digest"))
+
+
+QUERIES["html_to_text_native"] = html_to_text_native
+_DAY = "strftime(CAST(ts AS DATE) + INTERVAL ({}) DAY, '%B %-d, %Y')"
+_FOLDED = "strip_accents(split_part(text, chr(10), 1))"
+SQL |= {
+    "html_to_text_native": r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(?:script|style)\s*>|<!--.*?-->', '', 'g') AS t FROM pages),
+        b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote|pre|hr)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM a),
+        c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+        d AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM c)
+        SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS digest FROM d""",
+    "relative_dates": f"""WITH e AS (SELECT CASE event_id % 6 WHEN 0 THEN 'begins on ' || {_DAY.format(0)} WHEN 1 THEN 'came on ' || {_DAY.format(-1)} WHEN 2 THEN 'is available as of ' || {_DAY.format(0)}
+        WHEN 3 THEN 'is open' WHEN 4 THEN 'dropped' ELSE 'calm' END AS t FROM events) SELECT t, count(*) AS n FROM e GROUP BY t""",
+    "accent_folding": rf"""SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace({_FOLDED}, '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
+        trim(regexp_replace(lower({_FOLDED}), '[^a-z0-9]+', ' ', 'g')) AS form FROM documents WHERE lang IN ('fr', 'es')""",
+    "entity_mentions": rf"""WITH {_DRAFT}, e AS (SELECT doc_id, text, unnest(['of the', 'licensed under', string_split(title, ' ')[1]]) AS entity FROM a),
+        m AS (SELECT entity FROM e WHERE NOT ({_FORM.format('entity')} <> '' AND contains(' ' || {_FORM.format('text')} || ' ', ' ' || {_FORM.format('entity')} || ' '))) SELECT entity, count(*) AS n FROM m GROUP BY entity HAVING count(*) > 3""",
+}
