@@ -320,8 +320,11 @@ def near_components(
         .select("u", F.explode("all").alias("v"))
     )
     parts = components(links.unionByName(twice))
+    # As an expression the fingerprint is dealt out anew for the last join; a
+    # join of its own two exchanges can split a fingerprint that many rows have.
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select(
-        *prints, F.coalesce("component", "rep").alias("component_id")
+        *[F.col(p).bitwiseXOR(F.lit(0).cast("bigint")).alias(p) for p in prints],
+        F.coalesce("component", "rep").alias("component_id"),
     )
     return rows.join(named, prints, "left").select("doc_id", "fp", "component_id")
 
