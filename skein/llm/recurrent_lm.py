@@ -41,6 +41,9 @@ LANES, WINDOW = 128, 32
 TRAIN_SHARE = 1 / 8
 LEAST_TOKENS = 4_000_000
 ROUNDS = 2
+#: Small corpora are passed over several times, until a copy has seen so many
+#: tokens, but not more often than MOST_PASSES.
+PASS_TOKENS, MOST_PASSES = 1_000_000, 8
 #: Tokens of a copy in a round, up to which copies are added; and the most copies.
 COPY_TOKENS = 250_000
 MOST_COPIES = 64
@@ -446,14 +449,15 @@ def _buffers(batches, columns: int):
         yield held
 
 
-def _copies(book, weights, rate: float):
+def _copies(book, weights, rate: float, passes: int):
     def run(batches):
         lexicon, (hidden, flat) = book.value, weights.value
         model = Gru(lexicon.words, lexicon.starts, lexicon.classes, hidden, flat)
         trainer, reader, tokens = Trainer(model, lexicon, rate), Reader(lexicon), 0
         for rows in _buffers(batches, 1):
             local, _ = reader.read([r[0] for r in rows])
-            trainer.run(reader.ids[local])
+            for _ in range(passes):
+                trainer.run(reader.ids[local])
             tokens += len(local)
         if tokens:
             cuts = [model.flat[i : i + _BLOCK] for i in range(0, len(model.flat), _BLOCK)]
@@ -488,6 +492,7 @@ def train_model(
     model = first_model(lexicon, hidden)
     share = min(1.0, max(TRAIN_SHARE, LEAST_TOKENS / max(1, lexicon.total)))
     place = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 20)) / float(1 << 20)
+    passes = int(min(MOST_PASSES, max(1, PASS_TOKENS // max(1, lexicon.total * share))))
     for i in range(ROUNDS):
         lo, hi = share * i / ROUNDS, share * (i + 1) / ROUNDS
         part = docs.where((place >= lo) & (place < hi)).select(text_col)
@@ -495,7 +500,7 @@ def train_model(
         held = docs.sparkSession.sparkContext.broadcast((hidden, model.flat))
         # Dealt in turn, not by a key: every copy costs its weights once more.
         trained = part.repartition(copies).mapInArrow(
-            _copies(book, held, RATE / (1 + i)), "block int, tokens double, weights binary"
+            _copies(book, held, RATE / (1 + i), passes), "block int, tokens double, weights binary"
         )
         means = trained.groupBy("block").applyInArrow(_mean_block, "block int, weights binary").collect()
         if means:
