@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alike import alike_links
 from .common import FILES, ROWS_A_FILE, hold, let_go, settle, small_batches
 from .components import components
 
@@ -29,6 +30,8 @@ SEED = 42
 WORD_SEEDS = (1, 2, 3)
 WORD_BITS = 5
 CHECK_BITS = 14
+#: Texts are near copies if their sets of five-word shingles are as alike.
+JACCARD = 0.8
 #: (offset, width) of the segments: MAX_BITS differing bits leave at most one
 #: in some segment, as three segments with two each would make six.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -274,6 +277,7 @@ def near_components(
     max_bits: int = MAX_BITS,
     word_bits: int | None = None,
     check_bits: int = CHECK_BITS,
+    jaccard: float | None = None,
 ) -> DataFrame:
     """(doc_id, fp, component_id) of each row.
 
@@ -287,6 +291,9 @@ def near_components(
     sets differ in at most word_bits bits and those of their shingles in at
     most check_bits.  That finds copies with a few changed words, whose
     shingle fingerprints alone are too far apart to search for.
+
+    With jaccard, all rows are linked as well whose sets of five-word shingles
+    have at least that similarity, whatever the kind of edit.
     """
     seeds = WORD_SEEDS if word_bits is not None else ()
     rows = hold(fingerprints(docs, id_col, text_col, seeds))
@@ -303,6 +310,11 @@ def near_components(
             links = links.unionByName(
                 fingerprint_links(reps.select(F.col(w).alias("fp"), "rep", F.col("fp").alias("chk")), word_bits, check_bits)
             )
+    if jaccard is not None:
+        # These links name documents; each goes with the least of its fingerprint.
+        links = links.unionByName(alike_links(docs, id_col, text_col, jaccard)).unionByName(
+            rows.join(own, "fp").where("rep < doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+        )
     # A repeated id with two texts connects their fingerprints.
     each = F.struct(*prints)
     twice = (
