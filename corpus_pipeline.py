@@ -8,7 +8,7 @@ from skein.llm.common import settle
 from skein.llm.decontaminate import drop_contaminated
 from skein.llm.exact_dedup import drop_exact_copies
 from skein.llm.mixing import mix
-from skein.llm.simhash import JACCARD, WORD_BITS, drop_near_copies
+from skein.llm.simhash import JACCARD, drop_near_copies
 from skein.llm.toxicity import drop_toxic, fit_toxicity
 
 
@@ -25,7 +25,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
-    return drop_near_copies(docs, word_bits=WORD_BITS, jaccard=JACCARD)
+    return drop_near_copies(docs, jaccard=JACCARD)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,15 +23,10 @@ from .components import components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-#: Of copies found by their word sets: seeds of the fingerprints, each of which
-#: finds most, and the most differing bits of the shingle fingerprints.  Texts
-#: with a Jaccard similarity of 0.8 differ in about ten bits there, unrelated
-#: ones in about 32.
-WORD_SEEDS = (1, 2, 3)
-WORD_BITS = 5
-CHECK_BITS = 14
 #: Texts are near copies if their sets of five-word shingles are as alike.
 JACCARD = 0.8
+#: What callers that still ask for copies by their word sets give; see near_components.
+WORD_BITS = 5
 #: (offset, width) of the segments: MAX_BITS differing bits leave at most one
 #: in some segment, as three segments with two each would make six.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -71,33 +66,15 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_fingerprint(text: str | None, seed: int) -> int:
-    """64-bit SimHash over the distinct words; no words: 0.
-
-    A changed word moves one feature here, but four of a shingle fingerprint,
-    so near copies stay close; it says nothing of the order of words.
-    """
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not words:
-        return 0
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words, itertools.repeat(seed)), np.uint64, len(words))
-    return int(np.packbits(_ones(h) * 2 > len(h), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_seeds: tuple[int, ...] = ()
-) -> DataFrame:
-    """(doc_id, fp, w0, w1, ...) of each row; null texts have no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) of each row; null texts have no words."""
     small_batches(docs.sparkSession)
-    names = ["fp", *(f"w{i}" for i in range(len(word_seeds)))]
 
-    @F.arrow_udf(f"struct<{','.join(f'{x}:bigint' for x in names)}>")
+    @F.arrow_udf("bigint")
     def all_of(texts: pa.Array) -> pa.Array:
-        texts = texts.to_pylist()
-        found = [[fingerprint(t) for t in texts], *([word_fingerprint(t, s) for t in texts] for s in word_seeds)]
-        return pa.StructArray.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in found], names)
+        return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), all_of(F.col(text_col)).alias("f")).select("doc_id", "f.*")
+    return docs.select(F.col(id_col).alias("doc_id"), all_of(F.col(text_col)).alias("fp"))
 
 
 def _keyed(reps: DataFrame) -> DataFrame:
@@ -276,7 +253,6 @@ def near_components(
     text_col: str = "text",
     max_bits: int = MAX_BITS,
     word_bits: int | None = None,
-    check_bits: int = CHECK_BITS,
     jaccard: float | None = None,
 ) -> DataFrame:
     """(doc_id, fp, component_id) of each row.
@@ -287,46 +263,32 @@ def near_components(
     that repeat an id are one node.  A null id takes part in no search: its row
     gets the component of its fingerprint, or null if no row with an id has it.
 
-    With word_bits, rows are linked as well if the fingerprints of their word
-    sets differ in at most word_bits bits and those of their shingles in at
-    most check_bits.  That finds copies with a few changed words, whose
-    shingle fingerprints alone are too far apart to search for.
-
     With jaccard, all rows are linked as well whose sets of five-word shingles
-    have at least that similarity, whatever the kind of edit.
+    have at least that similarity, whatever the kind of edit; nothing else is.
+    word_bits, which once linked by fingerprints of word sets alone, stands for
+    the similarity JACCARD.
     """
-    seeds = WORD_SEEDS if word_bits is not None else ()
-    rows = hold(fingerprints(docs, id_col, text_col, seeds))
-    prints = ["fp", *(f"w{i}" for i in range(len(seeds)))]
-    reps = hold(rows.where("doc_id IS NOT NULL").groupBy(*prints).agg(F.min("doc_id").alias("rep")))
-    own = reps.groupBy("fp").agg(F.min("rep").alias("rep"))
-    links = fingerprint_links(own.withColumn("chk", F.lit(0).cast("bigint")), max_bits)
-    if seeds:
-        # Equal fp under other word sets: one link to their least.
-        links = links.unionByName(
-            reps.select("fp", F.col("rep").alias("v")).join(own, "fp").where("rep < v").select(F.col("rep").alias("u"), "v")
-        )
-        for w in prints[1:]:
-            links = links.unionByName(
-                fingerprint_links(reps.select(F.col(w).alias("fp"), "rep", F.col("fp").alias("chk")), word_bits, check_bits)
-            )
+    if jaccard is None and word_bits is not None:
+        jaccard = JACCARD
+    rows = hold(fingerprints(docs, id_col, text_col))
+    reps = hold(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    links = fingerprint_links(reps.withColumn("chk", F.lit(0).cast("bigint")), max_bits)
     if jaccard is not None:
         # These links name documents; each goes with the least of its fingerprint.
         links = links.unionByName(alike_links(docs, id_col, text_col, jaccard)).unionByName(
-            rows.join(own, "fp").where("rep < doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+            rows.join(reps, "fp").where("rep < doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
         )
     # A repeated id with two texts connects their fingerprints.
-    each = F.struct(*prints)
     twice = (
         rows.where("doc_id IS NOT NULL")
         .groupBy("doc_id")
-        .agg(F.min(each).alias("lo"), F.max(each).alias("hi"))
+        .agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
         .where("lo != hi")
         .select("doc_id")
     )
     twice = (
         rows.join(twice, "doc_id", "left_semi")
-        .join(reps, prints)
+        .join(reps, "fp")
         .groupBy("doc_id")
         .agg(F.min("rep").alias("u"), F.collect_set("rep").alias("all"))
         .select("u", F.explode("all").alias("v"))
@@ -335,10 +297,10 @@ def near_components(
     # As an expression the fingerprint is dealt out anew for the last join; a
     # join of its own two exchanges can split a fingerprint that many rows have.
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select(
-        *[F.col(p).bitwiseXOR(F.lit(0).cast("bigint")).alias(p) for p in prints],
+        F.col("fp").bitwiseXOR(F.lit(0).cast("bigint")).alias("fp"),
         F.coalesce("component", "rep").alias("component_id"),
     )
-    return rows.join(named, prints, "left").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from skein.llm import alike
+from skein.llm import alike, simhash
 from skein.llm.components import components
 
 
@@ -58,3 +58,19 @@ def test_near_dedup_finds_appended_and_cut_blocks(spark):
         for i in range(h + 1, h + 6):
             if i in at and jaccard(at[h], at[i]) >= 0.8:
                 assert i not in kept
+
+
+def test_near_dedup_keeps_texts_of_like_words_below_the_threshold(spark):
+    dice = np.random.default_rng(2)
+    words = [f"w{x}" for x in dice.integers(0, 5000, 400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 30):
+        new = list(words)
+        for at in range(i % 20, 400, 30):  # 13 or 14 single words: about 65 of 396 shingles
+            new[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(new)))
+    assert all(jaccard(a, b) < 0.8 for i, a in rows for j, b in rows if i < j)
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    alone = {i for i, f in enumerate(fps) if all(i == j or (f ^ g).bit_count() > 4 for j, g in enumerate(fps))}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert alone and alone <= {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
