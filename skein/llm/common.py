@@ -104,8 +104,9 @@ def bounded_sample(
     """At most n of rows (id first), in the order of a hash of the id, with texts.
 
     Ids and lengths are chosen first, so that texts travel for chosen rows
-    only.  Texts stay whole; once max_bytes are reached no further row is taken
-    (a first text longer than that is still taken).
+    only.  Texts stay whole; one that does not fit into max_bytes is passed over,
+    and texts over an eighth of that come after all others, so that a few long
+    ones leave room.  If no text fits, the first is taken.
     """
     spark = docs.sparkSession
     sized = docs.select(
@@ -115,16 +116,16 @@ def bounded_sample(
     picked = (
         sized.join(ids, "__id")
         .dropDuplicates(["__id"])
-        .orderBy(F.xxhash64("__id"), "__id")
+        .orderBy(F.col("__size") > max_bytes // 8, F.xxhash64("__id"), "__id")
         .limit(n)
         .collect()
     )
     total, taken = 0, []
     for r in picked:
-        total += r["__size"]
-        if taken and total > max_bytes:
-            break
-        taken.append(r)
+        if total + r["__size"] <= max_bytes:
+            total += r["__size"]
+            taken.append(r)
+    taken = taken or picked[:1]
     if not taken:
         return []
     few = spark.createDataFrame([(r["__id"],) for r in taken], "__id bigint")
