@@ -36,14 +36,8 @@ WORD_CLASSES = 64
 CARRIED = 1 << 19
 HIDDEN = 24
 LANES, WINDOW = 128, 32
-#: Share of training tokens that the recurrent weights are trained on; small
-#: corpora are used more fully, up to whole, until LEAST_TOKENS are reached.
-TRAIN_SHARE = 1 / 8
-LEAST_TOKENS = 4_000_000
+#: Each training document is trained on once, in one of so many rounds.
 ROUNDS = 2
-#: Small corpora are passed over several times, until a copy has seen so many
-#: tokens, but not more often than MOST_PASSES.
-PASS_TOKENS, MOST_PASSES = 1_000_000, 8
 #: Tokens of a copy in a round, up to which copies are added; and the most copies.
 COPY_TOKENS = 250_000
 MOST_COPIES = 64
@@ -449,15 +443,14 @@ def _buffers(batches, columns: int):
         yield held
 
 
-def _copies(book, weights, rate: float, passes: int):
+def _copies(book, weights, rate: float):
     def run(batches):
         lexicon, (hidden, flat) = book.value, weights.value
         model = Gru(lexicon.words, lexicon.starts, lexicon.classes, hidden, flat)
         trainer, reader, tokens = Trainer(model, lexicon, rate), Reader(lexicon), 0
         for rows in _buffers(batches, 1):
             local, _ = reader.read([r[0] for r in rows])
-            for _ in range(passes):
-                trainer.run(reader.ids[local])
+            trainer.run(reader.ids[local])
             tokens += len(local)
         if tokens:
             cuts = [model.flat[i : i + _BLOCK] for i in range(0, len(model.flat), _BLOCK)]
@@ -484,23 +477,20 @@ def _mean_block(table: pa.Table) -> pa.Table:
 def train_model(
     docs: DataFrame, lexicon: Lexicon, book, id_col: str = "doc_id", text_col: str = "text", hidden: int = HIDDEN
 ) -> Gru:
-    """Train on documents chosen by a hash of their ids, in rounds of averaged copies.
+    """Train on all documents, dealt to rounds by a hash of their ids, in averaged copies.
 
-    What is trained on grows with docs: TRAIN_SHARE of the tokens.  book is a
-    broadcast of the lexicon.
+    Every document is in one round, at every size of docs; larger inputs have
+    more copies.  book is a broadcast of the lexicon.
     """
     model = first_model(lexicon, hidden)
-    share = min(1.0, max(TRAIN_SHARE, LEAST_TOKENS / max(1, lexicon.total)))
-    place = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 20)) / float(1 << 20)
-    passes = int(min(MOST_PASSES, max(1, PASS_TOKENS // max(1, lexicon.total * share))))
+    turn = F.coalesce(F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(ROUNDS)), F.lit(0))
     for i in range(ROUNDS):
-        lo, hi = share * i / ROUNDS, share * (i + 1) / ROUNDS
-        part = docs.where((place >= lo) & (place < hi)).select(text_col)
-        copies = int(min(MOST_COPIES, max(1, lexicon.total * share / ROUNDS // COPY_TOKENS)))
+        part = docs.where(turn == i).select(text_col)
+        copies = int(min(MOST_COPIES, max(1, lexicon.total / ROUNDS // COPY_TOKENS)))
         held = docs.sparkSession.sparkContext.broadcast((hidden, model.flat))
         # Dealt in turn, not by a key: every copy costs its weights once more.
         trained = part.repartition(copies).mapInArrow(
-            _copies(book, held, RATE / (1 + i), passes), "block int, tokens double, weights binary"
+            _copies(book, held, RATE / (1 + i)), "block int, tokens double, weights binary"
         )
         means = trained.groupBy("block").applyInArrow(_mean_block, "block int, weights binary").collect()
         if means:
@@ -582,8 +572,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     held_out: a boolean column; the model and all counts learn from the other
     rows.  Null texts are empty: the end is their one token.  Rows that repeat
-    an id are scored each; rows with null ids are counted, but the recurrent
-    weights are not trained on them.  Without any training row every word is
+    an id are scored each; rows with null ids are trained on like others.  Without any training row every word is
     unseen.  Scores are log10 of probabilities.  Words are told apart by 64-bit
     hashes.
     """
