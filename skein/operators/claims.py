@@ -46,7 +46,7 @@ def grounding_failure(value: Column, source: Column, title: Column | None = None
     """
     text = source if title is None else F.concat_ws(" ", title, source)
     numbers = lambda c: F.regexp_extract_all(F.regexp_replace(c, r"(?<=\d),(?=\d)", ""), F.lit(r"\d+(?:\.\d+)?"), 0)
-    names = F.slice(F.regexp_extract_all(value, F.lit(r"(?U)(?<=\s)\p{Lu}\w+"), 0), 1, 50)
+    names = F.regexp_extract_all(value, F.lit(r"(?U)(?<=\s)\p{Lu}\w+"), 0)
     low = F.lower(text)
     missing = F.filter(names, lambda n: ~F.contains(low, F.lower(n)))
     stands = lambda c, w: F.regexp_like(c, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))
