@@ -233,12 +233,12 @@ def accent_folding(spark, sf):
 
 
 def greedy_leader_cluster(spark, sf):
-    part = table(spark, sf, "part").where("p_size <= 3").select("p_partkey", F.concat(F.initcap("p_name"), F.lit(" "), F.initcap("p_type")).alias("title"), F.timestamp_seconds(F.col("p_partkey")).alias("published"))
+    part = table(spark, sf, "part").select("p_partkey", F.concat(F.initcap("p_name"), F.lit(" "), F.initcap("p_type")).alias("title"), F.timestamp_seconds(F.col("p_partkey")).alias("published"))
     return K.greedy_stories(part, "p_partkey", "title", "published")
 
 
 def greedy_claim_groups(spark, sf):
-    c = _claims(spark, sf).where("fact < 5").select(F.col("story_id").cast("string").alias("story_id"), "seq", "source_url", F.lit("price of stock").alias("claim"), "value")
+    c = _claims(spark, sf).select(F.col("story_id").cast("string").alias("story_id"), "seq", "source_url", F.lit("price of stock").alias("claim"), "value")
     return K.greedy_claims(c)
 
 
