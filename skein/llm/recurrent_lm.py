@@ -36,8 +36,9 @@ WORD_CLASSES = 64
 CARRIED = 1 << 19
 HIDDEN = 24
 LANES, WINDOW = 128, 32
-#: Each training document is trained on once, in one of so many rounds.
+#: Each training document is in one of so many rounds, and passed over so often there.
 ROUNDS = 2
+PASSES = 2
 #: Tokens of a copy in a round, up to which copies are added; and the most copies.
 COPY_TOKENS = 250_000
 MOST_COPIES = 64
@@ -450,7 +451,8 @@ def _copies(book, weights, rate: float):
         trainer, reader, tokens = Trainer(model, lexicon, rate), Reader(lexicon), 0
         for rows in _buffers(batches, 1):
             local, _ = reader.read([r[0] for r in rows])
-            trainer.run(reader.ids[local])
+            for _ in range(PASSES):
+                trainer.run(reader.ids[local])
             tokens += len(local)
         if tokens:
             cuts = [model.flat[i : i + _BLOCK] for i in range(0, len(model.flat), _BLOCK)]
