@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,10 +100,8 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)), F.lit(0))
 
 
-def bounded_sample(
-    rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, max_bytes: int
-) -> list[tuple]:
-    """At most n of rows (id first), in the order of a hash of the id, with texts.
+def sampled(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, max_bytes: int) -> DataFrame:
+    """(id, text) of at most n of rows (id first), in the order of a hash of the id.
 
     Ids and lengths are chosen first, so that texts travel for chosen rows
     only.  Texts stay whole; one that does not fit into max_bytes is passed over,
@@ -112,7 +112,7 @@ def bounded_sample(
     sized = docs.select(
         F.col(id_col).alias("__id"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("__size")
     )
-    ids = rows.withColumnRenamed(rows.columns[0], "__id").dropDuplicates(["__id"])
+    ids = rows.select(F.col(rows.columns[0]).alias("__id")).distinct()
     picked = (
         sized.join(ids, "__id")
         .dropDuplicates(["__id"])
@@ -126,15 +126,28 @@ def bounded_sample(
             total += r["__size"]
             taken.append(r)
     taken = taken or picked[:1]
-    if not taken:
-        return []
     few = spark.createDataFrame([(r["__id"],) for r in taken], "__id bigint")
-    texts = dict(
+    return (
         docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text"))
         .join(F.broadcast(few), "__id")
-        .groupBy("__id")
-        .agg(F.min("__text"))
-        .toLocalIterator()
+        .groupBy(F.col("__id").cast("bigint").alias("id"))
+        .agg(F.min("__text").alias("text"))
     )
-    names = [c for c in ids.columns if c != "__id"]
-    return [(r["__id"], texts[r["__id"]], *(r[c] for c in names)) for r in taken if r["__id"] in texts]
+
+
+def bounded_sample(
+    rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, max_bytes: int
+) -> list[tuple]:
+    """The rows of sampled(), brought to the driver."""
+    return sorted(map(tuple, sampled(rows, docs, id_col, text_col, n, max_bytes).toLocalIterator()))
+
+
+def fit_in_a_task(rows: DataFrame, fit) -> bytes:
+    """fit(list of rows as tuples) as pickled bytes; it runs in one task, so rows must be bounded."""
+
+    def run(batches):
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.record_batch([pa.array([pickle.dumps(fit(held), pickle.HIGHEST_PROTOCOL)], pa.binary())], ["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(got[0]) if got else pickle.dumps(fit([]))

@@ -1,14 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models spell words, one as toxic documents do, one
-as ordinary documents do.  Low orders use counts that both classes share, so
-an expression too rare for either class backs off to the same estimate in
-both.  The difference of the two log-likelihoods, per character, marks a word;
-a document is judged by its most telling words and by its own mean.
+Two models spell the words of a text, one as toxic documents do, one as ordinary
+documents do.  Their letters' chain is one Kneser-Ney model of both classes
+together; each class has its own counts only on top of it, less a large
+discount.  So an expression that is rare in either class backs off to the same
+estimate in both and tells nothing.
+
+The two log-likelihoods are compared per word.  Toxic documents hold one to
+three toxic words in a hundred, and their language and style move the mean over
+all words more than those do.  So the comparison is made over a document's most
+telling words, a fixed share of its length.
 """
 
 from __future__ import annotations
 
+import itertools
+import pickle
 import uuid
 from collections import Counter
 
@@ -17,22 +24,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, small_batches
+from .common import fit_in_a_task, fold, sampled, small_batches
 from .numeric import fit_logistic, logistic
 
-ORDER = 5
-#: Orders up to this one use counts of both classes together.
-SHARED = 2
-DISCOUNT = 0.75
+#: Letters of a gram at most, the predicted one included.
+ORDER = 7
+#: What shared counts lose, and what counts of one class lose.
+DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
+#: From this order on a gram that occurs once is only backed off to.
+PRUNED = 4
+#: The share of a document's words that are its most telling ones.
+TAIL = 0.015
 #: Bounds of the labelled sample, for each label: documents, bytes of text.
 SAMPLE_DOCS = 800
 SAMPLE_BYTES = 2 << 20
 THRESHOLD = 0.3
-FOLDS = 2
+FOLDS = 4
 #: Distinct words that a worker keeps scores of.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words that are spelled at once.
+_SPELLED = 20_000
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,84 +72,108 @@ def _grams(codes: np.ndarray, word: np.ndarray, order: int):
     h = np.zeros(len(codes), np.uint64)
     for n in range(1, order + 1):
         back = np.zeros(len(codes), np.uint64)
-        back[n - 1 :] = mixed[: len(codes) - n + 1] if n > 1 else mixed
+        if n <= len(codes):
+            back[n - 1 :] = mixed[: len(codes) - n + 1]
         h = (h * np.uint64(0x100000001B3)) ^ (back + np.uint64(n))
         yield n, h.copy(), (place >= n - 1) & (place >= 1)
 
 
-class SpellingModel:
-    """Two Kneser-Ney models over the letters of words, class 0 and class 1."""
+class LetterModel:
+    """P(word | class) letter by letter, for classes 0 and 1."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER, shared: int = SHARED):
-        """counts: (len(words), 2), how often each class has each word."""
+    def __init__(self, words: list[str], counts: np.ndarray, order: int = ORDER, discount: float = CLASS_DISCOUNT):
+        """counts: (len(words), 2), in how many documents of each class each word is."""
         self.order = order
         codes, word = _codes(words)
         counts = counts.astype(np.float32)
-        first = _places(word)
+        place = _places(word)
+        self.letters = len(np.unique(codes[place >= 1])) + 1  # and one for all others
+        #: For each order: gram keys, what their shared counts and those of each class give;
+        #: and by gram of the order before: what shared counts and each class leave to shorter ones.
         self.tables = []
-        # Three orders at a time: a gram, its context, and what continues it.
-        grams = _grams(codes, word, order)
-        before, now, after = None, next(grams), next(grams, None)
-        while now:
-            n, h, ok = now
-            keys, at = np.unique(h[ok], return_inverse=True)
-            full = np.zeros((len(keys), 2))
-            for c in (0, 1):
-                full[:, c] = np.bincount(at, counts[word[ok], c], len(keys))
+        slot, held = np.zeros(len(codes), np.int64), 1
+        grams = _grams(codes, word, order + 1)
+        now, after = next(grams), next(grams, None)
+        for n in range(1, order + 1):
+            _, h, ok = now
+            i = np.flatnonzero(ok)
+            if n > 1:
+                i = i[slot[i - 1] >= 0]
+            context = slot[i - 1] if n > 1 else np.zeros(len(i), np.int64)
+            keys, at = np.unique(h[i], return_inverse=True)
+            of = np.zeros(len(keys), np.int64)
+            of[at] = context
+            raw = np.stack([np.bincount(at, counts[word[i], c], len(keys)) for c in (0, 1)], axis=1)
+            both = raw.sum(axis=1)
             if n < order:
                 # Continuation counts, but at the start of a word, where nothing can precede.
                 _, longer, whole = after
-                _, one, where = np.unique(longer[whole], return_index=True, return_inverse=True)
-                of = np.searchsorted(keys, h[whole][one])
-                left = np.zeros((len(keys), 2))
-                for c in (0, 1):
-                    has = np.bincount(where, counts[word[whole], c], len(one)) > 0
-                    left[:, c] = np.bincount(of, has, len(keys))
+                wide = whole[i]
+                _, one = np.unique(longer[i[wide]], return_index=True)
+                left = np.bincount(at[wide][one], minlength=len(keys)).astype(float)
                 starts = np.zeros(len(keys), bool)
-                starts[at[first[ok] == n - 1]] = True
-                full = np.where(starts[:, None], full, left)
-            if n <= shared:
-                full = np.repeat(full.sum(axis=1, keepdims=True), 2, axis=1)
-            # The context of a gram is the shorter gram that ends one code earlier.
-            where_ok = np.flatnonzero(ok)
-            some = np.full(len(keys), -1)
-            some[at] = where_ok
-            context = before[1][some - 1] if n > 1 else np.zeros(len(keys), np.uint64)
-            ckeys, cat = np.unique(context, return_inverse=True)
-            total, kinds = np.zeros((len(ckeys), 2)), np.zeros((len(ckeys), 2))
-            for c in (0, 1):
-                total[:, c] = np.bincount(cat, full[:, c], len(ckeys))
-                kinds[:, c] = np.bincount(cat, full[:, c] > 0, len(ckeys))
-            kept = np.maximum(full - DISCOUNT, 0) / np.maximum(total[cat], 1)
-            rest = np.where(total > 0, np.minimum(1, DISCOUNT * kinds / np.maximum(total, 1)), 1)
-            self.tables.append((keys, kept.astype(np.float32), ckeys, rest.astype(np.float32)))
-            before, now, after = now, after, next(grams, None)
-        self.floor = 1 / 2048  # of any code, where even the shortest context says nothing
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        """log P(word | class 1) - log P(word | class 0), per code."""
-        if not words or not len(self.tables[0][0]):
-            return np.zeros(len(words))  # nothing seen, nothing told apart
-        codes, word = _codes(words)
-        p = np.full((len(codes), 2), self.floor)
-        before = np.zeros(len(codes), np.uint64)
-        for (n, h, ok), (keys, kept, ckeys, rest) in zip(_grams(codes, word, self.order), self.tables, strict=True):
-            at = np.flatnonzero(ok)
-            if n == 1:
-                p[at] *= rest[0] if len(rest) else 1
+                starts[at[place[i] == n - 1]] = True
+                shared = np.where(starts, both, left)
             else:
-                context, back = np.unique(before[at - 1], return_inverse=True)
-                slot, found = _find(ckeys, context)
-                factor = np.where(found[:, None], rest[slot], 1) if len(rest) else np.ones((len(context), 2))
-                p[at] *= factor[back]
-            gram, back = np.unique(h[at], return_inverse=True)
-            slot, found = _find(keys, gram)
-            if len(kept):
-                p[at] += np.where(found[:, None], kept[slot], 0)[back]
-            before = h
-        use = codes != 2
-        logs = np.log(p[use, 1]) - np.log(p[use, 0])
-        return np.bincount(word[use], logs, len(words)) / np.bincount(word[use], minlength=len(words))
+                shared = both
+            known = (both > 1) | (n < PRUNED)
+            cut = np.where(known, np.minimum(shared, DISCOUNT), shared)
+            share = lambda x: np.bincount(of, x, held)  # noqa: B023, E731
+            total, own = share(shared), np.stack([share(raw[:, c]) for c in (0, 1)], axis=1)
+            rest = np.where(total > 0, share(cut) / np.maximum(total, 1e-9), 1)
+            low = np.minimum(raw, discount)
+            left = np.stack([share(low[:, c]) for c in (0, 1)], axis=1)
+            left = np.where(own > 0, left / np.maximum(own, 1e-9), 1)
+            kept = (shared - cut) / np.maximum(total[of], 1e-9)
+            mine = (raw - low) / np.maximum(own[of], 1e-9)
+            new = np.cumsum(known) - 1
+            slot = np.full(len(codes), -1, np.int64)
+            slot[i] = np.where(known[at], new[at], -1)
+            keys, kept, mine = keys[known], kept[known], mine[known]
+            if n == 1:
+                # The start sign is a context, and never predicted.
+                sign = h[place == 0][:1]
+                at = int(np.searchsorted(keys, sign[0])) if len(sign) else 0
+                keys, kept = np.insert(keys, at, sign) if len(sign) else keys, np.insert(kept, at, [0.0] * len(sign))
+                mine = np.insert(mine, at, np.zeros((len(sign), 2)), axis=0)
+                slot[slot >= at] += len(sign)
+                slot[place == 0] = at
+            self.tables.append(tuple(x if x.dtype == np.uint64 else x.astype(np.float32) for x in (keys, kept, mine, rest, left)))
+            held = len(keys)
+            now, after = after, next(grams, None)
+
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        """(len(words), 2): log P of each word, its end included."""
+        word, logs = self.letter_log_probs(words)
+        return np.stack([np.bincount(word, logs[:, c], len(words)) for c in (0, 1)], axis=1)
+
+    def letter_log_probs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each letter and end of words: the word's number, and log P of the letter after those before it."""
+        codes, word = _codes(words)
+        place = _places(word)
+        p = np.full(len(codes), 1 / self.letters)
+        own = np.stack([p, p], axis=1)
+        slot = np.zeros(len(codes), np.int64)
+        for (n, h, ok), (keys, kept, mine, rest, left) in zip(_grams(codes, word, self.order), self.tables, strict=True):
+            i = np.flatnonzero(ok)
+            if n > 1:
+                i = i[slot[i - 1] >= 0]
+            context = slot[i - 1] if n > 1 else np.zeros(len(i), np.int64)
+            at, found = _find(keys, h[i])
+            p[i] *= rest[context]
+            if len(keys):
+                p[i] += np.where(found, kept[at], 0)
+            own[i] = left[context] * p[i][:, None]
+            if len(keys):
+                own[i] += np.where(found[:, None], mine[at], 0)
+            slot = np.full(len(codes), -1, np.int64)
+            slot[i] = np.where(found, at, -1)
+            if n == 1 and len(keys):
+                signs = np.flatnonzero(place == 0)
+                at, found = _find(keys, h[signs])
+                slot[signs] = np.where(found, at, -1)
+        use = place >= 1
+        return word[use], np.log(own[use])
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,41 +187,43 @@ def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-class WordMargins:
-    """Margins of words, each spelled once as long as it stays in the cache."""
+class Margins:
+    """Margins of words and texts; a word is spelled once as long as it stays in the cache."""
 
-    def __init__(self, model: SpellingModel):
-        self.model, self.number, self.values = model, {}, np.zeros(0)
+    def __init__(self, letters: LetterModel):
+        self.letters, self.number, self.margins = letters, {}, np.zeros(0)
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """For each text: its three largest word margins, its mean, and its share of large margins."""
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | toxic) - log P(word | ordinary) of all words, and each text's number of words."""
         if len(self.number) > CACHE:
-            self.number, self.values = {}, np.zeros(0)
-        number, docs, old = self.number, [], len(self.number)
-        for text in texts:
-            docs.append([number.setdefault(w, len(number)) for w in tokens(text)])
-        new = [w for w, i in zip(reversed(number), range(len(number) - 1, old - 1, -1), strict=False)][::-1]
-        parts = [self.model.margins(new[i : i + 50_000]) for i in range(0, len(new), 50_000)]
-        self.values = np.concatenate([self.values, *parts])
-        out = np.zeros((len(texts), 5))
-        for i, doc in enumerate(docs):
-            if doc:
-                v = self.values[doc]
-                top = np.sort(np.partition(v, -3)[-3:])[::-1] if len(v) > 3 else np.sort(v)[::-1]
-                out[i, : len(top)] = top
-                out[i, 3] = v.mean()
-                out[i, 4] = np.log1p((v > 0.7).sum()) - np.log1p(len(v)) / 4
+            self.number, self.margins = {}, np.zeros(0)
+        number, old = self.number, len(self.number)
+        docs = [[number.setdefault(w, len(number)) for w in tokens(t)] for t in texts]
+        new = list(itertools.islice(reversed(number), len(number) - old))[::-1]
+        for i in range(0, len(new), _SPELLED):
+            logs = self.letters.log_probs(new[i : i + _SPELLED])
+            self.margins = np.concatenate([self.margins, logs[:, 1] - logs[:, 0]])
+        n = np.fromiter(map(len, docs), np.int64, len(docs))
+        return self.margins[np.fromiter(itertools.chain.from_iterable(docs), np.int64, int(n.sum()))], n
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """For each text: the mean margin of its most telling words; 0 without words."""
+        margin, n = self(texts)
+        out, ends = np.zeros((len(texts), 1)), np.cumsum(n)
+        for i in np.flatnonzero(n).tolist():
+            v, top = margin[ends[i] - n[i] : ends[i]], int(np.ceil(TAIL * n[i]))
+            out[i] = np.partition(v, len(v) - top)[-top:].mean()
         return out
 
 
 class ToxicityModel:
-    """Spelling models of both classes and the weights of a document's features."""
+    """The letter models of both classes and the weights that make a score of a document's margin."""
 
-    def __init__(self, spelling: SpellingModel, weights: np.ndarray):
-        self.spelling, self.weights = spelling, weights
+    def __init__(self, letters: LetterModel, weights: np.ndarray):
+        self.letters, self.weights = letters, weights
 
     def scorer(self):
-        margins = WordMargins(self.spelling)
+        margins = Margins(self.letters)
         return lambda texts: logistic(margins.features(texts), self.weights)
 
 
@@ -195,25 +234,22 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
     FOLDS parts is scored by models of the others.
     """
 
-    def spell(part):
-        counts = [Counter(), Counter()]
+    def letters(part):
+        words = [Counter(), Counter()]
         for text, label in part:
-            counts[label].update(tokens(text))
-        words = list({**counts[0], **counts[1]})
-        both = np.empty((len(words), 2), np.float32)
-        for c in (0, 1):
-            both[:, c] = np.fromiter((counts[c].get(w, 0) for w in words), np.float32, len(words))
-        del counts
-        return SpellingModel(words, both)
+            words[label].update(set(tokens(text)))
+        names = list({**words[0], **words[1]})
+        return LetterModel(names, np.stack([np.fromiter((words[c].get(w, 0) for w in names), np.float32, len(names)) for c in (0, 1)], axis=1))
 
     rows = sorted(rows, key=lambda r: r[1])  # so that each part has its share of both labels
-    x, y = [np.zeros((0, 5))], [np.zeros(0)]
+    x, y = [np.zeros((0, 1))], [np.zeros(0)]
     for i in range(FOLDS):
-        margins = WordMargins(spell([r for j, r in enumerate(rows) if j % FOLDS != i]))
-        x.append(margins.features([t for t, _ in rows[i::FOLDS]]))
-        y.append(np.array([label for _, label in rows[i::FOLDS]], float))
+        margins, part = Margins(letters([r for j, r in enumerate(rows) if j % FOLDS != i])), rows[i::FOLDS]
+        for at in range(0, len(part), 200):
+            x.append(margins.features([t for t, _ in part[at : at + 200]]))
+            y.append(np.array([label for _, label in part[at : at + 200]], float))
         del margins
-    return ToxicityModel(spell(rows), fit_logistic(np.concatenate(x), np.concatenate(y)))
+    return ToxicityModel(letters(rows), fit_logistic(np.concatenate(x), np.concatenate(y)))
 
 
 def fit_toxicity(
@@ -224,8 +260,10 @@ def fit_toxicity(
     label_col: str = "toxic",
     sample_docs: int = SAMPLE_DOCS,
     sample_bytes: int = SAMPLE_BYTES,
-) -> ToxicityModel:
-    """Fit on at most sample_docs documents of each label, at most sample_bytes of text each.
+) -> bytes:
+    """A pickled ToxicityModel, fitted in one task.
+
+    It is fitted on at most sample_docs documents of each label, at most sample_bytes of text each.
 
     Documents are taken in the order of a hash of their ids.  Labels but 0 and
     1, null ids and labels of absent documents are left out; a document with
@@ -233,15 +271,19 @@ def fit_toxicity(
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    rows = []
-    for label in (0, 1):
-        few = bounded_sample(known.where(F.col("label") == label).select("id"), docs, id_col, text_col, sample_docs, sample_bytes)
-        rows += [(id_, text, label) for id_, text in few]
-    rows.sort(key=lambda r: (r[0] * 2654435761 % 4294967296, r[0]))
-    return train([(text, label) for _, text, label in rows])
+    few = [
+        sampled(known.where(F.col("label") == y).select("id"), docs, id_col, text_col, sample_docs, sample_bytes).withColumn("label", F.lit(y))
+        for y in (0, 1)
+    ]
+
+    def fit(rows: list[tuple]) -> ToxicityModel:
+        rows = sorted(rows, key=lambda r: (r[0] * 2654435761 % 4294967296, r[0]))
+        return train([(text, label) for _, text, label in rows])
+
+    return fit_in_a_task(few[0].unionByName(few[1]), fit)
 
 
-def toxicity_score(spark, model: ToxicityModel, text: Column) -> Column:
+def toxicity_score(spark, model: bytes, text: Column) -> Column:
     """A column of scores; null texts are empty."""
     small_batches(spark)
     held, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -260,11 +302,11 @@ def _scorer(token: str, held):
     """One scorer a worker process, with its cache of words, for the model used last."""
     if token not in _scorers:
         _scorers.clear()
-        _scorers[token] = held.value.scorer()
+        _scorers[token] = pickle.loads(held.value).scorer()
     return _scorers[token]
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: bytes, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score under threshold, all columns."""
     scored = docs.withColumn("__toxicity", toxicity_score(docs.sparkSession, model, F.col(text_col)))
     return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")

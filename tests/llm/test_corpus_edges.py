@@ -281,11 +281,61 @@ def test_toxicity_edges(spark):
     assert kept.columns == df.columns and kept.count() == len(EDGES)
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    model = toxicity.SpellingModel(["ab", "abc", "b", "ca"], np.array([[3, 0], [1, 2], [0, 4], [2, 2]]), order=3)
-    # Of the words of one letter and the end: the chance of the first letter sums to at most one.
-    marg = model.margins(["ab", "zzz", "b"])
-    assert np.isfinite(marg).all() and marg[2] > marg[0]
+def kneser_ney(words, counts, order, alphabet):
+    """P(letter | history, class) by the textbook: word counts a class, shared continuation counts below."""
+    grams = {}
+    for w, pair in zip(words, counts, strict=True):
+        s = "^" + w + "$"
+        for i in range(1, len(s)):
+            for n in range(1, min(order, i + 1) + 1):
+                grams.setdefault(s[i - n + 1 : i + 1], np.zeros(2))[:] += pair
+
+    def shared(g):
+        if len(g) == order or g.startswith("^"):
+            return grams[g].sum()
+        return sum(1 for x in grams if x[1:] == g)
+
+    def p(history, letter, c):
+        q = own = 1 / (alphabet + 1)
+        for n in range(1, order + 1):
+            h = ("^" + history)[len(history) + 2 - n :] if n > 1 else ""
+            if n > len(history) + 2 or (h not in grams and h not in ("", "^")):
+                break
+            follow = {g: shared(g) for g in grams if len(g) == n and g[:-1] == h}
+            if not follow:
+                own = q
+                continue
+            total, d = sum(follow.values()), toxicity.DISCOUNT
+            q = max(follow.get(h + letter, 0) - d, 0) / total + d * len(follow) / total * q
+            mine = {g: grams[g][c] for g in follow}
+            d, total = toxicity.CLASS_DISCOUNT, sum(mine.values())
+            own = (max(mine.get(h + letter, 0) - d, 0) + sum(min(x, d) for x in mine.values()) * q) / total if total else q
+        return own
+
+    return p
+
+
+KN_WORDS, KN_COUNTS = ["ab", "abc", "b", "ca", "caab", "abca"], np.array([(3, 0), (1, 2), (0, 4), (2, 2), (0, 1), (5, 1)])
+
+
+def test_kneser_ney_by_brute_force():
+    p = kneser_ney(KN_WORDS, KN_COUNTS, 3, 4)
+    model = toxicity.LetterModel(KN_WORDS, KN_COUNTS, order=3)
+    for w in ["ab", "b", "caab", "bbb", "zab", "abz", "", "cabab"]:
+        got = model.log_probs([w, "ab"])[0]
+        want = [sum(np.log(p(w[:i], (w + "$")[i], c)) for i in range(len(w) + 1)) for c in (0, 1)]
+        assert got == pytest.approx(want, rel=1e-4)
+
+
+@pytest.mark.parametrize("order", [2, 4, 6])
+def test_kneser_ney_probabilities_sum_to_one(order):
+    model = toxicity.LetterModel(KN_WORDS, KN_COUNTS, order=order)
+    for w in ["", "a", "ca", "abc", "bb", "?a", "abca"]:
+        total = np.zeros(2)
+        for x in ["", "a", "b", "c", "?"]:  # the end, each letter, and any other sign
+            _, logs = model.letter_log_probs([w + x])
+            total += np.exp(logs[len(w)])
+        assert total == pytest.approx(np.ones(2), abs=1e-4)
 
 
 def test_toxic_stems_generalise():

@@ -65,6 +65,14 @@ def test_op10_scores(spark, sf_dir):
     assert toxic > 2 * np.mean([r["score"] for r in train if not labels[r["doc_id"]]])
 
 
+def test_op10_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op10_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+    caught = np.mean([r["predicted"] for r in rows if labels[r["doc_id"]]])
+    assert caught >= 0.9 and np.mean([r["predicted"] for r in rows if not labels[r["doc_id"]]]) < 0.03
+
+
 def test_op9_base_by_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     table = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
