@@ -1,59 +1,68 @@
 """Benchmark decontamination by winnowing.
 
-Of every WINDOW consecutive k-gram hashes the least is kept as a fingerprint,
-in documents and in benchmark items alike, so any shared span of K + WINDOW - 1
-words shares one.  Documents look their fingerprints up among the benchmark's,
-and each hit is extended to both sides over the words themselves.
+Of every WINDOW consecutive k-gram hashes the least is kept as a fingerprint, in
+documents and in benchmark items alike, so any shared span of K + WINDOW - 1
+words shares one.  Fingerprints of both sides meet in a join.  Hits are then
+extended: the spans of SPAN words whose fingerprint was hit are joined with the
+benchmark's spans in full, and spans that touch become one.
+
+Before the join, documents drop the fingerprints that a filter of bounded size
+knows not to be the benchmark's; it may let others pass, but never drops a hit.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import hold, small_batches
 
 #: Words of a span that counts.
 SPAN = 10
 K = 5
 WINDOW = SPAN - K + 1
-#: Benchmark text that one index may hold; more is taken in several passes.
-INDEX_BYTES = 32 << 20
+#: Bytes of the filter that goes to every task, at most; and its bits for a fingerprint, if there is room.
+FILTER_BYTES = 8 << 20
+FILTER_BITS = 32
+#: Texts with a hit up to which their keys go to every task, and bytes of what is found in them.
+BROADCAST_KEYS, BROADCAST_BYTES = 1 << 20, 16 << 20
+#: Words that a worker keeps hashes of.
+_MOST_WORDS = 1 << 19
 
 #: A-Z to a-z; every other ASCII byte but digits and a-z to a space.
 _TABLE = bytes(
     (c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256)
 )
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words in the same sense, for the JVM, A-Z included.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(ids: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndarray:
     """A hash of each k consecutive ids."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     ids = ids.astype(np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, k, np.uint64)
     for j in range(k):
-        out = (out ^ ids[j : j + n]) * _BASE
+        out = (out ^ ids[j : j + n]) * base
         out ^= out >> np.uint64(29)
     return out
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least hash (the last of equal ones) of each window."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    window = min(window, len(hashes))
+    """For each window of so many hashes the position of the least, the last of equal ones."""
+    window = max(1, min(window, len(hashes)))
     n = len(hashes) - window + 1
     best, at = hashes[:n].copy(), np.arange(n)
     for j in range(1, window):
@@ -61,205 +70,249 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
         less = other <= best
         best = np.where(less, other, best)
         at[less] = np.flatnonzero(less) + j
-    return np.unique(at)
-
-
-class Index:
-    """Benchmark items: their words as numbers, and their fingerprints."""
-
-    def __init__(self, items: list[tuple[object, str | None]], span: int = SPAN, k: int = K):
-        self.span, self.k = span, k
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[object, np.ndarray]] = []
-        places, short = defaultdict(list), defaultdict(lambda: defaultdict(list))
-        for key, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            n = len(self.items)
-            self.items.append((key, ids))
-            if len(ids) < span:
-                short[len(ids)][tuple(ids.tolist())].append(n)
-                continue
-            hashes = gram_hashes(ids, k)
-            for p in winnow(hashes, span - k + 1).tolist():
-                places[int(hashes[p])].append((n, p))
-        self.keys = np.array(sorted(places), np.uint64)
-        self.places = [places[int(h)] for h in self.keys]
-        #: length: (sorted hashes of items of that length, items by words)
-        self.short = {
-            m: (np.unique(np.concatenate([gram_hashes(np.array(t), m) for t in by])), dict(by)) for m, by in short.items()
-        }
-
-    def hits(self, text: str | None) -> tuple[int, np.ndarray, set[int]]:
-        """Words of a text, which of them are hit, and the items with a hit."""
-        words = words_of(text)
-        hit, found = np.zeros(len(words) + 1, np.int32), set()
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        known = np.flatnonzero(ids)
-        if len(known) and len(self.keys):
-            hashes = gram_hashes(ids, self.k)
-            at = winnow(hashes, self.span - self.k + 1)
-            slot = np.searchsorted(self.keys, hashes[at])
-            slot[slot == len(self.keys)] = 0
-            good = self.keys[slot] == hashes[at]
-            done = defaultdict(int)  # (item, shift): where the last span ended
-            for p, s in zip(at[good].tolist(), slot[good].tolist(), strict=True):
-                for item, q in self.places[s]:
-                    if done[item, p - q] > p:
-                        continue
-                    a, b = self._extend(ids, p, self.items[item][1], q)
-                    done[item, p - q] = b
-                    if b - a >= self.span:
-                        hit[a] += 1
-                        hit[b] -= 1
-                        found.add(item)
-        for m, (keys, by) in self.short.items():
-            hashes = gram_hashes(ids, m)
-            slot = np.searchsorted(keys, hashes)
-            slot[slot == len(keys)] = 0
-            for p in np.flatnonzero(keys[slot] == hashes).tolist():
-                for item in by.get(tuple(ids[p : p + m].tolist()), ()):
-                    hit[p] += 1
-                    hit[p + m] -= 1
-                    found.add(item)
-        return len(words), np.cumsum(hit[:-1]) > 0, found
-
-    def _extend(self, ids: np.ndarray, p: int, item: np.ndarray, q: int) -> tuple[int, int]:
-        """The longest run of equal words around ids[p] and item[q]; empty if they differ."""
-        a, b = min(p, q), min(len(ids) - p, len(item) - q)
-        same = ids[p - a : p + b] == item[q - a : q + b]
-        if not same[a]:
-            return p, p
-        off = np.flatnonzero(~same)
-        left, right = off[off < a], off[off > a]
-        start = int(left[-1]) + 1 if len(left) else 0
-        end = int(right[0]) if len(right) else a + b
-        return p - a + start, p - a + end
-
-
-def _packed(benchmark: DataFrame, item_col: str, text_col: str, most: int):
-    """The items in groups of at most `most` bytes of text (one item at least)."""
-    group, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string"), text_col).where(F.col(text_col).isNotNull())
-    for key, text in rows.toLocalIterator():
-        n = len(text.encode("utf-8", "surrogatepass"))
-        if group and size + n > most:
-            yield group
-            group, size = [], 0
-        group.append((key, text))
-        size += n
-    if group:
-        yield group
-
-
-def _finder(sc, items: list[tuple[str, str]], span: int, k: int):
-    """text -> struct(n_words, hit word ranges, ids of items with a hit)."""
-    held, token = sc.broadcast(items), uuid.uuid4().hex
-
-    @F.arrow_udf("struct<n_words:bigint,hits:array<struct<start:bigint,end:bigint>>,items:array<string>>")
-    def find(texts: pa.Array) -> pa.Array:
-        index = _cached(token, held, span, k)
-        out = []
-        for text in texts.to_pylist():
-            n, hit, found = index.hits(text)
-            edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-            spans = [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
-            out.append({"n_words": n, "hits": spans, "items": sorted({index.items[i][0] for i in found if index.items[i][0] is not None})})
-        kind = pa.struct(
-            [
-                ("n_words", pa.int64()),
-                ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ("items", pa.list_(pa.string())),
-            ]
-        )
-        return pa.array(out, kind)
+    return at
+
+
+class Spans:
+    """The spans of texts and their fingerprints."""
+
+    def __init__(self, span: int = SPAN, k: int = K):
+        self.span, self.k, self.known = span, k, {}
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > _MOST_WORDS:
+            self.known.clear()
+        known = self.known
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def of(self, hashes: np.ndarray, m: int, passes=None):
+        """(start, fingerprint, two hashes) of each span of m words whose fingerprint passes.
+
+        Spans shorter than self.span are their own fingerprints.
+        """
+        if len(hashes) < m:
+            return (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3)
+        if m < self.span:
+            print_ = gram_hashes(hashes, m)
+            start = np.arange(len(print_)) if passes is None else np.flatnonzero(passes(print_))
+            print_ = print_[start]
+        else:
+            grams = gram_hashes(hashes, self.k)
+            at = winnow(grams, m - self.k + 1)
+            start = np.arange(len(at))
+            if passes is not None:
+                kept = np.unique(at)
+                kept = kept[passes(grams[kept])]
+                start = np.flatnonzero(np.isin(at, kept)) if len(kept) else kept
+            print_ = grams[at[start]]
+        if not len(start):
+            return start, print_, print_, print_
+        whole = hashes[start[:, None] + np.arange(m)]
+        one, two = np.full(len(start), m, np.uint64), np.full(len(start), m, np.uint64)
+        for j in range(m):
+            one = (one ^ whole[:, j]) * _BASE
+            one ^= one >> np.uint64(31)
+            two = (two + whole[:, j]) * _OTHER
+            two ^= two >> np.uint64(27)
+        return start, print_, one, two
+
+
+class Filter:
+    """A Bloom filter over fingerprints: 64-bit words, a power of two of them."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    @staticmethod
+    def places(h, bits: int):
+        """Three bits of each fingerprint; h: a column of signed 64-bit hashes."""
+        return [F.shiftrightunsigned(h, n).bitwiseAND(F.lit(bits - 1).cast("bigint")) for n in (0, 20, 38)]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for n in (0, 20, 38):
+            place = (h >> np.uint64(n)) & self.mask
+            out &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def fit_filter(prints: DataFrame, most_bytes: int = FILTER_BYTES) -> Filter:
+    """A filter of the fingerprints h of prints; at most most_bytes, and the sum of its words comes to the driver."""
+    n = prints.count()
+    bits = 1 << 10
+    while bits < n * FILTER_BITS and bits < most_bytes * 8:
+        bits *= 2
+    place = F.explode(F.array(*Filter.places(F.col("h"), bits)))
+    got = (
+        prints.select(place.alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x"))
+        .toArrow()
+    )
+    words = np.zeros(bits // 64, np.uint64)
+    words[got.column("w").to_numpy()] = got.column("x").to_numpy().astype(np.int64).view(np.uint64)
+    return Filter(words)
 
-    return find
+
+_SPANS = "item string, m int, h bigint, s1 bigint, s2 bigint"
+
+
+def _item_spans(span: int, k: int):
+    def run(batches):
+        spans = Spans(span, k)
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                m = min(span, len(words))
+                if not m:
+                    continue
+                _, *found = spans.of(spans.hashes(words), m)
+                n = len(found[0])
+                yield pa.record_batch(
+                    [
+                        pa.array([item] * n, pa.string()),
+                        pa.array(np.full(n, m, np.int32)),
+                        *(pa.array(x.view(np.int64)) for x in found),
+                    ],
+                    ["item", "m", "h", "s1", "s2"],
+                )
+
+    return run
 
 
-#: Indexes that this worker process has built, by token; few, as each is large.
-_indexes: dict[str, Index] = {}
+#: What this worker process needs for documents, for the benchmark used last.
+_finders: dict = {}
 
+_SPAN = pa.struct([("m", pa.int32()), ("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.list_(pa.int32()))])
+
+
+def candidates(spans: Spans, passes, lengths: list[int], text: str | None) -> list[dict]:
+    """The distinct spans of a text whose fingerprints pass, each with its places."""
+    words = words_of(text)
+    out: dict = {}
+    if words:
+        hashes = spans.hashes(words)
+        for m in lengths:
+            start, *found = spans.of(hashes, m, passes)
+            rows = zip(*(x.view(np.int64).tolist() for x in found), strict=True)
+            for at, key in zip(start.tolist(), rows, strict=True):
+                out.setdefault((m, *key), []).append(at)
+    return [{"m": m, "h": h, "s1": a, "s2": b, "at": at} for (m, h, a, b), at in out.items()]
+
+
+def _finder(sc, passes: Filter, lengths: list[int], span: int, k: int):
+    held, token = sc.broadcast(passes.words), uuid.uuid4().hex
+
+    @F.arrow_udf("array<struct<m:int,h:bigint,s1:bigint,s2:bigint,at:array<int>>>")
+    def find(texts: pa.Array) -> pa.Array:
+        if token not in _finders:
+            _finders.clear()
+            _finders[token] = Spans(span, k), Filter(held.value)
+        spans, passes = _finders[token]
+        return pa.array([candidates(spans, passes, lengths, t) for t in texts.to_pylist()], pa.list_(_SPAN))
+
+    return find
 
-def _cached(token: str, held, span: int, k: int) -> Index:
-    if token not in _indexes:
-        while len(_indexes) >= 2:
-            del _indexes[next(iter(_indexes))]
-        _indexes[token] = Index(held.value, span, k)
-    return _indexes[token]
 
+def _keys(text_col: str) -> list[Column]:
+    """A text's key: 128 bits."""
+    return [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("second"), text_col).alias("t2")]
 
-def contamination(
+
+def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    into: str = "leak",
     span: int = SPAN,
     k: int = K,
-    index_bytes: int = INDEX_BYTES,
+    filter_bytes: int = FILTER_BYTES,
 ) -> DataFrame:
-    """docs with a column `into`: struct(n_words, n_hit, hits, items).
-
-    hits: ranges of words (start, end) that lie in an occurrence of a window
-    (span consecutive words of an item; a shorter item is one window).  items:
-    ids, as sorted distinct strings, of items with an occurring window.  Null
-    and empty texts have no words; null items and items without words match
-    nothing; an item without an id marks words but is not named.
-
-    Nothing is shuffled: an index of the benchmark goes to every task.  Its
-    size is checked; a benchmark over index_bytes is taken in several indexes,
-    each of which adds its ranges.
-    """
+    """(t1, t2, n_hit, hits, items) of each distinct text of docs with a hit; see contamination()."""
     spark = docs.sparkSession
     small_batches(spark)
-    out, parts = docs, []
-    for i, items in enumerate(_packed(benchmark, item_col, item_text_col, index_bytes)):
-        parts.append(f"__{into}_{i}")
-        out = out.withColumn(parts[-1], _finder(spark.sparkContext, items, span, k)(F.col(text_col)))
-    if not parts:
-        parts = [f"__{into}_0"]
-        out = out.withColumn(parts[0], _finder(spark.sparkContext, [], span, k)(F.col(text_col)))
-    hits = F.col(f"{parts[0]}.hits") if len(parts) == 1 else _union(F.flatten(F.array(*[F.col(f"{p}.hits") for p in parts])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{p}.items") for p in parts]))))
-    both = out.withColumn(f"__{into}_hits", hits)
-    n_hit = F.aggregate(f"__{into}_hits", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
-    return both.withColumn(
-        into,
-        F.struct(
-            F.col(f"{parts[0]}.n_words").alias("n_words"),
-            n_hit.alias("n_hit"),
-            F.col(f"__{into}_hits").alias("hits"),
-            items.alias("items"),
-        ),
-    ).drop(*parts, f"__{into}_hits")
-
-
-def _union(ranges: Column) -> Column:
-    """Disjoint ranges that cover the same words."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def add(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
-        )
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["start"]), joined).otherwise(
-            F.concat(done, F.array(x))
+    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).where(F.col(item_text_col).isNotNull())
+    spans = hold(items.mapInArrow(_item_spans(span, k), _SPANS))
+    # A row a distinct span.  Spans of the same items share a set, so that what
+    # many items have in common is one row for a document, whatever its length.
+    whole = spans.groupBy("m", "s1", "s2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    whole = hold(whole.select("m", "s1", "s2", F.xxhash64("items").alias("set1"), F.xxhash64(F.lit("set"), "items").alias("set2"), "items"))
+    sets = whole.groupBy("set1", "set2").agg(F.first("items").alias("items"))
+    prints = hold(spans.select("h").distinct())
+    lengths = sorted(r["m"] for r in spans.select("m").distinct().collect())
+    find = _finder(spark.sparkContext, fit_filter(prints, filter_bytes), lengths, span, k)
+    found = docs.select(*_keys(text_col), find(F.col(text_col)).alias("spans")).where(F.size("spans") > 0)
+    found = hold(found.groupBy("t1", "t2").agg(F.first("spans").alias("spans")))
+    found = found.select("t1", "t2", F.explode("spans").alias("x")).select("t1", "t2", "x.*")
+    hit = found.join(prints, "h", "left_semi")
+    hit = hold(hit.join(whole.select("m", "s1", "s2", "set1", "set2"), ["m", "s1", "s2"]).select("t1", "t2", "m", "at", "set1", "set2"))
+    # Runs of spans that touch, by the furthest end before each.
+    order = Window.partitionBy("t1", "t2").orderBy("start", "end")
+    ranges = (
+        hit.select("t1", "t2", "m", F.explode(F.col("at").cast("array<bigint>")).alias("start"))
+        .withColumn("end", F.col("start") + F.col("m"))
+        .withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("run", F.count_if(F.coalesce(F.col("start") > F.col("before"), F.lit(True))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("t1", "t2", "run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy("t1", "t2")
+        .agg(
+            F.sum(F.col("end") - F.col("start")).alias("n_hit"),
+            F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"),
         )
+    )
+    named = (
+        hit.select("t1", "t2", "set1", "set2")
+        .distinct()
+        .join(sets, ["set1", "set2"])
+        .groupBy("t1", "t2")
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    )
+    return hold(ranges.join(named, ["t1", "t2"]))
+
 
-    return F.aggregate(F.array_sort(ranges), empty, add)
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "leak", **settings) -> DataFrame:
+    """docs with a column `into`: struct(n_words, n_hit, hits, items); one of that name is replaced.
+
+    hits: ranges of words (start, end) that lie in an occurrence of a window
+    (span consecutive words of an item; a shorter item is one window).  items:
+    ids, as sorted distinct strings, of items with an occurring window; rows of
+    the benchmark that repeat an id are one item.  Null and empty texts have no
+    words; null items and items without words match nothing; an item without an
+    id marks words but is not named.  Rows that repeat a text get what it gets.
+    Words are told apart by 64-bit hashes, spans and texts by 128 bits.
+
+    The benchmark is never collected: its fingerprints are joined with those of
+    the documents that a filter of filter_bytes at most lets through.  Of what
+    is found, up to BROADCAST_BYTES go to every task; more is joined by shuffling.
+    """
+    tag = uuid.uuid4().hex  # no column of docs has such a name
+    n, t1, t2, what = (f"{x}_{tag}" for x in ("n", "t1", "t2", "found"))
+    found = leaks(docs, benchmark, text_col, **settings).select(
+        F.col("t1").alias(t1), F.col("t2").alias(t2), F.struct("n_hit", "hits", "items").alias(what)
+    )
+    size = 64 + 16 * F.size(f"{what}.hits") + F.aggregate(f"{what}.items", F.lit(0), lambda n, x: n + F.octet_length(x) + 8)
+    size = found.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    one, two = _keys(text_col)
+    kept = [c for c in docs.columns if c != into]
+    count = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(_WORD)).cast("bigint")
+    rows = docs.select(*kept, count.alias(n), one.alias(t1), two.alias(t2))
+    got = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, [t1, t2], "left")
+    none = {"n_hit": F.lit(0).cast("bigint"), "hits": F.array().cast("array<struct<start:bigint,end:bigint>>"), "items": F.array().cast("array<string>")}
+    parts = [F.coalesce(f"{what}.{name}", empty).alias(name) for name, empty in none.items()]
+    return got.select(*kept, F.struct(F.col(n).alias("n_words"), *parts).alias(into))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs without a hit word, all columns."""
-    found = contamination(docs, benchmark, text_col, into="__leak", **settings)
-    return found.where(F.size("__leak.items") + F.col("__leak.n_hit") == 0).drop("__leak")
+    found = leaks(docs, benchmark, text_col, **settings).select("t1", "t2")
+    if found.count() <= BROADCAST_KEYS:
+        found = F.broadcast(found)
+    one, two = _keys(text_col)
+    return docs.join(found, (one == found["t1"]) & (two == found["t2"]), "left_anti")
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -176,8 +176,18 @@ WORDS = st.lists(st.sampled_from(["a", "b", "c", "d1", "é"]), max_size=40)
 @settings(max_examples=150, deadline=None)
 @given(WORDS, st.lists(WORDS, max_size=4))
 def test_winnowing_by_brute_force(doc, items):
-    index = decontaminate.Index([(str(i), " ".join(t)) for i, t in enumerate(items)])
-    n, hit, found = index.hits("; ".join(doc))
+    spans = decontaminate.Spans()
+    held = {}
+    for i, item in enumerate(items):
+        words = decontaminate.words_of(" ".join(item))
+        if words:
+            _, *found = spans.of(spans.hashes(words), m := min(10, len(words)))
+            for key in zip(*(x.view(np.int64).tolist() for x in found), strict=True):
+                held.setdefault((m, *key), set()).add(str(i))
+    prints = np.array([k[1] for k in held], np.int64).view(np.uint64)
+    got = decontaminate.candidates(spans, lambda h: np.isin(h, prints), sorted({k[0] for k in held}), "; ".join(doc))
+    got = [(held.get((x["m"], x["h"], x["s1"], x["s2"]), set()), x["m"], x["at"]) for x in got]
+    hit = {p + j for found, m, at in got if found for p in at for j in range(m)}
     want, named = set(), set()
     for i, item in enumerate(items):
         m = min(10, len(item))
@@ -186,26 +196,54 @@ def test_winnowing_by_brute_force(doc, items):
                 if doc[p : p + m] == item[q : q + m]:
                     want |= set(range(p, p + m))
                     named.add(str(i))
-    assert n == len(doc) and set(np.flatnonzero(hit).tolist()) == want
-    assert {index.items[x][0] for x in found} == named
+    assert hit == want
+    assert set().union(*(found for found, _, _ in got)) == named
 
 
-def test_decontamination_edges_and_many_indexes(spark):
+def test_decontamination_edges_and_small_filters(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, None), (3, ""), (4, "Tiny item"), (None, "odd one out")], "item_id bigint, text string")
     text = "x one two three four five six seven eight nine ten y tiny ITEM z"
     df = docs(spark, [(1, text), (2, None), (3, ""), (4, LONG), (5, "odd one out")])
     for size in (1 << 20, 1):
-        got = {r["doc_id"]: r["leak"] for r in decontaminate.contamination(df, bench, index_bytes=size).collect()}
+        got = {r["doc_id"]: r["leak"] for r in decontaminate.contamination(df, bench, filter_bytes=size).collect()}
         assert (got[1]["n_words"], got[1]["n_hit"], got[1]["items"]) == (15, 12, ["1", "4"])
         assert [(h["start"], h["end"]) for h in got[1]["hits"]] == [(1, 11), (12, 14)]
         assert got[2]["n_words"] == got[3]["n_words"] == got[4]["n_hit"] == 0
         assert got[5]["n_hit"] == 3 and got[5]["items"] == []
-        kept = decontaminate.drop_contaminated(df, bench, index_bytes=size)
+        kept = decontaminate.drop_contaminated(df, bench, filter_bytes=size)
         assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 4}
     assert decontaminate.contamination(df, bench.limit(0)).where("leak.n_hit > 0").count() == 0
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeated_rows_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(words[:12])), (1, " ".join(words[15:27])), (1, " ".join(words[:12])), (2, " ".join(words[2:14]))], "item_id bigint, text string")
+    df = docs(spark, [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:5])), (None, " ".join(words[3:14]))])
+    df = df.withColumn("leak", F.lit("old")).withColumn("t1", F.lit(1)).withColumn("h", F.lit(2)).withColumn("__n", F.lit(3))
+    got = decontaminate.contamination(df, bench)
+    assert sorted(got.columns) == sorted(df.columns)
+    rows = got.collect()
+    assert len(rows) == 4 and {(r["t1"], r["h"], r["__n"]) for r in rows} == {(1, 2, 3)}
+    both = [r["leak"] for r in rows if r["doc_id"] == 1]
+    assert both[0] == both[1] and both[0]["items"] == ["1", "2"] and both[0]["n_hit"] == 26
+    assert [tuple(x) for x in both[0]["hits"]] == [(0, 14), (15, 27)]
+    last = next(r["leak"] for r in rows if r["doc_id"] is None)
+    assert last["items"] == ["2"] and last["n_words"] == last["n_hit"] == 11
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [2]
+
+
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    bench = spark.createDataFrame([(7, "a b c")], "item_id bigint, text string")
+    df = docs(spark, [(i, "x a b c y" if i % 3 == 0 else f"b c {i}") for i in range(30)])
+    got = decontaminate.contamination(df, bench).collect()
+    assert {r["doc_id"] for r in got if r["leak"]["n_hit"] == 3} == set(range(0, 30, 3))
+    assert decontaminate.drop_contaminated(df, bench).count() == 20
+
+
 def test_archive_round_trip():
     records = [warc.warc_record(i, "http://x/\r\n", bytes([i % 7]) * (i * 37), "2024-01-01T00:00:00Z", 3, i % 4 == 0) for i in range(50)]
     for sample in (1 << 20, 1000, 1):
