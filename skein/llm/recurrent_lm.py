@@ -16,11 +16,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,33 +33,102 @@ WORD_CLASSES = 64
 #: Words whose counts go to every task; the rest meet their counts in a join.
 CARRIED = 1 << 19
 HIDDEN = 24
-LANES, WINDOW = 128, 32
-#: Each training document is in one of so many rounds, and passed over so often there.
+LANES, WINDOW = 256, 32
+#: Each training document is in one of so many rounds, and passed over once there.
 ROUNDS = 2
-PASSES = 2
-#: Tokens of a copy in a round, up to which copies are added; and the most copies.
-COPY_TOKENS = 250_000
+#: About so many tokens make a copy in a round, at every size of the corpus.
+COPY_TOKENS = 1_000_000
+#: Copies that are averaged in one group at most; more are averaged in a tree.
 MOST_COPIES = 64
-RATE = 0.004
+RATE = 0.008
 #: Tokens that are scored, or trained on, at once.
 BUFFER = 1 << 20
-#: Types that a count or a lookup holds before it is emptied.
-MOST_TYPES = 1 << 20
 _BLOCK = 2048
+#: States whose softmax is taken at once, so that it stays in a core's cache.
+_ROWS = 1 << 11
 SHAPES = 32
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The tokens of a text: lower-cased words, then the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+class Tokens:
+    """All words of texts as places in their lower-cased bytes, in order."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null("").cast(pa.large_string())
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        self.data = _LOWER[raw]
+        inside = np.zeros(len(raw) + 1, bool)
+        inside[:-1] = ~_BLANK[raw]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        cut = np.unique(edges[:-1])
+        first[cut] = inside[cut]  # words end with their text
+        last = inside[:-1] & ~(inside[1:] & ~first[1:])
+        self.starts, self.ends = np.flatnonzero(first[:-1]), np.flatnonzero(last) + 1
+        #: Words of each text.
+        self.n = np.diff(np.searchsorted(self.starts, edges))
+
+    def hashes(self) -> np.ndarray:
+        return hash_words(self.data, self.starts, self.ends)
+
+    def shapes(self, at: np.ndarray) -> np.ndarray:
+        """shape() of the words with these numbers."""
+        size = self.ends[at] - self.starts[at]
+        edge = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(edge, size)
+        kind = _KIND[self.data[np.repeat(self.starts[at], size) + place]]
+        if not len(at):
+            return np.zeros(0, np.int32)
+        body = np.maximum.reduceat(np.where(kind == 3, 0, place + 1), edge)
+        strange = np.add.reduceat((kind >= 2) & (place < np.repeat(body, size)), edge, dtype=np.int64)
+        beyond = np.maximum.reduceat(kind == 1, edge)
+        length = np.searchsorted([4, 7, 11], body, side="left")
+        return (length + 4 * beyond + 8 * (body < size) + 16 * ((strange > 0) | (body == 0))).astype(np.int32)
+
+
+#: Lower case of A-Z; white space; and of a byte: 0 a-z, 1 beyond ASCII, 3 an outer sign, 2 any other.
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_KIND = np.array([1 if c >= 128 else 0 if 97 <= c <= 122 else 3 if c in b".,;:!?" else 2 for c in range(256)], np.uint8)
+#: Words are hashed as polynomials in an odd number, whose inverse moves them to their own start.
+_ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+_SEGMENT = 1 << 17
+_powers = np.ones((2, 0), np.uint64)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    global _powers
+    if _powers.shape[1] < n:
+        base = np.array([[_ODD], [pow(_ODD, -1, 1 << 64)]], np.uint64)
+        _powers = np.cumprod(np.c_[np.ones((2, 1), np.uint64), np.repeat(base, n - 1, axis=1)], axis=1, dtype=np.uint64)
+    return _powers
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes (signed) of data[start:end] each; words follow one another."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + _SEGMENT, side="right")))
+        size = int(ends[j - 1] - low)
+        up, down = _powers_to(max(size, _SEGMENT))
+        run = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[low : low + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=run[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = (run[b] - run[a]) * down[a] + (b - a).astype(np.uint64)
+        i = j
+    for turn in (32, 29):
+        out ^= out >> np.uint64(turn)
+        out *= _MIX
+    out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
 def word_hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, SEED)
-    return h - (1 << 64) if h >> 63 else h
+    return int(hash_words(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
 
 
 def shape(word: bytes) -> int:
@@ -72,31 +139,26 @@ def shape(word: bytes) -> int:
     return size + 4 * (not word.isascii()) + 8 * (len(body) < len(word)) + 16 * (not _LETTERS.fullmatch(body))
 
 
+def types_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's type number, the types' hashes, and where each type is first."""
+    coded = pa.array(hashes).dictionary_encode()
+    local, types = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    first = np.empty(len(types), np.int64)
+    first[local[::-1]] = np.arange(len(local) - 1, -1, -1)
+    return local, types, first
+
+
 # ---- counts -----------------------------------------------------------------
 
 
 def _count(batches):
-    """Partial counts (hash, shape, n) of tokens, in bounded memory."""
-    held: Counter = Counter()
-
-    def rows():
-        words = list(held)
-        return pa.record_batch(
-            [
-                pa.array([word_hash(w) for w in words], pa.int64()),
-                pa.array([shape(w) for w in words], pa.int32()),
-                pa.array(list(held.values()), pa.int64()),
-            ],
-            ["hash", "shape", "n"],
-        )
-
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            held.update(words_of(text))
-        if len(held) > MOST_TYPES:
-            yield rows()
-            held.clear()
-    yield rows()
+    """Partial counts (hash, shape, n) of tokens."""
+    for table in _buffers(batches):
+        texts = table.column(0).combine_chunks()
+        tokens = Tokens(texts)
+        local, types, first = types_of(tokens.hashes())
+        columns = np.r_[types, word_hash(END)], np.r_[tokens.shapes(first), shape(END)], np.r_[np.bincount(local, minlength=len(types)), len(texts)]
+        yield pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, (np.int64, np.int32, np.int64), strict=True)], ["hash", "shape", "n"])
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -138,6 +200,7 @@ class Lexicon:
         at = np.searchsorted(self.hashes, number)
         found = at < len(self.hashes) and self.hashes[at] == number
         self.end = int(self.number[at]) if found else self.words + shape(END)
+        self.end_count = int(self.counts[at]) if found else -1
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         """Classes of token numbers; those of forms follow those of words."""
@@ -175,52 +238,39 @@ def fit_lexicon(counts: DataFrame, vocabulary: int, word_classes: int, carried:
     )
 
 
-class Reader:
-    """Token numbers of texts; keeps what it knows of types that it has met."""
-
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-        self.clear()
-
-    def clear(self):
-        self.local: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.counts = np.zeros(0, np.int64)  # -1: not carried
-        self.hashes = np.zeros(0, np.int64)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Local type numbers of all tokens, and each text's number of tokens."""
-        if len(self.local) > MOST_TYPES:
-            self.clear()
-        local, old = self.local, len(self.local)
-        parts = []
-        for text in texts:
-            words = words_of(text)
-            parts.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int64, len(words)))
-        if len(local) > old:
-            fresh = list(local)[old:]
-            hashes = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
-            lex = self.lexicon
-            at = np.searchsorted(lex.hashes, hashes)
-            at[at == len(lex.hashes)] = 0
-            has = lex.hashes[at] == hashes if len(lex.hashes) else np.zeros(len(fresh), bool)
-            ids = np.empty(len(fresh), np.int32)
-            ids[has] = lex.number[at[has]]
-            ids[~has] = [lex.words + shape(fresh[i]) for i in np.flatnonzero(~has)]
-            counts = np.full(len(fresh), -1, np.int64)
-            counts[has] = lex.counts[at[has]]
-            self.ids = np.concatenate([self.ids, ids])
-            self.counts = np.concatenate([self.counts, counts])
-            self.hashes = np.concatenate([self.hashes, hashes])
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), n
+class Reading:
+    """Texts as token numbers: each token's type, and of the types what the lexicon knows."""
+
+    def __init__(self, lexicon: Lexicon, texts: pa.Array):
+        tokens = Tokens(texts)
+        words, types, first = types_of(tokens.hashes())
+        at = np.searchsorted(lexicon.hashes, types)
+        at[at == len(lexicon.hashes)] = 0
+        has = lexicon.hashes[at] == types if len(lexicon.hashes) else np.zeros(len(types), bool)
+        ids, counts = np.empty(len(types), np.int32), np.full(len(types), -1, np.int64)  # -1: not carried
+        ids[has], counts[has] = lexicon.number[at[has]], lexicon.counts[at[has]]
+        ids[~has] = lexicon.words + tokens.shapes(first[~has])
+        #: Numbers, counts and hashes of types; the last type is the end.
+        self.types_ids, self.types_counts = np.r_[ids, lexicon.end].astype(np.int32), np.r_[counts, lexicon.end_count]
+        self.hashes = np.r_[types, word_hash(END)]
+        #: Tokens of each text, the end included; the type of each token; its number.
+        self.n = tokens.n + 1
+        self.local = np.full(int(self.n.sum()), len(types), np.int64)
+        inner = np.ones(len(self.local), bool)
+        inner[np.cumsum(self.n) - 1] = False
+        self.local[inner] = words
+        self.ids = self.types_ids[self.local]
 
 
 # ---- the model --------------------------------------------------------------
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """In place; float32 exponents stay in range."""
+    np.negative(np.clip(x, -30, 30, out=x), out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 class Gru:
@@ -253,53 +303,65 @@ class Gru:
     def step(self, add: np.ndarray, h: np.ndarray):
         """The next state, and what backpropagation needs of this step."""
         k = self.hidden
-        zr = _sigmoid(add[:, : 2 * k] + h @ self.u)
+        zr = h @ self.u
+        zr += add[:, : 2 * k]
+        _sigmoid(zr)
         z, r = zr[:, :k], zr[:, k:]
         rh = r * h
-        new = np.tanh(add[:, 2 * k :] + rh @ self.v)
-        return new + z * (h - new), (z, r, rh, new, h)
+        new = rh @ self.v
+        new += add[:, 2 * k :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, (z, r, rh, new, h)
 
     @staticmethod
-    def _softmax(w, bias, across, targets, rows):
-        """Log-probabilities of the targets, and all probabilities (candidates, targets)."""
-        p = w.T @ across
-        p += bias[:, None]
-        p -= p.max(axis=0)
+    def _softmax(w, bias, states, targets, grad=None):
+        """Log-probabilities of the targets; with grad, (d w, d bias, d states) of minus their sum.
+
+        states: (targets, hidden), each entry in [-1, 1].  Logits are shifted by
+        a bound of theirs, so exponents need no search for the largest.
+        """
+        rows = np.arange(len(targets))
+        shifted = bias - (bias + np.abs(w).sum(axis=0)).max()
+        p = np.concatenate([w, shifted[None, :]]).T @ np.concatenate([states.T, np.ones((1, len(rows)), np.float32)])
         logs = p[targets, rows]
         np.exp(p, out=p)
-        z = p.sum(axis=0)
-        p /= z
-        return logs - np.log(z), p
+        z = np.maximum(p.sum(axis=0), 1e-37)
+        logs -= np.log(z)
+        if grad is None:
+            return logs, None
+        p[targets, rows] -= z
+        share = 1 / z
+        return logs, ((states * share[:, None]).T @ p.T, p @ share, (p.T @ w.T) * share[:, None])
 
     def log_probs(self, states: np.ndarray, classes: np.ndarray, ids: np.ndarray, grad: Gru | None = None):
         """Natural log-probabilities of targets; with grad, also d(-sum)/d(states), adding to grad."""
-        # Candidates run down, targets across: sums over candidates are then fast.
-        across = np.ascontiguousarray(states.T)
-        rows = np.arange(len(ids))
-        out, p = self._softmax(self.cw, self.cb, across, classes, rows)
-        back = None
-        if grad is not None:
-            p[classes, rows] -= 1
-            grad.cw += across @ p.T
-            grad.cb += p.sum(axis=1)
-            back = np.ascontiguousarray((self.cw @ p).T)
+        out = np.empty(len(ids), np.float32)
+        back = None if grad is None else np.empty_like(states)
+        for i in range(0, len(ids), _ROWS):
+            at = slice(i, i + _ROWS)
+            out[at], got = self._softmax(self.cw, self.cb, states[at], classes[at], grad)
+            if grad is not None:
+                grad.cw += got[0]
+                grad.cb += got[1]
+                back[at] = got[2]
         known = np.flatnonzero(ids < self.words)
         known = known[np.argsort(classes[known], kind="stable")]
         edges = np.searchsorted(classes[known], np.arange(len(self.starts)))
+        sorted_states, sorted_ids = states[known], ids[known]
         for c in range(len(self.starts) - 1):
-            at = known[edges[c] : edges[c + 1]]
+            i, j = edges[c], edges[c + 1]
             a, b = self.starts[c], self.starts[c + 1]
-            if not len(at) or b - a < 2:
+            if i == j or b - a < 2:
                 continue
-            own = np.ascontiguousarray(states[at].T)
-            i = np.arange(len(at))
-            logs, p = self._softmax(self.ww[:, a:b], self.wb[a:b], own, ids[at] - a, i)
-            out[at] += logs
+            logs, got = self._softmax(self.ww[:, a:b], self.wb[a:b], sorted_states[i:j], sorted_ids[i:j] - a, grad)
+            out[known[i:j]] += logs
             if grad is not None:
-                p[ids[at] - a, i] -= 1
-                grad.ww[:, a:b] += own @ p.T
-                grad.wb[a:b] += p.sum(axis=1)
-                back[at] += (self.ww[:, a:b] @ p).T
+                grad.ww[:, a:b] += got[0]
+                grad.wb[a:b] += got[1]
+                back[known[i:j]] += got[2]
         return out, back
 
 
@@ -325,6 +387,7 @@ class Trainer:
     def __init__(self, model: Gru, lexicon: Lexicon, rate: float = RATE, lanes: int = LANES, window: int = WINDOW):
         self.model, self.lexicon, self.rate, self.lanes, self.window = model, lexicon, rate, lanes, window
         self.m, self.v = np.zeros_like(model.flat), np.zeros_like(model.flat)
+        self.grad = model.like(self.m)
         self.steps = 0
 
     def run(self, ids: np.ndarray) -> float:
@@ -347,12 +410,13 @@ class Trainer:
     def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray):
         model, k = self.model, self.model.hidden
         lanes, steps = inputs.shape
-        grad = model.like(np.zeros_like(model.flat))
-        add = model.x[inputs] + model.b
-        fresh = (inputs == self.lexicon.end)[:, :, None]
+        grad = self.grad
+        grad.flat[grad.x.size :] = 0
+        tokens = inputs.T
+        fresh = (tokens == self.lexicon.end)[:, :, None]
         states, kept = np.empty((steps, lanes, k), np.float32), []
         for t in range(steps):
-            h, cache = model.step(add[:, t], np.where(fresh[:, t], 0, h))
+            h, cache = model.step(model.x[tokens[t]] + model.b, h * ~fresh[t])
             states[t] = h
             kept.append(cache)
         flat = targets.T.ravel()
@@ -362,34 +426,57 @@ class Trainer:
         dh = np.zeros((lanes, k), np.float32)
         for t in range(steps - 1, -1, -1):
             z, r, rh, new, old = kept[t]
-            dh = dh + back[t]
-            d_new = dh * (1 - z) * (1 - new * new)
+            dh += back[t]
+            keep = dh * z
+            d_new, d_zr = d_add[t, :, 2 * k :], d_add[t, :, : 2 * k]
+            np.multiply(dh - keep, 1 - new * new, out=d_new)
             d_rh = d_new @ model.v.T
-            d_z = dh * (old - new) * z * (1 - z)
-            d_r = d_rh * old * r * (1 - r)
-            d_add[t, :, :k], d_add[t, :, k : 2 * k], d_add[t, :, 2 * k :] = d_z, d_r, d_new
-            d_zr = d_add[t, :, : 2 * k]
-            grad.u += old.T @ d_zr
-            grad.v += rh.T @ d_new
-            dh = (dh * z + d_rh * r + d_zr @ model.u.T) * ~fresh[:, t]
+            np.multiply((keep - keep * z), old - new, out=d_zr[:, :k])
+            np.multiply(d_rh * rh, 1 - r, out=d_zr[:, k:])
+            dh = (keep + d_rh * r + d_zr @ model.u.T) * ~fresh[t]
         every = d_add.reshape(-1, 3 * k)
+        grad.u += np.concatenate([x[4] for x in kept]).T @ every[:, : 2 * k]
+        grad.v += np.concatenate([x[2] for x in kept]).T @ every[:, 2 * k :]
         grad.b += every.sum(axis=0)
-        where = inputs.T.ravel()
+        where = tokens.ravel()
         order = np.argsort(where, kind="stable")
         edge = np.flatnonzero(np.r_[True, np.diff(where[order]) > 0])
-        grad.x[where[order][edge]] += np.add.reduceat(every[order], edge, axis=0)
-        self._adam(grad.flat / flat.size)
+        self.seen = where[order[edge]]
+        grad.x[self.seen] = np.add.reduceat(every[order], edge, axis=0) / flat.size
+        grad.flat[grad.x.size :] /= flat.size
+        self._adam(grad.flat)
+        grad.x[self.seen] = 0
         return float(logs.sum()), h
 
     def _adam(self, g: np.ndarray):
-        size = float(np.sqrt(g @ g))
-        if size > 1:
-            g = g / size
+        """A step along the gradient g; of the input weights, only those of tokens seen have one and move."""
+        x, seen = self.model.x.size, self.seen
+        of = lambda whole: whole[:x].reshape(self.model.x.shape)
+        rows, rest = of(g)[seen], g[x:]
+        size = float(np.sqrt((rows * rows).sum() + rest @ rest))
         self.steps += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
         scale = self.rate * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        self.model.flat -= scale * self.m / (np.sqrt(self.v) + 1e-6)
+        m, v = of(self.m)[seen], of(self.v)[seen]
+        self.model.x[seen] -= self._moved(rows, m, v, size, scale)
+        of(self.m)[seen], of(self.v)[seen] = m, v
+        self.model.flat[x:] -= self._moved(rest, self.m[x:], self.v[x:], size, scale)
+
+    @staticmethod
+    def _moved(g, m, v, size: float, scale: float):
+        """How far weights go; g is used up, m and v move on."""
+        if size > 1:
+            g /= size
+        m *= 0.9
+        m += 0.1 * g
+        g *= g
+        g *= 0.01
+        v *= 0.99
+        v += g
+        np.sqrt(v, out=g)
+        g += 1e-6
+        np.divide(m, g, out=g)
+        g *= scale
+        return g
 
 
 def document_log_probs(model: Gru, lexicon: Lexicon, ids: np.ndarray, n: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -422,7 +509,8 @@ def document_log_probs(model: Gru, lexicon: Lexicon, ids: np.ndarray, n: np.ndar
         rows = np.concatenate(rows)
         step = np.repeat(np.arange(at, at + len(states)), [len(s) for s in states])
         target = ids[start[rows] + step]
-        logs, _ = model.log_probs(np.concatenate(states), lexicon.class_of(target), target)
+        states = np.concatenate(states)
+        logs, _ = model.log_probs(states, lexicon.class_of(target), target)
         out[order[:live]] += np.bincount(rows, logs, live)
     return out
 
@@ -430,50 +518,64 @@ def document_log_probs(model: Gru, lexicon: Lexicon, ids: np.ndarray, n: np.ndar
 # ---- on a cluster -----------------------------------------------------------
 
 
-def _buffers(batches, columns: int):
-    """Lists of rows of batches, joined until they hold about BUFFER tokens."""
+def _buffers(batches):
+    """Batches joined until their texts, the first column, hold about BUFFER tokens."""
     held, size = [], 0
     for b in batches:
-        rows = list(zip(*(b.column(i).to_pylist() for i in range(columns)), strict=True))
-        held += rows
-        size += sum(len(r[0] or "") for r in rows) // 6 + len(rows)
+        held.append(b)
+        size += b.column(0).nbytes // 6
         if size >= BUFFER:
-            yield held
+            yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
 
 
 def _copies(book, weights, rate: float):
     def run(batches):
         lexicon, (hidden, flat) = book.value, weights.value
         model = Gru(lexicon.words, lexicon.starts, lexicon.classes, hidden, flat)
-        trainer, reader, tokens = Trainer(model, lexicon, rate), Reader(lexicon), 0
-        for rows in _buffers(batches, 1):
-            local, _ = reader.read([r[0] for r in rows])
-            for _ in range(PASSES):
-                trainer.run(reader.ids[local])
-            tokens += len(local)
+        trainer, tokens = Trainer(model, lexicon, rate), 0
+        for table in _buffers(batches):
+            ids = Reading(lexicon, table.column(0).combine_chunks()).ids
+            trainer.run(ids)
+            tokens += len(ids)
         if tokens:
             cuts = [model.flat[i : i + _BLOCK] for i in range(0, len(model.flat), _BLOCK)]
             yield pa.record_batch(
                 [
                     pa.array(range(len(cuts)), pa.int32()),
+                    pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()),
                     pa.array([float(tokens)] * len(cuts), pa.float64()),
                     pa.array([c.tobytes() for c in cuts], pa.binary()),
                 ],
-                ["block", "tokens", "weights"],
+                _BLOCK_NAMES,
             )
 
     return run
 
 
+_BLOCKS = "block int, copy int, tokens double, weights binary"
+_BLOCK_NAMES = [x.split()[0] for x in _BLOCKS.split(", ")]
+
+
 def _mean_block(table: pa.Table) -> pa.Table:
-    """The mean of one block of all copies, by their tokens; there are MOST_COPIES at most."""
+    """The mean of one block of a group of copies, by their tokens; there are MOST_COPIES at most."""
     weight = np.array(table.column("tokens").to_pylist())
     values = np.stack([np.frombuffer(x, np.float32) for x in table.column("weights").to_pylist()])
     mean = (values * (weight / weight.sum())[:, None]).sum(axis=0).astype(np.float32)
-    return pa.table({"block": table.column("block")[:1], "weights": pa.array([mean.tobytes()], pa.binary())})
+    at = [table.column("block")[:1], table.column("copy")[:1], pa.array([weight.sum()]), pa.array([mean.tobytes()], pa.binary())]
+    return pa.table(at, names=_BLOCK_NAMES)
+
+
+def average(trained: DataFrame, copies: int) -> list[tuple[int, bytes]]:
+    """(block, weights) of the mean of all copies; groups of MOST_COPIES are averaged first, then their means."""
+    while True:
+        group = F.expr(f"copy div {MOST_COPIES}").cast("int")
+        trained = trained.withColumn("copy", group).groupBy("block", "copy").applyInArrow(_mean_block, _BLOCKS)
+        copies = -(-copies // MOST_COPIES)
+        if copies == 1:
+            return [(r["block"], r["weights"]) for r in trained.collect()]
 
 
 def train_model(
@@ -482,19 +584,17 @@ def train_model(
     """Train on all documents, dealt to rounds by a hash of their ids, in averaged copies.
 
     Every document is in one round, at every size of docs; larger inputs have
-    more copies.  book is a broadcast of the lexicon.
+    more copies, in proportion.  book is a broadcast of the lexicon.
     """
     model = first_model(lexicon, hidden)
     turn = F.coalesce(F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(ROUNDS)), F.lit(0))
     for i in range(ROUNDS):
         part = docs.where(turn == i).select(text_col)
-        copies = int(min(MOST_COPIES, max(1, lexicon.total / ROUNDS // COPY_TOKENS)))
+        copies = int(max(1, lexicon.total / ROUNDS // COPY_TOKENS))
         held = docs.sparkSession.sparkContext.broadcast((hidden, model.flat))
         # Dealt in turn, not by a key: every copy costs its weights once more.
-        trained = part.repartition(copies).mapInArrow(
-            _copies(book, held, RATE / (1 + i)), "block int, tokens double, weights binary"
-        )
-        means = trained.groupBy("block").applyInArrow(_mean_block, "block int, weights binary").collect()
+        trained = part.repartition(copies).mapInArrow(_copies(book, held, RATE / (1 + i)), _BLOCKS)
+        means = average(trained, copies)
         if means:
             flat = np.concatenate([np.frombuffer(w, np.float32) for _, w in sorted(means)])
             model = model.like(flat)
@@ -508,11 +608,10 @@ def _score(book, weights):
     def run(batches):
         lexicon, (hidden, flat) = book.value, weights.value
         model = Gru(lexicon.words, lexicon.starts, lexicon.classes, hidden, flat)
-        reader = Reader(lexicon)
         key = TaskContext.get().partitionId() << 40
-        for rows in _buffers(batches, 3):
-            local, n = reader.read([r[0] for r in rows])
-            ids, counts = reader.ids[local], reader.counts[local]
+        for table in _buffers(batches):
+            read = Reading(lexicon, table.column(0).combine_chunks())
+            local, n, ids, counts = read.local, read.n, read.ids, read.types_counts[read.local]
             logs = document_log_probs(model, lexicon, ids, n) / math.log(10)
             doc = np.repeat(np.arange(len(n)), n)
             keys = key + np.arange(len(n))
@@ -527,8 +626,8 @@ def _score(book, weights):
             yield pa.record_batch(
                 [
                     pa.array(keys),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.bool_()),
+                    table.column(1).combine_chunks(),
+                    table.column(2).combine_chunks(),
                     pa.array(n),
                     pa.array(np.bincount(doc, carried, k).astype(np.int64)),
                     pa.array(np.bincount(doc, base, k)),
@@ -541,8 +640,8 @@ def _score(book, weights):
             # Other words: a row for each distinct one of a document.
             at = np.flatnonzero(~carried)
             if len(at):
-                pairs, times = np.unique(doc[at] * (len(reader.hashes) + 1) + local[at], return_counts=True)
-                which, kind = np.divmod(pairs, len(reader.hashes) + 1)
+                pairs, times = np.unique(doc[at] * len(read.hashes) + local[at], return_counts=True)
+                which, kind = np.divmod(pairs, len(read.hashes))
                 m = len(pairs)
                 yield pa.record_batch(
                     [
@@ -553,8 +652,8 @@ def _score(book, weights):
                         pa.nulls(m, pa.int64()),
                         pa.nulls(m, pa.float64()),
                         pa.nulls(m, pa.float64()),
-                        pa.array(reader.hashes[kind]),
-                        pa.array((reader.ids[kind] - lexicon.words).astype(np.int32)),
+                        pa.array(read.hashes[kind]),
+                        pa.array((read.types_ids[kind] - lexicon.words).astype(np.int32)),
                     ],
                     _PART_NAMES,
                 )
