@@ -28,11 +28,11 @@ from .common import fold, hold, small_batches
 END = b"\n"  # no word holds white space
 SEED = 42
 #: Words of the model's own vocabulary, and classes of them.
-VOCABULARY = 4096
-WORD_CLASSES = 64
+VOCABULARY = 2048
+WORD_CLASSES = 32
 #: Words whose counts go to every task; the rest meet their counts in a join.
 CARRIED = 1 << 19
-HIDDEN = 24
+HIDDEN = 16
 LANES, WINDOW = 256, 32
 #: Each training document is in one of so many rounds, and passed over once there.
 ROUNDS = 2
