@@ -10,11 +10,23 @@ import datetime as dt
 import json
 import re
 
-from skein.functions.udfs import MONTHS, contains_name, fold, matching_form
+from skein.functions.titles import MONTHS, folded
 
 _FENCE = re.compile(r"^\s*```")
 _HEAD = re.compile(r"^\s{0,3}(#{1,6})\s+(.+?)\s*$")
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
+_QUOTES = str.maketrans("’ʼ‘", "'''")
+
+
+def matching_form(text: str) -> str:
+    """Folded, lower case, no possessives or apostrophes, words apart by one space: text.match_normalize() of a string."""
+    bare = re.sub(r"'s\b|s'(?![a-z0-9])|'", "", folded(text).lower().translate(_QUOTES))
+    return " ".join(re.findall(r"[a-z0-9]+", bare))
+
+
+def contains_name(text: str, name: str) -> bool:
+    held, wanted = (f" {matching_form(x)} " for x in (text, name))
+    return bool(wanted.strip()) and wanted in held
 
 
 def plain_sentences(text: str) -> list[str]:
@@ -153,7 +165,7 @@ def attribution_span(sentence: str, names: list[str], gap: int = 12) -> str:
     after the name wins a tie.
     """
     words = list(re.finditer(r"[\w']+", sentence))
-    low = [fold(w[0]).lower() for w in words]
+    low = [folded(w[0]).lower() for w in words]
     asides = [m.span() for m in re.finditer(r"\([^()]*\)", sentence)]
     commas = [m.start() for m in re.finditer(",", sentence)]
     asides += list(zip(commas, commas[1:], strict=False))
@@ -166,7 +178,7 @@ def attribution_span(sentence: str, names: list[str], gap: int = 12) -> str:
     cues = [p for c in LEADS + SPEECH + ANNOUNCE for p in places(c)]
     for name in sorted(names, key=len, reverse=True):
         found = []
-        for a, b in places(fold(name).lower()):
+        for a, b in places(folded(name).lower()):
             for c, d in cues:
                 between = range(b, c) if c >= b else range(d, a)
                 found.append((sum(counted[i] for i in between), c < b, min(a, c), max(b, d)))

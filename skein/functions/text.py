@@ -15,7 +15,7 @@ LEADING_STOP = [
 def normalize_title(title: Column, fold=None) -> Column:
     """Lower case, everything but letters and digits a space, single spaces.
 
-    fold: a function that strips accents first (see udfs.strip_diacritics);
+    fold: a function that strips accents first (see titles.fold);
     without it letters beyond ASCII become spaces.
     """
     t = F.lower(fold(title) if fold else title)
@@ -197,3 +197,12 @@ def plain_html(source: Column) -> Column:
         t = F.replace(t, F.lit(code), F.lit(sign))
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def message(value: Column, limit: int = 200) -> Column:
+    """One line of a text, cut with an ellipsis, with the signs of HTML escaped."""
+    line = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", " "))
+    out = F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit - 1), F.lit("…"))).otherwise(line)
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(sign), F.lit(code))
+    return out

@@ -8,22 +8,39 @@ from pyspark.sql import functions as F
 from .common import FILES, ROWS_A_FILE, settle
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: A node is heavy from so many edges on, or from this share of all: at most
+#: 2 / HEAVY_SHARE nodes are, whose rows are broadcast.
+HEAVY_EDGES, HEAVY_SHARE = 1000, 1 / 4096
+
+
+def _with_least(edges: DataFrame, least: DataFrame, node: str, heavy: int) -> DataFrame:
+    """edges with m, the least neighbour of their `node`; least: (node, m, n).
+
+    The edges of a node with many (n >= heavy) are not shuffled: such nodes are
+    few, and their least neighbours are broadcast.
+    """
+    few = F.broadcast(least.where(F.col("n") >= heavy).select(node, "m"))
+    rest = edges.join(few.select(node), node, "left_anti")
+    return edges.join(few, node).unionByName(rest.join(least.where(F.col("n") < heavy).select(node, "m"), node))
+
+
+def _star(edges: DataFrame, large: bool, heavy: int) -> DataFrame:
     """One round over (u, v) with u < v; gives (u, v) with u < v, distinct.
 
     large: every larger neighbour of a node moves to the least of the node and
     its neighbours.  small: the node and its smaller neighbours move to the
-    least of these.  Minima are aggregated before they are joined, so no node's
-    neighbours ever meet in one task.
+    least of these.  Minima are aggregated before they are joined, and those of
+    nodes with many edges are broadcast, so no node's neighbours need meet in
+    one task.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         # Node u, larger neighbours v: each v goes to m.
-        moved = edges.join(least, "u").select(F.col("m").alias("u"), "v")
+        moved = _with_least(edges, least, "u", heavy).select(F.col("m").alias("u"), "v")
     else:
-        least = edges.groupBy("v").agg(F.min("u").alias("m"))
-        moved = edges.join(least, "v").select(
+        least = edges.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        moved = _with_least(edges, least, "v", heavy).select(
             F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v")
         )
         moved = moved.unionByName(least.select(F.col("m").alias("u"), "v"))
@@ -42,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
-        now = settle(_star(_star(now, True), False), "edges", max(FILES, mark[0] // ROWS_A_FILE))
+        heavy = max(HEAVY_EDGES, int(mark[0] * HEAVY_SHARE))
+        now = settle(_star(_star(now, True, heavy), False, heavy), "edges", max(FILES, mark[0] // ROWS_A_FILE))
         before, mark = mark, _mark(now)
         if mark == before:
             break

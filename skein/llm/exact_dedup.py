@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import hold
 
-#: Counters of a Misra-Gries summary, and the share of all rows that makes a
-#: digest heavy.  At most 1 / HEAVY_SHARE digests can be, which bounds the
-#: broadcast whatever the input.
+#: Counters of a Misra-Gries summary at least, the share of all rows that makes a
+#: digest heavy, and how many rows do so in any case: a task can hold as many.
+#: No more than MOST_HEAVY digests can be heavy, which bounds the broadcast.
 COUNTERS = 1024
 HEAVY_SHARE = 1 / 256
+HEAVY_ROWS = 1 << 20
+MOST_HEAVY = 1 << 20
+
+
+def heavy_from(rows: int, share: float) -> int:
+    """How many rows make a key heavy, of so many rows in all."""
+    return max(2, min(int(rows * share), HEAVY_ROWS), rows // MOST_HEAVY)
 
 
 def merge_counters(held: dict, more, counters: int) -> dict:
@@ -48,14 +55,15 @@ def _summaries(counters: int):
 
 
 def heavy_hitters(rows: DataFrame, key: str, value: str, counters: int, share: float) -> DataFrame:
-    """(key, winner, group_size) of each key that holds over `share` of the rows.
+    """(key, winner, group_size) of each key that heavy_from() calls heavy.
 
-    winner is the largest value.  Summaries never miss such a key; counting
-    their candidates over all rows drops the false ones.  At most 1 / share
-    winners pass through the driver.
+    winner is the largest value.  Summaries have a few counters for each key
+    that can be heavy, so they never miss one; counting their candidates over
+    all rows drops the false ones.
     """
     total = rows.count()
-    least = max(2, int(total * share))
+    least = heavy_from(total, share)
+    counters = max(counters, 4 * (total // least))
     slack = total / (counters + 1)
     found = (
         rows.select(key)
@@ -65,13 +73,13 @@ def heavy_hitters(rows: DataFrame, key: str, value: str, counters: int, share: f
         .where(F.col("n") >= max(1, int(least - slack)))
         .select(F.col("key").alias(key))
     )
-    winners = (
+    # At most total / least rows, each time.
+    return hold(
         rows.join(F.broadcast(found), key)
         .groupBy(key)
         .agg(F.max(value).alias("winner"), F.count("*").alias("group_size"))
         .where(F.col("group_size") >= least)
     )
-    return rows.sparkSession.createDataFrame(winners.collect(), winners.schema)
 
 
 def exact_dedup(

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower, hold
+from .exact_dedup import heavy_from
 
 #: Shorter keys are never dropped.
 MIN_CHARS = 10
-#: A key is heavy from this share of all long lines on; there are at most
-#: 1 / HEAVY_SHARE such keys, which bounds the broadcast.
+#: A key is heavy from this share of all long lines on, or from as many lines as
+#: heavy_from() says; it bounds the broadcast as well.
 HEAVY_SHARE = 1 / 512
 
 
@@ -59,15 +60,13 @@ def keep_bitmaps(
         )
     )
     lines = hold(lines)
-    least = max(2, int(lines.count() * share))
-    heavy = (
+    least = heavy_from(lines.count(), share)
+    heavy = hold(
         lines.groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
         .where(F.col("n") >= least)
         .drop("n")
     )
-    # At most 1 / share rows, through the driver.
-    heavy = docs.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
     marked = lines.join(F.broadcast(heavy), ["h1", "h2"], "left")
     common = marked.where("doc_id > first_doc")
     run = (
@@ -119,7 +118,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     return (
         left.join(
-            bitmaps.hint("shuffle_hash"),
+            bitmaps,
             (left[id_col] == bitmaps["__bm_id"]) & (left["__hash"] == bitmaps["__bm_hash"]),
             "left",
         )

@@ -9,6 +9,7 @@ full.  Links become components whose least document stays.
 from __future__ import annotations
 
 import itertools
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BUCKET = 1 << 16
 #: Up to so many fingerprints of a key are compared by offsets, more by search.
 SMALL_BUCKET = 24
+#: Of a key with more pairs, only those that connect something become links.
+FEW_PAIRS = 3
 _CHUNK = 1 << 16
 
 
@@ -128,16 +131,17 @@ def _keyed_again(rows: DataFrame) -> DataFrame:
 def links_of_run(fps: np.ndarray, near) -> list[tuple[int, int]]:
     """Index pairs that join what can be joined among fps: a spanning forest.
 
-    near(i, js) tells which of js are near i.  A breadth-first search: each
-    reached fingerprint is compared with those not reached yet, so a dense
-    group costs little more than one pass.
+    near(i, js) tells which of js are near i.  A breadth-first search from the
+    least index on: each reached fingerprint is compared with those not reached
+    yet, so a dense group costs little more than one pass, and rows that come
+    in the same order under many keys give the same links under all of them.
     """
     left = np.arange(len(fps))
     out = []
     while len(left) > 1:
-        todo, left = [left[0]], left[1:]
+        todo, left = deque([left[0]]), left[1:]
         while todo and len(left):
-            at = todo.pop()
+            at = todo.popleft()
             hits = near(at, left)
             if hits.any():
                 hit = left[hits]
@@ -147,6 +151,24 @@ def links_of_run(fps: np.ndarray, near) -> list[tuple[int, int]]:
     return out
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs (u, v) connect something that earlier pairs do not."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    keep = np.zeros(len(u), bool)
+    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep[i] = True
+    return keep
+
+
 def _linker(max_bits: int, check_bits: int, max_bucket: int | None):
     """Over rows sorted by key: links (kind 0), and rows of too large keys (kind 1)."""
     names = ["kind", "u", "v", "key", "bit", "chk"]
@@ -159,8 +181,9 @@ def _linker(max_bits: int, check_bits: int, max_bucket: int | None):
         """Links among the whole keys of a block."""
         edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[edge, len(k)])
-        us, vs = [], []
+        us, vs, of = [], [], []
         per_row = np.repeat(size, size)
+        group = np.repeat(np.arange(len(size)), size)
         small = (per_row > 1) & (per_row <= SMALL_BUCKET)
         for d in range(1, SMALL_BUCKET):
             i = np.flatnonzero(small[:-d] & (k[:-d] == k[d:]) & (per_row[:-d] > d))
@@ -170,6 +193,17 @@ def _linker(max_bits: int, check_bits: int, max_bucket: int | None):
             i = i[np.bitwise_count(c[i] ^ c[i + d]) <= check_bits]
             us.append(r[i])
             vs.append(r[i + d])
+            of.append(group[i])
+        if us:
+            # Of a key with many pairs, those that connect: the least ends first.
+            u, v, of = (np.concatenate(x) for x in (us, vs, of))
+            many = np.bincount(of, minlength=len(size))[of] > FEW_PAIRS
+            at = np.flatnonzero(many)
+            at = at[np.lexsort((v[at], u[at], of[at]))]
+            keep = ~many
+            for part in np.split(at, np.flatnonzero(np.diff(of[at])) + 1):
+                keep[part] = forest(u[part], v[part])
+            us, vs = [u[keep]], [v[keep]]
         for at, n in zip(edge[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
             ff, cc = f[at : at + n], c[at : at + n]
             near = lambda i, js: (
@@ -228,7 +262,8 @@ def fingerprint_links(
 
     def solved(keyed, limit):
         keyed = keyed.select("key", F.col("bit").cast("bigint"), "fp", "rep", "chk")
-        dealt = keyed.repartition("key").sortWithinPartitions("key")
+        # The least document of a key comes first, so keys of one group give like links.
+        dealt = keyed.repartition("key").sortWithinPartitions("key", "rep")
         found = hold(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form))
         n = found.count()
         # The result is small; the shuffle behind it is not, and goes with what is held.

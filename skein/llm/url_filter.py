@@ -82,9 +82,11 @@ def judge_urls(
         .withColumn("digest", expression(F.col("suffix"), F.expr("substring(path, 1, cut)")))
         .select("host", "path", "digest", F.substring("digest", 1, 4).alias("short"))
     )
-    best = (
+    # The short hash is the only key of the join; the digest confirms, in a form
+    # that is no equality, so that it stays a condition on what meets.
+    best = hold(
         each.join(
-            rules, (F.col("short") == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest"))
+            rules, (F.col("short") == F.col("rule_short")) & F.startswith(F.col("digest"), F.col("rule_digest"))
         )
         .groupBy("host", "path")
         .agg(
@@ -98,6 +100,7 @@ def judge_urls(
             ).alias("best")
         )
     )
+    # best is held, so a URL that very many pages share can be split over tasks.
     return split.join(best, ["host", "path"], "left").select(
         "page_id",
         "host",

@@ -275,10 +275,10 @@ def write_warc(
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html")
     )
-    rows = (
-        rows.join(again.hint("shuffle_hash"), "page_id", "left")
-        .select("page_id", "url", "html", F.col("first_id").alias("refers_to"), F.col("first_id").isNotNull().alias("revisit"))
-    )
+    # Rows without an id have no part in the join, which would deal them all to one task.
+    judged = rows.where("page_id IS NOT NULL").join(again, "page_id", "left")
+    judged = judged.unionByName(rows.where("page_id IS NULL").withColumn("first_id", F.lit(None).cast("bigint")))
+    rows = judged.select("page_id", "url", "html", F.col("first_id").alias("refers_to"), F.col("first_id").isNotNull().alias("revisit"))
     fs, inner = _open(folder)
     fs.create_dir(inner, recursive=True)
     # A row a task, like a listing of the files.

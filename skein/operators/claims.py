@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions import udfs
+from skein.functions import titles as H
 
 # Kinds, the weakest first.
 KINDS = ["rumor", "opinion", "reported", "statement", "confirmed"]
@@ -182,7 +182,7 @@ def restore_rumors(claims: DataFrame, story: str, least: int = 2) -> DataFrame:
     firm = tagged.where(F.col("kind").isin("confirmed", "statement")).select(story, F.col("seq").alias("other"), "w")
     hit = rumor.join(firm, [story, "w"]).groupBy(story, "seq", "other").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     back = hit.select(story, "seq").distinct().withColumn("__back", F.lit(True))
-    return claims.join(back, [story, "seq"], "left").withColumn("kind", F.when(F.col("__back"), "reported").otherwise(F.col("kind"))).drop("__back")
+    return claims.join(back, [story, "seq"], "left").withColumn("kind", F.when(F.col("__back") & (F.col("kind") == "rumor"), "reported").otherwise(F.col("kind"))).drop("__back")
 
 
 def resolve_origins(claims: DataFrame, key: str, text: str, publications: list[str], products: list[str]) -> DataFrame:
@@ -226,13 +226,19 @@ def attribution_window(sents: DataFrame, key: str, hit: Column, reach: int = 3)
 
 
 def nearest_cue(sents: DataFrame, key: str, hit: Column, cue: Column) -> DataFrame:
-    """(key, pos, cue): the cue nearest to a hit: own or former sentences first, then later ones."""
-    rows = sents.withColumn("__hit", F.coalesce(hit, F.lit(False))).withColumn("cue", cue)
-    hits = rows.where("__hit").select(key, F.col("pos").alias("at"))
-    cues = rows.where("cue IS NOT NULL").select(key, "pos", "cue")
-    gap = F.col("at") - F.col("pos")
-    order = Window.partitionBy(key).orderBy((gap < 0).cast("int"), F.abs(gap), "pos", "at")
-    return cues.join(hits, key).withColumn("n", F.row_number().over(order)).where("n = 1").select(key, "pos", "cue")
+    """(key, pos, cue): the cue nearest to a hit: own or former sentences first, then later ones.
+
+    A cue's best hit is the next one at or after it, or else the last one before
+    it, so both are found by running along the text.
+    """
+    rows = sents.select(key, "pos", cue.alias("cue"), F.when(F.coalesce(hit, F.lit(False)), F.col("pos")).alias("__at"))
+    along = Window.partitionBy(key).orderBy("pos")
+    after = F.min("__at").over(along.rangeBetween(0, Window.unboundedFollowing))
+    before = F.max("__at").over(along.rangeBetween(Window.unboundedPreceding, 0))
+    near = rows.withColumn("__after", after).withColumn("__before", before).where("cue IS NOT NULL AND coalesce(__after, __before) IS NOT NULL")
+    gap = F.coalesce(F.col("__after") - F.col("pos"), F.col("pos") - F.col("__before"))
+    best = F.min_by(F.struct("pos", "cue"), F.struct(F.col("__after").isNull().alias("later"), gap.alias("gap"), F.col("pos")))
+    return near.groupBy(key).agg(best.alias("__b")).select(key, "__b.pos", "__b.cue")
 
 
 def group_guards(groups: DataFrame, claims: DataFrame, story: str) -> DataFrame:
@@ -278,7 +284,7 @@ def resolve_versions(facts: DataFrame, fact: str) -> DataFrame:
 
     def settle(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["source_url"] or "", r["value"] or ""))
-        figures = [set(udfs.figures_of(r["value"] or "")) - udfs._SHORT_MONTHS for r in rows]
+        figures = [set(r.pop("figures")) for r in rows]
         alive, part = list(range(len(rows))), [0] * len(rows)
         while len(alive) > 1:
             against = {i: sum(bool(figures[i] - figures[j]) and bool(figures[j] - figures[i]) for j in alive) for i in alive}
@@ -291,10 +297,11 @@ def resolve_versions(facts: DataFrame, fact: str) -> DataFrame:
                 break
             alive.remove(top[0])
         keep = [{**rows[i], "part": part[i]} for i in alive]
-        return pa.Table.from_pylist(keep, table.schema.append(pa.field("part", pa.int64())))
+        return pa.Table.from_pylist(keep, table.drop_columns("figures").schema.append(pa.field("part", pa.int64())))
 
     form = f"{fact} bigint, source_url string, value string, part bigint"
-    return facts.select(fact, "source_url", "value").groupBy(fact).applyInArrow(settle, form)
+    figures = F.filter(H.figures(F.coalesce("value", F.lit(""))), lambda w: ~w.isin(H.MONTH_WORDS))
+    return facts.select(fact, "source_url", "value", figures.alias("figures")).groupBy(fact).applyInArrow(settle, form)
 
 
 def display_entities(variants: DataFrame, key: str, spelling: str) -> DataFrame:
@@ -340,3 +347,70 @@ def member_support(members: DataFrame, story: str, entities: DataFrame, least: i
     peers = peers.select(story, "seq", F.lit(True).alias("peer")).distinct()
     support = F.when(F.col("direct"), "direct").when(F.col("headed"), "title").when(F.col("peer"), "peer").otherwise("none")
     return rows.join(peers, [story, "seq"], "left").select(story, "seq", support.alias("support"))
+
+
+# Kinds and speakers that an answer may give.
+ANSWER_KINDS = ["confirmed", "reported", "statement", "opinion", "rumor", "estimate"]
+SPEAKER_TYPES = ["person", "organization", "publication", "none"]
+_ANSWER = "claims array<struct<claim:string,value:string,source_url:string,origin:string,affiliation:string,kind:string,speaker:string,speaker_type:string,quote_ids:array<int>,attribution_ids:array<int>>>"
+
+
+def validated(answers: DataFrame, key: str, answer: str, url: str | None = None, most: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Claims of model answers, and (key, problem) of answers that are refused as a whole.
+
+    An answer is JSON with claims, each of which has a claim, a value and a
+    known kind.  url, the address that was asked about, replaces the address an
+    answer gives, which must otherwise be one of the web.  Texts are cut to
+    `most` characters; an unstated origin allows no more than "reported".
+    """
+    asked = F.trim(url) if url else F.lit(None).cast("string")
+    read = answers.select(key, asked.alias("__url"), F.from_json(answer, _ANSWER, {"mode": "PERMISSIVE"}).alias("__a"))
+    lacks = lambda c: c["claim"].isNull() | c["value"].isNull() | ~F.coalesce(c["kind"].isin(ANSWER_KINDS), F.lit(False))
+    web = lambda c: F.coalesce(F.coalesce(F.col("__url"), c["source_url"]).rlike("^https?://"), F.lit(False))
+    problem = (
+        F.when(F.col("__a.claims").isNull(), "no claims")
+        .when(F.exists("__a.claims", lacks), "field missing")
+        .when(F.exists("__a.claims", lambda c: ~web(c)), "no web address")
+    )
+    read = read.withColumn("problem", problem)
+    each = read.where("problem IS NULL").select(key, "__url", F.posexplode("__a.claims").alias("seq", "c")).select(key, "__url", "seq", "c.*")
+    plain = lambda name: F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    origin = F.when(plain("origin") == "", "unstated").otherwise(plain("origin"))
+    kind = F.when((origin == "unstated") & F.col("kind").isin("confirmed", "estimate"), "reported").otherwise(F.col("kind"))
+    kept = each.select(
+        key, "seq", F.substring(F.trim("claim"), 1, most).alias("claim"), F.substring(F.trim("value"), 1, most).alias("value"), F.coalesce("__url", "source_url").alias("source_url"),
+        origin.alias("origin"), plain("affiliation").alias("affiliation"), kind.alias("kind"), F.trim(F.coalesce("speaker", F.lit(""))).alias("speaker"),
+        F.when(F.col("speaker_type").isin(SPEAKER_TYPES), F.col("speaker_type")).otherwise("none").alias("speaker_type"),
+        clean_ids(F.coalesce("quote_ids", F.array().cast("array<int>"))).alias("quote_ids"), clean_ids(F.coalesce("attribution_ids", F.array().cast("array<int>"))).alias("attribution_ids"),
+    )
+    return kept, read.where("problem IS NOT NULL").select(key, "problem")
+
+
+def numbered(claims: DataFrame, story: str, *order: str) -> DataFrame:
+    """claims with id: F1, F2 ... by story, in that order."""
+    return claims.withColumn("id", F.concat(F.lit("F"), F.row_number().over(Window.partitionBy(story).orderBy(*order))))
+
+
+def evidence_tally(claims: DataFrame, source: str) -> DataFrame:
+    """Per source: claims, those that confirm, those with a named origin, first-party ones."""
+    return claims.groupBy(source).agg(
+        F.count("*").alias("claims"), F.count_if(F.col("kind").isin(CONFIRMING)).alias("confirming"), F.count_if(F.col("origin") != "unstated").alias("named"), F.count_if("first_party").alias("first_party")
+    )
+
+
+def ready(claims: DataFrame, story: str, sources: int = 2, owners: int = 2, usable: int = 2) -> DataFrame:
+    """(story, state): ready, or the first thing a story lacks: sources, owners, usable claims."""
+    g = claims.groupBy(story).agg(
+        F.count_distinct("source_url").alias("s"), F.count_distinct("owner").alias("o"), F.count_if(F.col("kind").isin("confirmed", "reported", "statement")).alias("u")
+    )
+    return g.select(story, F.when(F.col("s") < sources, "sources").when(F.col("o") < owners, "owners").when(F.col("u") < usable, "claims").otherwise("ready").alias("state"))
+
+
+def preceding_name(text: Column, before: str, names: list[str]) -> Column:
+    """The last of some names that stands, as whole words, before a phrase; null if none does.
+
+    Longer names win over their own parts.
+    """
+    forms = "|".join(r"\Q" + n + r"\E" for n in sorted(names, key=lambda n: (-len(n), n)))
+    head = F.when(F.contains(text, F.lit(before)), F.substring_index(text, before, 1))
+    return F.try_element_at(F.regexp_extract_all(head, F.lit(rf"(?U)(?<![\w-])(?:{forms})(?![\w-])"), 0), F.lit(-1))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions import udfs
+from skein.functions import titles as H
 from skein.operators.gates import failures
 
 
@@ -26,7 +26,7 @@ def title_coverage(articles: DataFrame, key: str, title: str, entities: str) ->
     A name is covered by an entity of which it is an ordered part, or which is
     an ordered part of it.
     """
-    names = articles.select(key, entities, F.explode(udfs.named_entities(F.col(title))).alias("phrase"))
+    names = articles.select(key, entities, F.explode(H.names(F.col(title))).alias("phrase"))
     words = lambda c: F.split(X.normalize_title(c), " ")
     own = words(F.col("phrase"))
     covered = F.exists(entities, lambda e: subsequence(own, words(e)) | subsequence(words(e), own))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.operators import texts as T
 
 
 def failures(docs: DataFrame, key: str, check: str, *tests: tuple[Column, str]) -> DataFrame:
@@ -70,6 +71,95 @@ def link_gate(docs: DataFrame, key: str, body: str, slugs: DataFrame, prefix: st
     return each.join(slugs, "slug", "left_anti").select(key, F.lit("links").alias("check"), F.concat(F.lit("no such page: "), "slug").alias("failure"))
 
 
+def found_gate(found: DataFrame, key: str, check: str, message: Column) -> DataFrame:
+    """A failure for each row that a detector (repeated tokens, outlet names, near copies ...) found."""
+    return found.select(key, F.lit(check).alias("check"), message.cast("string").alias("failure"))
+
+
+def structure_gate(docs: DataFrame, key: str, body: str, least: int) -> DataFrame:
+    """Enough words, one first-level heading at most, no level left out, no section that lists sources."""
+    heads = X.headings(F.col(body))
+    marked = docs.select(key, body, heads.alias("__heads"))
+    levels = F.transform("__heads", lambda h: F.length(F.regexp_extract(h, "^#+", 0)))
+    marked = marked.withColumn("__levels", levels)
+    skip = F.exists(F.sequence(F.lit(1), F.size("__levels")), lambda i: F.get("__levels", i - 1) > F.when(i > 1, F.get("__levels", i - 2)).otherwise(1) + 1)
+    return failures(
+        marked,
+        key,
+        "structure",
+        (X.markdown_words(F.col(body)) < least, "too few words"),
+        (F.size(F.filter("__levels", lambda n: n == 1)) > 1, "more than one title"),
+        ((F.size("__levels") > 0) & skip, "heading level left out"),
+        (F.exists("__heads", lambda h: F.lower(h).rlike(r"^#+\s+sources?\s*$")), "a section of sources"),
+    )
+
+
+def overlap_gate(docs: DataFrame, key: str, body: str, sources: DataFrame, source_text: str, n: int = 8, most: float = 0.2) -> DataFrame:
+    """Too many of a text's n-grams stand in its sources."""
+    found = T.gram_overlap(docs, key, body, sources, source_text, n).where(F.col("ratio") > most)
+    return found_gate(found, key, "overlap", F.concat(F.round(F.col("ratio") * 100).cast("int"), F.lit("% copied")))
+
+
+def relative_time_gate(docs: DataFrame, key: str, columns: list[str], words: list[str]) -> DataFrame:
+    """Words such as "today", outside quotations, in the title, the description or the body."""
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\"[^\"]*\"|“[^”]*”", " ")
+    marked = docs.select(key, *[plain(c).alias(c) for c in columns])
+    return failures(marked, key, "relative time", *[(X.any_word(F.col(c), [w]), f"{w} in {c}") for c in columns for w in words])
+
+
+def attribution_gate(docs: DataFrame, key: str, body: str, facts: str, speakers: str, contrasts: list[str], groups: list[str]) -> DataFrame:
+    """Contrasts that no fact states, and statements credited to a group though the facts name speakers.
+
+    facts: the text of all claims; speakers: an array of the named ones.
+    """
+    text, known = F.lower(body), F.lower(F.coalesce(facts, F.lit("")))
+    invented = [(F.contains(text, F.lit(p)) & ~F.contains(known, F.lit(p)), f"contrast: {p}") for p in contrasts]
+    says = lambda g: text.rlike(rf"(?U)\b\Q{g}\E\s+(?:has\s+|have\s+)?(?:said|says|say|told|announced|confirmed|revealed)\b")
+    vague = [((F.size(speakers) > 0) & says(g) & ~F.contains(known, F.lit(g)), f"group as speaker: {g}") for g in groups]
+    return failures(docs, key, "attribution", *invented, *vague)
+
+
+def opinion_gate(opinions: DataFrame, sents: DataFrame, key: str, least: float = 0.6, words: int = 4) -> DataFrame:
+    """Opinions retold in a sentence that names neither who holds them nor their source.
+
+    opinions: (key, clause, words, names); sents: (key, pos, sentence, words).
+    Opinions of fewer content words are not looked for.
+    """
+    told = T.best_sentence(opinions.where(F.size("words") >= words), sents, key, least)
+    found = told.join(opinions.select(key, "clause", "names"), [key, "clause"]).join(sents.select(key, "pos", "sentence"), [key, "pos"])
+    form = X.normalize_title(F.col("sentence"))
+    named = F.exists("names", lambda n: X.contains_phrase(form, X.normalize_title(n)) | X.contains_phrase(form, F.element_at(F.split(X.normalize_title(n), " "), -1)))
+    return found_gate(found.where(~named), key, "opinion attribution", F.col("clause"))
+
+
+def sections_gate(rows: DataFrame, key: str, heading: Column, filler: list[str], min_sentences: int = 2, min_words: int = 40) -> DataFrame:
+    """Sections without text, with too little of it, or of filler; rows: (key, pos, line)."""
+    thin = T.thin_sections(rows, key, heading, min_sentences, min_words)
+    short = found_gate(thin, key, "thin sections", F.concat(F.lit("section at line "), "section"))
+    empty = found_gate(thin.where("n_words = 0"), key, "sections", F.concat(F.lit("empty section at line "), "section"))
+    said = F.array_compact(F.array(*[F.when(F.contains(F.lower("line"), F.lit(p)), F.lit(p)) for p in filler]))
+    return short.unionByName(empty).unionByName(found_gate(rows.select(key, F.explode(said).alias("p")), key, "sections", F.concat(F.lit("filler: "), "p")))
+
+
+def review_gate(reviews: DataFrame, key: str) -> DataFrame:
+    """reviews: (key, passed, writer, verifier): the report passed, and another family of models verified."""
+    family = lambda c: F.lower(F.regexp_extract(c, r"^[A-Za-z]+", 0))
+    report = failures(reviews, key, "verify report", (~F.coalesce("passed", F.lit(False)), "not passed"))
+    return report.unionByName(failures(reviews, key, "model families", (F.coalesce(family(F.col("writer")) == family(F.col("verifier")), F.lit(True)), "one family wrote and verified")))
+
+
+def repairs(found: DataFrame, sents: DataFrame, key: str, fixable: list[str]) -> DataFrame:
+    """(key, check, failure, pos): the sentences that a repair must change; pos is null where none can be named.
+
+    Failures of fixable checks name a phrase; sentences that hold it are to be changed.
+    """
+    phrase = F.lower(F.regexp_replace("failure", r"^[^:]*:\s*", ""))
+    wanted = found.withColumn("__p", F.when(F.col("check").isin(fixable), phrase))
+    held = sents.select(F.col(key).alias("__k"), "pos", F.lower("sentence").alias("__s"))
+    hits = wanted.join(held, (wanted[key] == held["__k"]) & F.contains("__s", "__p"), "left")
+    return hits.select(key, "check", "failure", "pos")
+
+
 def verdict(docs: DataFrame, key: str, *checks: DataFrame) -> DataFrame:
     """(key, passed, n_failures, failed_checks) of every document."""
     found = reduce(DataFrame.unionByName, checks)

@@ -22,6 +22,14 @@ def not_in_cooldown(stories: DataFrame, seen: DataFrame, now: Column, hours: flo
     return stories.join(recent, same, "left_anti")
 
 
+def unseen(stories: DataFrame, key: str, seen_urls: DataFrame, seen_types: DataFrame, now: Column, hours: float = 168.0) -> DataFrame:
+    """Stories not told yet: no URL of theirs was ever seen, nor their entities with that type of late.
+
+    seen_urls: (url), which never expires; seen_types: (entities, story_type, last_seen).
+    """
+    return not_in_cooldown(not_covered_by_url(stories, key, "urls", seen_urls), seen_types, now, hours)
+
+
 def failed_matches(stories: DataFrame, failed: DataFrame, least: int = 3, share: float = 0.8) -> DataFrame:
     """(id, failed_id) by equal key, a shared URL, or like entity sets of one type.
 
@@ -133,27 +141,30 @@ def phrase_matches(titles: DataFrame, text: str, phrases: DataFrame) -> DataFram
 def near_duplicate_articles(articles: DataFrame, key: str, title: str, day: str, days: int = 7, share: float = 0.5) -> DataFrame:
     """(key, earlier, why): articles with an earlier near copy.
 
-    The same normalised title at any time, or within `days` a title whose words
-    are alike.  Dates meet in buckets of `days`, titles on their rarest words,
-    so no two articles are compared without a reason.
+    The same normalised title at any time, or within `days` before, or on that
+    day with a smaller key, a title whose words are alike; earlier is the least
+    key of all such.  Dates meet in buckets of `days`, titles on their rarest
+    words, so no two articles are compared without a reason.
     """
     rows = articles.select(F.col(key).alias("k"), F.to_date(day).alias("d"), X.normalize_title(F.col(title)).alias("t")).where("t != ''")
     first = rows.groupBy("t").agg(F.min(F.struct("d", "k")).alias("f"))
     same = rows.join(first, "t").where("k != f.k").select(F.col("k").alias(key), F.col("f.k").alias("earlier"), F.lit("title").alias("why"))
-    # One article stands for all with its title in a bucket of days.
+    # Articles of one title and day have the same near titles; the least key stands for them.
     bucket = F.floor(F.datediff("d", F.lit("1970-01-01").cast("date")) / days)
-    heads = rows.withColumn("b", bucket).groupBy("t", "b").agg(F.min("d").alias("d"), F.min("k").alias("k"))
+    heads = rows.where("d IS NOT NULL").groupBy("t", "d").agg(F.min("k").alias("k")).withColumn("b", bucket)
     sets = heads.withColumn("set", F.array_distinct(F.split("t", " ")))
     each = sets.select("k", "d", "b", "t", "set", F.explode("set").alias("w"))
     rare = each.groupBy("w").agg(F.count("*").alias("n"))
-    place = Window.partitionBy("k").orderBy("n", "w")
+    place = Window.partitionBy("t", "d").orderBy("n", "w")
     prefix = each.join(rare, "w").withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= F.size("set") - F.ceil(F.size("set") * share) + 1)
-    a = prefix.select("w", F.col("k").alias("ka"), F.col("d").alias("da"), F.col("t").alias("ta"), F.col("set").alias("sa"), F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
+    a = prefix.select("w", F.col("d").alias("da"), F.col("t").alias("ta"), F.col("set").alias("sa"), F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b"))
     b = prefix.select("w", "b", F.col("k").alias("kb"), F.col("d").alias("db"), F.col("t").alias("tb"), F.col("set").alias("sb"))
-    near = a.join(b, ["w", "b"]).where(
-        (F.col("ta") != F.col("tb")) & (F.datediff("da", "db").between(0, days)) & ((F.col("da") > F.col("db")) | (F.col("ka") > F.col("kb"))) & (X.jaccard(F.col("sa"), F.col("sb")) >= share)
-    )
-    alike = near.groupBy(F.col("ka").alias(key)).agg(F.min("kb").alias("earlier")).select(key, "earlier", F.lit("similar").alias("why"))
+    near = a.join(b, ["w", "b"]).where((F.col("ta") != F.col("tb")) & F.datediff("da", "db").between(0, days) & (X.jaccard(F.col("sa"), F.col("sb")) >= share))
+    # Any article of a former day is earlier; of the same day those with a smaller key are.
+    near = near.groupBy("ta", "da").agg(F.min(F.when(F.col("db") < F.col("da"), F.col("kb"))).alias("former"), F.min(F.when(F.col("db") == F.col("da"), F.col("kb"))).alias("same"))
+    found = rows.join(near, (rows["t"] == near["ta"]) & (rows["d"] == near["da"]))
+    earlier = F.least("former", F.when(F.col("same") < F.col("k"), F.col("same")))
+    alike = found.select(F.col("k").alias(key), earlier.alias("earlier"), F.lit("similar").alias("why")).where("earlier IS NOT NULL")
     return same.unionByName(alike)
 
 

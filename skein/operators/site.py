@@ -80,3 +80,21 @@ def duplicated(articles: DataFrame, key: str, value) -> DataFrame:
 def tags(own, extra, limit: int):
     """Distinct tags, filled up from extra, limit at most."""
     return F.slice(F.array_distinct(F.concat(F.transform(own, lambda t: F.lower(F.trim(t))), extra)), 1, limit)
+
+
+def link_targets(articles: DataFrame, key: str, time: str, own, now, hours: float = 24.0) -> DataFrame:
+    """Articles that another may link to: not itself, and published long enough ago."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 3.6e9
+    return articles.where((F.col(key) != own) & (age >= hours))
+
+
+def rss(articles: DataFrame, key: str, title, link, time: str, site: str, n: int = 50) -> DataFrame:
+    """(place, xml): the newest n items of a feed, then the feed itself at place 0."""
+    from skein.functions.text import message
+
+    item = F.concat(F.lit("<item><title>"), message(title), F.lit("</title><link>"), message(link, 2000), F.lit("</link><pubDate>"), F.date_format(time, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate></item>"))
+    items = newest(articles.withColumn("xml", item), time, key, n).select("place", "xml")
+    # At most n items make the channel.
+    every = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "xml"))), lambda x: x["xml"]), "").alias("all"))
+    channel = every.select(F.lit(0).alias("place"), F.concat(F.lit(f'<rss version="2.0"><channel><title>{site}</title>'), "all", F.lit("</channel></rss>")).alias("xml"))
+    return items.unionByName(channel)

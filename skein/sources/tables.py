@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     """A JSON state table; empty where there is none, null fields where a line is broken."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
 def write_state(df: DataFrame, path: str) -> None:
@@ -37,9 +38,11 @@ def write_report(df: DataFrame, path: str, run_ts: str) -> None:
 
 
 def route(df: DataFrame, ok: Column, articles: str, drafts: str) -> None:
-    """Publish rows that pass, keep the others as drafts."""
-    df.where(ok).write.mode("append").parquet(articles)
-    df.where(~F.coalesce(ok, F.lit(False))).write.mode("append").parquet(drafts)
+    """Publish rows that pass, keep the others as drafts; df is computed once."""
+    held = df.withColumn("__ok", F.coalesce(ok, F.lit(False))).persist(StorageLevel.DISK_ONLY)
+    held.where("__ok").drop("__ok").write.mode("append").parquet(articles)
+    held.where("NOT __ok").drop("__ok").write.mode("append").parquet(drafts)
+    held.unpersist()
 
 
 ITEM = T.StructType(

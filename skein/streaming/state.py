@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -99,11 +98,22 @@ def windowed_counts(stream: DataFrame, time: str, key: str, delay: str = "7 days
 
 
 def run_available(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and give its result as a table."""
-    name = f"skein_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there now and give its result, a table beside the checkpoint.
+
+    A batch that runs again overwrites its own part.  In complete mode the last
+    batch is the result.
+    """
+    spark, parts = stream.sparkSession, []
+
+    def put(batch: DataFrame, number: int) -> None:
+        parts.append(f"{checkpoint}-result/batch={number}")
+        batch.write.mode("overwrite").parquet(parts[-1])
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not parts:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(parts[-1:] if mode == "complete" else dict.fromkeys(parts)))
 
 
 def fold_pool(stream: DataFrame, path: str, checkpoint: str, key: list[str], time: str, seq: str):
