@@ -101,14 +101,12 @@ def number_whitelist(spark, sf):
 def writer_view(spark, sf):
     """Claims as a writer sees them: numbered, clipped, without outlets as origins."""
     c = _claims(spark, sf).where("tier < 3")
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("story_id").orderBy("seq", "source_url", "claim", "value"))
-    return c.select("story_id", F.concat(F.lit("F"), n).alias("id"), F.substring("claim", 1, 300).alias("claim"), F.when(~F.contains("origin", F.lit("labs")), F.col("origin")).alias("origin"), F.col("source_url").alias("url"))
+    c = C.numbered(c, "story_id", "seq", "source_url", "claim", "value")
+    return c.select("story_id", "id", F.substring("claim", 1, 300).alias("claim"), F.when(~F.contains("origin", F.lit("labs")), F.col("origin")).alias("origin"), F.col("source_url").alias("url"))
 
 
 def article_projection(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     md = docs.select("doc_id", S.render_article(F.substring("text", 1, 30), F.col("lang"), F.col("source"), F.array("lang", "source"), F.col("text")).alias("m"))
     head, body = X.front_matter(F.col("m"))
     return md.select("doc_id", S.front_value(head, "category").alias("category"), F.sha2(body, 256).alias("digest"))
@@ -132,7 +130,8 @@ def command_parse(spark, sf):
 
 
 def capital_counts(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.split("text", "\n")[0], F.lit(r"\b[A-Z][a-z]+\b"), 0)).alias("w"))
+    words = F.regexp_extract_all(F.split("text", "\n")[0], F.lit(r"[\p{L}\p{N}]+"), 0)
+    docs = table(spark, sf, "documents").select(F.explode(F.filter(words, lambda w: w.rlike("^[A-Z][a-z]+$"))).alias("w"))
     return docs.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).where("n > 3")
 
 
@@ -197,9 +196,9 @@ _PHOTO = """p AS (SELECT *, p_size * 60 AS width, ['CC BY 4.0','cc0','All rights
 SQL = {
     "near_duplicate_articles": """WITH r AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, trim(regexp_replace(regexp_replace(lower('order ' || (o_custkey % 40) || ' ' || o_orderpriority || ' c' || (o_custkey % 300)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM orders),
         f AS (SELECT t, min((d, k)) AS f FROM r GROUP BY t), s AS (SELECT r.k AS o_orderkey, f.f[2] AS earlier, 'title' AS why FROM r JOIN f USING (t) WHERE r.k <> f.f[2]),
-        h AS (SELECT t, min(d) AS d, min(k) AS k, list_distinct(string_split(t, ' ')) AS w, floor(date_diff('day', DATE '1970-01-01', d) / 7) AS b FROM r GROUP BY t, b),
-        n AS (SELECT x.k AS o_orderkey, min(y.k) AS earlier FROM h x JOIN h y ON x.t <> y.t AND date_diff('day', y.d, x.d) BETWEEN 0 AND 7 AND (x.d > y.d OR x.k > y.k) AND (x.b = y.b OR x.b = y.b + 1)
-          AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.5 GROUP BY x.k)
+        g AS (SELECT t, d, min(k) AS k, list_distinct(string_split(t, ' ')) AS w FROM r GROUP BY t, d),
+        p AS (SELECT x.t, x.d, y.d AS yd, y.k AS yk FROM g x JOIN g y ON y.d BETWEEN x.d - 7 AND x.d AND x.t <> y.t AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) >= 0.5),
+        n AS (SELECT r.k AS o_orderkey, min(p.yk) AS earlier FROM r JOIN p ON r.t = p.t AND r.d = p.d AND (p.yd < r.d OR p.yk < r.k) GROUP BY r.k)
         SELECT * FROM s UNION ALL SELECT o_orderkey, earlier, 'similar' FROM n""",
     "robots_filter": "SELECT page_id FROM pages WHERE NOT (regexp_matches(url, '://tionsh\\.example\\.net(/|$)') AND NOT regexp_matches(url, '://tionsh\\.example\\.net/en/'))",
     "budget_trim": f"""WITH {_CLAIMS}, s AS (SELECT *, seq = 1 AS central, strength + CASE WHEN seq = 1 THEN 10 ELSE 0 END + CASE WHEN contains(claim || ' ' || value, 'price 1') THEN 2 ELSE 0 END AS score FROM c),
@@ -220,11 +219,11 @@ SQL = {
     "stage_fingerprints": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderkey % 2 = 0 AND x.o_custkey = o.o_custkey AND x.o_orderstatus = o.o_orderstatus)",
     "number_whitelist": r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b\d+\b')) AS token, contains(text, '@') AS c FROM documents) SELECT doc_id, token FROM t WHERE NOT (length(token) = 1 OR (length(token) = 2 AND c))""",
     "writer_view": f"""WITH {_CLAIMS} SELECT story_id, 'F' || row_number() OVER (PARTITION BY story_id ORDER BY seq, source_url, claim, value) AS id, claim, CASE WHEN NOT contains(origin, 'labs') THEN origin END AS origin, source_url AS url FROM c WHERE tier < 3""",
-    "article_projection": "SELECT doc_id, source AS category, sha256(text) AS digest FROM documents WHERE lang = 'en'",
+    "article_projection": "SELECT doc_id, source AS category, sha256(text) AS digest FROM documents",
     "rss_items": "SELECT page_id, '<item><title>' || page_id || '</title><link>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</link></item>' AS xml FROM pages",
     "json_ld": """SELECT o_orderkey, '{"type":"NewsArticle","id":' || o_orderkey || ',"author":{"name":"' || o_orderpriority || '"}}' AS doc FROM orders""",
     "command_parse": "SELECT event_id, event_type AS topic, 'idea ' || user_id AS idea, 2 AS n_urls FROM events",
-    "capital_counts": r"""WITH w AS (SELECT unnest(regexp_extract_all(split_part(text, chr(10), 1), '\b[A-Z][a-z]+\b')) AS w FROM documents WHERE lang = 'en') SELECT lower(w) AS word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) > 3""",
+    "capital_counts": r"""WITH w AS (SELECT unnest(regexp_extract_all(split_part(text, chr(10), 1), '[\p{L}\p{N}]+')) AS w FROM documents) SELECT lower(w) AS word, count(*) AS n FROM w WHERE regexp_full_match(w, '[A-Z][a-z]+') GROUP BY 1 HAVING count(*) > 3""",
     "json_schema_violations": """WITH e AS (SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) SELECT '$.z: missing' AS problem, count(*) AS n FROM e
         UNION ALL SELECT '$.k: under 10', count(*) FROM e WHERE k < 10 HAVING count(*) > 0 UNION ALL SELECT '$.k: over 90', count(*) FROM e WHERE k > 90 HAVING count(*) > 0""",
     "cue_sources": "SELECT unnest(['lead:Acme Corp', 'subject:Roe Hart']) AS cue, count(*) AS n FROM events GROUP BY 1",
@@ -235,7 +234,7 @@ SQL = {
 
 
 def _drafts(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     first = F.split("text", "\n")[0]
     return docs.select("doc_id", F.substring(first, 1, 90).alias("title"), F.substring("text", 1, 150).alias("description"), X.slugify(F.substring(first, 1, 40)).alias("slug"), F.array("source", "lang").alias("tags"), "text", "source")
 
@@ -307,7 +306,7 @@ for _f in (
 ):
     QUERIES[_f.__name__] = _f
 
-_DRAFT = r"""a AS (SELECT doc_id, text, substr(split_part(text, chr(10), 1), 1, 90) AS title, substr(text, 1, 150) AS d, lower(regexp_replace(regexp_replace(substr(split_part(text, chr(10), 1), 1, 40), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents WHERE lang = 'en')"""
+_DRAFT = r"""a AS (SELECT doc_id, text, substr(split_part(text, chr(10), 1), 1, 90) AS title, substr(text, 1, 150) AS d, lower(regexp_replace(regexp_replace(substr(split_part(text, chr(10), 1), 1, 40), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents)"""
 _FORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 SQL |= {
     "seo_validation": rf"""WITH {_DRAFT} SELECT doc_id, 'seo' AS "check", unnest(list_filter([CASE WHEN length(title) < 15 OR length(title) > 65 THEN 'title length' END, CASE WHEN regexp_matches(title, '[!?]{{2,}}|\.\.\.$') THEN 'title punctuation' END,
@@ -317,10 +316,10 @@ SQL |= {
     "statement_attribution": "SELECT o_orderkey AS clause_id FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer)",
     "model_call_chain": "SELECT CASE WHEN length(text) > 100 THEN 'large' ELSE 'small' END AS provider, count(*) AS n, count(*) FILTER (length(text) > 100) AS errors FROM conversations GROUP BY 1",
     "stage_timing": "SELECT event_type AS stage, CAST(sum(floor(value)) AS BIGINT) AS seconds, count(*) AS runs FROM events GROUP BY 1",
-    "offers_and_completeness": r"""WITH a AS (SELECT doc_id, lower(text) AS t, doc_id % 2 = 0 AS e FROM documents WHERE lang = 'en')
+    "offers_and_completeness": r"""WITH a AS (SELECT doc_id, lower(text) AS t, doc_id % 2 = 0 AS e FROM documents)
         SELECT doc_id, 'offers' AS "check", 'tion of without a date' AS failure FROM a WHERE contains(t, 'tion of') AND NOT e UNION ALL SELECT doc_id, 'offers', 'and the without a date' FROM a WHERE contains(t, 'and the') AND NOT e
         UNION ALL SELECT doc_id, 'completeness', 'all' FROM a WHERE regexp_matches(t, '(^|[^\p{L}\p{N}\p{M}_])all($|[^\p{L}\p{N}\p{M}_])') AND NOT e UNION ALL SELECT doc_id, 'completeness', 'the' FROM a WHERE regexp_matches(t, '(^|[^\p{L}\p{N}\p{M}_])the($|[^\p{L}\p{N}\p{M}_])')""",
-    "outlet_names": r"""WITH a AS (SELECT text AS p FROM documents WHERE lang = 'en') SELECT o AS outlet, count(*) AS n FROM a, (VALUES ('The'), ('Of')) v(o) WHERE regexp_matches(p, '(^|[^\p{L}\p{N}\p{M}_])' || o || '($|[^\p{L}\p{N}\p{M}_])') GROUP BY o""",
+    "outlet_names": r"""WITH a AS (SELECT text AS p FROM documents) SELECT o AS outlet, count(*) AS n FROM a, (VALUES ('The'), ('Of')) v(o) WHERE regexp_matches(p, '(^|[^\p{L}\p{N}\p{M}_])' || o || '($|[^\p{L}\p{N}\p{M}_])') GROUP BY o""",
 }
 
 
@@ -331,7 +330,7 @@ def html_to_text_native(spark, sf):
 
 QUERIES["html_to_text_native"] = html_to_text_native
 _DAY = "strftime(CAST(ts AS DATE) + INTERVAL ({}) DAY, '%B %-d, %Y')"
-_FOLDED = "strip_accents(split_part(text, chr(10), 1))"
+_FOLDED = "strip_accents(replace(split_part(text, chr(10), 1), 'ß', 'ss'))"
 SQL |= {
     "html_to_text_native": r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(?:script|style)\s*>|<!--.*?-->', '', 'g') AS t FROM pages),
         b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote|pre|hr)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM a),
@@ -341,7 +340,7 @@ SQL |= {
     "relative_dates": f"""WITH e AS (SELECT CASE event_id % 6 WHEN 0 THEN 'begins on ' || {_DAY.format(0)} WHEN 1 THEN 'came on ' || {_DAY.format(-1)} WHEN 2 THEN 'is available as of ' || {_DAY.format(0)}
         WHEN 3 THEN 'is open' WHEN 4 THEN 'dropped' ELSE 'calm' END AS t FROM events) SELECT t, count(*) AS n FROM e GROUP BY t""",
     "accent_folding": rf"""SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace({_FOLDED}, '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
-        trim(regexp_replace(lower({_FOLDED}), '[^a-z0-9]+', ' ', 'g')) AS form FROM documents WHERE lang IN ('fr', 'es')""",
+        trim(regexp_replace(lower({_FOLDED}), '[^a-z0-9]+', ' ', 'g')) AS form FROM documents""",
     "entity_mentions": rf"""WITH {_DRAFT}, e AS (SELECT doc_id, text, unnest(['of the', 'licensed under', string_split(title, ' ')[1]]) AS entity FROM a),
         m AS (SELECT entity FROM e WHERE NOT ({_FORM.format('entity')} <> '' AND contains(' ' || {_FORM.format('text')} || ' ', ' ' || {_FORM.format('entity')} || ' '))) SELECT entity, count(*) AS n FROM m GROUP BY entity HAVING count(*) > 3""",
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.functions import titles as H
 from skein.functions import udfs
 from skein.operators import claims as C
 from skein.operators import clusters as K
@@ -54,20 +55,11 @@ def confirmed_origins_rule(spark, sf):
 
 
 def evidence_tally(spark, sf):
-    c = _claims(spark, sf)
-    t = c.groupBy("source_url").agg(
-        F.count("*").alias("claims"), F.count_if(F.col("kind").isin(C.CONFIRMING)).alias("confirming"), F.count_if(F.col("origin") != "unstated").alias("named"), F.count_if("first_party").alias("first_party")
-    )
-    return t
+    return C.evidence_tally(_claims(spark, sf), "source_url")
 
 
 def readiness(spark, sf):
-    """Whether a story has enough sources, owners and usable claims, or the first thing it lacks."""
-    g = _claims(spark, sf).groupBy("story_id").agg(
-        F.count_distinct("source_url").alias("s"), F.count_distinct("owner").alias("o"), F.count_if(F.col("kind").isin("confirmed", "reported", "statement")).alias("u")
-    )
-    lack = F.when(F.col("s") < 2, "sources").when(F.col("o") < 2, "owners").when(F.col("u") < 2, "claims").otherwise("ready")
-    return g.select("story_id", lack.alias("state"))
+    return C.ready(_claims(spark, sf), "story_id")
 
 
 def drop_share_per_source(spark, sf):
@@ -183,10 +175,7 @@ def stream_counts_watermark(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     counts = Z.windowed_counts(stream, "ts", "event_type", "30 days")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-")
-    import uuid
-
-    got = Z.run_available(counts, f"{folder}/stream-{uuid.uuid4().hex}", "complete")
+    got = Z.run_available(counts, f"{K.shared_folder(spark)}/stream-{uuid.uuid4().hex}", "complete")
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
@@ -206,30 +195,30 @@ def tokens_values_extract(spark, sf):
 
 
 def figure_tokens(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.explode(udfs.figure_tokens(F.col("text"))).alias("token"))
+    docs = table(spark, sf, "documents").select("doc_id", F.explode(H.figures(F.col("text"))).alias("token"))
     return docs.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def entity_scanner(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
-    return docs.select("doc_id", F.explode(udfs.named_entities(F.col("title"))).alias("entity"))
+    return docs.select("doc_id", F.explode(H.names(F.col("title"))).alias("entity"))
 
 
 def story_types(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", udfs.each("string", udfs.type_of, F.split("text", "\n")[0]).alias("type"))
+    docs = table(spark, sf, "documents").select("doc_id", H.story_type(F.split("text", "\n")[0]).alias("type"))
     return docs.groupBy("type").agg(F.count("*").alias("n"))
 
 
 def sequence_similarity(spark, sf):
     t = _turns(spark, sf)
     a, b = t.where("pos = 0").select("conv_id", F.col("text").alias("a")), t.where("pos = 2").select("conv_id", F.col("text").alias("b"))
-    return a.join(b, "conv_id").select("conv_id", F.round(udfs.similarity(F.col("a"), F.col("b")), 6).alias("ratio"))
+    return a.join(b, "conv_id").select("conv_id", F.round(H.similarity(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 def accent_folding(spark, sf):
-    docs = table(spark, sf, "documents").where("lang IN ('fr', 'es')")
+    docs = table(spark, sf, "documents")
     title = F.split("text", "\n")[0]
-    return docs.select("doc_id", X.slugify(title, udfs.strip_diacritics).alias("slug"), X.match_normalize(title, udfs.strip_diacritics).alias("form"))
+    return docs.select("doc_id", X.slugify(title, H.fold).alias("slug"), X.match_normalize(title, H.fold).alias("form"))
 
 
 def greedy_leader_cluster(spark, sf):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import editorial, facts, stories, texts
+from . import editorial, evidence, facts, stories, texts
 
-MODULES = (stories, texts, facts, editorial)
+MODULES = (stories, texts, facts, editorial, evidence)
 
 
 def queries() -> dict:

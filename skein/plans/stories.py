@@ -242,8 +242,8 @@ def failed_or_theta_match(spark, sf):
         F.array(F.lit("a"), F.lit("b"), (F.col("o_custkey") % 50).cast("string"), (F.col("o_orderkey") % 40).cast("string")).alias("entities"),
         F.col("o_orderpriority").alias("story_type"),
     )
-    failed = table(spark, sf, "customer").where("c_custkey % 97 = 0").select(
-        F.col("c_custkey").alias("failed_id"), F.col("c_custkey").cast("string").alias("key"), F.array(F.lit("1995-01-0").cast("string")).alias("urls"),
+    failed = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("failed_id"), F.col("c_custkey").cast("string").alias("key"), F.array(F.date_add(F.lit("1995-01-01").cast("date"), F.pmod("c_custkey", F.lit(900)).cast("int")).cast("string")).alias("urls"),
         F.array(F.lit("a"), F.lit("b"), (F.col("c_custkey") % 50).cast("string"), (F.col("c_custkey") % 40).cast("string")).alias("entities"),
         F.lit("1-URGENT").alias("story_type"),
     )
@@ -335,9 +335,10 @@ SQL = {
     "covered_anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "cooldown_anti_join": """WITH s AS (SELECT user_id, event_type, max(ts) AS last_seen FROM events WHERE event_id % 10 = 0 GROUP BY ALL)
         SELECT event_id FROM events e WHERE event_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.event_type = e.event_type AND TIMESTAMP '2024-01-31 00:00:00' - s.last_seen < INTERVAL 168 HOUR)""",
-    "failed_or_theta_match": """WITH o AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderpriority AS t, list_distinct(['a', 'b', CAST(o_custkey % 50 AS VARCHAR), CAST(o_orderkey % 40 AS VARCHAR)]) AS e FROM orders),
-        f AS (SELECT c_custkey AS fid, list_distinct(['a', 'b', CAST(c_custkey % 50 AS VARCHAR), CAST(c_custkey % 40 AS VARCHAR)]) AS e FROM customer WHERE c_custkey % 97 = 0)
-        SELECT o.id, f.fid AS failed_id FROM o JOIN f ON o.k = f.fid OR (o.t = '1-URGENT' AND len(list_intersect(o.e, f.e)) >= 3 AND len(list_intersect(o.e, f.e)) / len(list_distinct(list_concat(o.e, f.e))) >= 0.8)""",
+    "failed_or_theta_match": """WITH o AS (SELECT o_orderkey AS id, o_custkey AS k, CAST(o_orderdate AS DATE) AS u, o_orderpriority AS t, list_distinct(['a', 'b', CAST(o_custkey % 50 AS VARCHAR), CAST(o_orderkey % 40 AS VARCHAR)]) AS e FROM orders),
+        f AS (SELECT c_custkey AS fid, DATE '1995-01-01' + CAST(c_custkey % 900 AS INTEGER) AS u, list_distinct(['a', 'b', CAST(c_custkey % 50 AS VARCHAR), CAST(c_custkey % 40 AS VARCHAR)]) AS e FROM customer)
+        SELECT o.id, f.fid AS failed_id FROM o JOIN f ON o.k = f.fid UNION SELECT o.id, f.fid FROM o JOIN f ON o.u = f.u
+        UNION SELECT o.id, f.fid FROM o JOIN f ON o.t = '1-URGENT' AND len(list_intersect(o.e, f.e)) >= 3 AND len(list_intersect(o.e, f.e)) / len(list_distinct(list_concat(o.e, f.e))) >= 0.8""",
     "alias_join": """SELECT n_nationkey, CASE lower(n_name) WHEN 'germany' THEN 'DE' WHEN 'france' THEN 'FR' WHEN 'united states' THEN 'US' WHEN 'united kingdom' THEN 'UK' ELSE n_name END AS canonical FROM nation""",
     "entity_dictionary_merge": "SELECT lower(n_name) AS canonical, CAST(CASE WHEN n_nationkey < 15 THEN 1 ELSE 2 END AS INTEGER) AS n FROM nation",
     "label_boost_join": """WITH b AS (SELECT source, sum(quality) - 5 AS b FROM documents JOIN labels USING (doc_id) GROUP BY source)

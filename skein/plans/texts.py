@@ -39,7 +39,7 @@ def content_words(spark, sf):
 
 
 def title_normalize(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     title = F.split("text", "\n")[0]
     return docs.select(
         "doc_id", X.normalize_title(title).alias("norm"), F.array_join(F.array_sort(X.title_tokens(title)), " ").alias("tokens"),
@@ -162,8 +162,9 @@ def html_page_checks(spark, sf):
 
 
 def heading_steps(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all(F.lower("html"), F.lit(r"<h([1-6])[\s>]"), 1)).alias("pos", "h"))
-    return T.heading_steps(pages.select("page_id", "pos", F.col("h").cast("int").alias("level")), "page_id")
+    """Events of a user as the headings of an article, their value as the level."""
+    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("pos"), (F.floor("value").cast("int") % 4 + 1).alias("level"))
+    return T.heading_steps(rows, "user_id")
 
 
 def latest_listing(spark, sf):
@@ -253,7 +254,7 @@ _A = f"a AS (SELECT doc_id, source, text, {_T} AS title, substr(text, 1, {{n}})
 SQL = {
     "word_count": f"SELECT doc_id, len({_DW}) AS n_words, CASE WHEN {_MD} = '' THEN 0 ELSE len(string_split({_MD}, ' ')) END AS n_markdown FROM documents",
     "content_words": f"SELECT doc_id, array_to_string(list_sort({_CW.format(_DW)}), ' ') AS content FROM documents",
-    "title_normalize": rf"""WITH t AS (SELECT doc_id, text, {_T} AS title, {_NT} AS norm FROM documents WHERE lang = 'en'),
+    "title_normalize": rf"""WITH t AS (SELECT doc_id, text, {_T} AS title, {_NT} AS norm FROM documents),
         f AS (SELECT doc_id, string_split_regex(trim(title), '\s+') AS w FROM t),
         g AS (SELECT doc_id, w, (SELECT coalesce(max(k), 0) FROM (SELECT unnest(range(1, len(w) + 1)) AS k) WHERE length(array_to_string(list_slice(w, 1, k), ' ')) <= 40) AS k FROM f)
         SELECT t.doc_id, norm, array_to_string(list_sort(list_filter(list_distinct(string_split(norm, ' ')), lambda x: length(x) >= 3 AND x NOT IN ('the','a','an','new','first','why','how','what','when','who','this','that','these','those','is','are','and','but','for'))), ' ') AS tokens,
@@ -306,8 +307,8 @@ SQL = {
     "internal_links": """SELECT doc_id, 'links' AS "check", 'no such page: s' || (doc_id % 30) AS failure FROM documents WHERE doc_id % 30 >= 20""",
     "html_page_checks": r"""SELECT page_id, CAST(len(regexp_extract_all(lower(html), '<h1[\s>]')) AS INTEGER) AS n_h1, CAST(len(regexp_extract_all(lower(html), '<link[^>]+rel=["'']?canonical')) AS INTEGER) AS n_canonical,
         len(list_filter(regexp_extract_all(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1), lambda x: NOT json_valid(x))) > 0 AS bad_json_ld FROM pages""",
-    "heading_steps": r"""WITH h AS (SELECT page_id, unnest(range(len(x))) AS pos, CAST(unnest(x) AS INTEGER) AS level FROM (SELECT page_id, regexp_extract_all(lower(html), '<h([1-6])[\s>]', 1) AS x FROM pages)),
-        l AS (SELECT *, lag(level, 1, 1) OVER (PARTITION BY page_id ORDER BY pos) AS b FROM h) SELECT page_id, CAST(min(pos) AS INTEGER) AS pos FROM l WHERE level > b + 1 GROUP BY page_id""",
+    "heading_steps": """WITH h AS (SELECT user_id, event_id AS pos, CAST(floor(value) AS INTEGER) % 4 + 1 AS level FROM events),
+        l AS (SELECT *, lag(level, 1, 1) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM h) SELECT user_id, min(pos) AS pos FROM l WHERE level > b + 1 GROUP BY user_id""",
     "latest_listing": "SELECT o_orderkey, o_orderdate, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 13",
     "topic_counts_top12": "WITH t AS (SELECT source AS topic FROM documents UNION ALL SELECT lang FROM documents) SELECT topic, count(*) AS n FROM t GROUP BY topic ORDER BY n DESC, topic LIMIT 12",
     "topic_hub": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS k FROM documents)

@@ -34,12 +34,17 @@ def test_greedy_stories_join_seeds_not_members(spark):
 def test_greedy_stories_by_walking(spark):
     import random
 
-    from skein.functions.udfs import same_story
+    from skein.functions import titles as H
 
     dice = random.Random(4)
     first, second = ["Harbor of Glass", "Winter Crown", "Harbor", "Crown of Ice"], ["sold 3 million copies", "review", "delayed to May", "opens in May", "sales pass 3 million"]
     titles = [f"{dice.choice(['New', 'The'])} {dice.choice(first)} {dice.choice(second)}" for _ in range(60)]
     rows = [(i, t, NOW - dt.timedelta(hours=dice.randrange(20))) for i, t in enumerate(titles)]
+    texts = sorted(set(titles))
+    known = H.features(spark.createDataFrame([(t,) for t in texts], "t string"), "t").cache()
+    a, b = (known.select(*[F.col(c).alias(f"{p}{c}") for c in ["t", *H.FEATURES]]) for p in ("a_", "b_"))
+    same = {(r["a_t"], r["b_t"]) for r in H.same_story(a.join(b), "a_", "b_").select("a_t", "b_t").collect()}
+    same_story = lambda x, y: (x, y) in same
     seeds, want = [], {}
     for i, t, _ in sorted(rows, key=lambda r: (-r[2].timestamp(), r[0])):
         want[i] = next((s for s, u in seeds if same_story(t, u)), i)
