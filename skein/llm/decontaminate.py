@@ -16,11 +16,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hold, small_batches
+from .tokens import LETTERS, Tokens
 
 #: Words of a span that counts.
 SPAN = 10
@@ -31,20 +31,14 @@ FILTER_BYTES = 8 << 20
 FILTER_BITS = 32
 #: Texts with a hit up to which their keys go to every task, and bytes of what is found in them.
 BROADCAST_KEYS, BROADCAST_BYTES = 1 << 20, 16 << 20
-#: Words that a worker keeps hashes of.
-_MOST_WORDS = 1 << 19
-
-#: A-Z to a-z; every other ASCII byte but digits and a-z to a space.
-_TABLE = bytes(
-    (c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256)
-)
-#: Words in the same sense, for the JVM, A-Z included.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    tokens = Tokens(texts, LETTERS)
+    return np.split(tokens.hashes().view(np.uint64), np.cumsum(tokens.n)[:-1]) if len(texts) else []
 
 
 def gram_hashes(ids: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndarray:
@@ -77,15 +71,7 @@ class Spans:
     """The spans of texts and their fingerprints."""
 
     def __init__(self, span: int = SPAN, k: int = K):
-        self.span, self.k, self.known = span, k, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > _MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.span, self.k = span, k
 
     def of(self, hashes: np.ndarray, m: int, passes=None):
         """(start, fingerprint, two hashes) of each span of m words whose fingerprint passes.
@@ -103,7 +89,7 @@ class Spans:
             at = winnow(grams, m - self.k + 1)
             start = np.arange(len(at))
             if passes is not None:
-                kept = np.unique(at)
+                kept = at[np.flatnonzero(np.r_[True, at[1:] != at[:-1]])]  # places never fall from window to window
                 kept = kept[passes(grams[kept])]
                 start = np.flatnonzero(np.isin(at, kept)) if len(kept) else kept
             print_ = grams[at[start]]
@@ -131,10 +117,12 @@ class Filter:
         return [F.shiftrightunsigned(h, n).bitwiseAND(F.lit(bits - 1).cast("bigint")) for n in (0, 20, 38)]
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
+        left = np.arange(len(h))
         for n in (0, 20, 38):
-            place = (h >> np.uint64(n)) & self.mask
-            out &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            place = (h[left] >> np.uint64(n)) & self.mask
+            left = left[(self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+        out = np.zeros(len(h), bool)
+        out[left] = True
         return out
 
 
@@ -163,12 +151,11 @@ def _item_spans(span: int, k: int):
     def run(batches):
         spans = Spans(span, k)
         for b in batches:
-            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text)
+            for item, words in zip(b.column(0).to_pylist(), words_of(b.column(1)), strict=True):
                 m = min(span, len(words))
                 if not m:
                     continue
-                _, *found = spans.of(spans.hashes(words), m)
+                _, *found = spans.of(words, m)
                 n = len(found[0])
                 yield pa.record_batch(
                     [
@@ -188,14 +175,12 @@ _finders: dict = {}
 _SPAN = pa.struct([("m", pa.int32()), ("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.list_(pa.int32()))])
 
 
-def candidates(spans: Spans, passes, lengths: list[int], text: str | None) -> list[dict]:
+def candidates(spans: Spans, passes, lengths: list[int], words: np.ndarray) -> list[dict]:
     """The distinct spans of a text whose fingerprints pass, each with its places."""
-    words = words_of(text)
     out: dict = {}
-    if words:
-        hashes = spans.hashes(words)
-        for m in lengths:
-            start, *found = spans.of(hashes, m, passes)
+    for m in lengths:
+        start, *found = spans.of(words, m, passes)
+        if len(start):
             rows = zip(*(x.view(np.int64).tolist() for x in found), strict=True)
             for at, key in zip(start.tolist(), rows, strict=True):
                 out.setdefault((m, *key), []).append(at)
@@ -205,13 +190,15 @@ def candidates(spans: Spans, passes, lengths: list[int], text: str | None) -> li
 def _finder(sc, passes: Filter, lengths: list[int], span: int, k: int):
     held, token = sc.broadcast(passes.words), uuid.uuid4().hex
 
-    @F.arrow_udf("array<struct<m:int,h:bigint,s1:bigint,s2:bigint,at:array<int>>>")
+    @F.arrow_udf("struct<n_words:bigint,spans:array<struct<m:int,h:bigint,s1:bigint,s2:bigint,at:array<int>>>>")
     def find(texts: pa.Array) -> pa.Array:
         if token not in _finders:
             _finders.clear()
             _finders[token] = Spans(span, k), Filter(held.value)
         spans, passes = _finders[token]
-        return pa.array([candidates(spans, passes, lengths, t) for t in texts.to_pylist()], pa.list_(_SPAN))
+        words = words_of(texts)
+        found = pa.array([candidates(spans, passes, lengths, w) for w in words], pa.list_(_SPAN))
+        return pa.StructArray.from_arrays([pa.array([len(w) for w in words], pa.int64()), found], ["n_words", "spans"])
 
     return find
 
@@ -221,60 +208,59 @@ def _keys(text_col: str) -> list[Column]:
     return [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("second"), text_col).alias("t2")]
 
 
-def leaks(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    span: int = SPAN,
-    k: int = K,
-    filter_bytes: int = FILTER_BYTES,
-) -> DataFrame:
-    """(t1, t2, n_hit, hits, items) of each distinct text of docs with a hit; see contamination()."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).where(F.col(item_text_col).isNotNull())
-    spans = hold(items.mapInArrow(_item_spans(span, k), _SPANS))
-    # A row a distinct span.  Spans of the same items share a set, so that what
-    # many items have in common is one row for a document, whatever its length.
-    whole = spans.groupBy("m", "s1", "s2").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    whole = hold(whole.select("m", "s1", "s2", F.xxhash64("items").alias("set1"), F.xxhash64(F.lit("set"), "items").alias("set2"), "items"))
-    sets = whole.groupBy("set1", "set2").agg(F.first("items").alias("items"))
-    prints = hold(spans.select("h").distinct())
-    lengths = sorted(r["m"] for r in spans.select("m").distinct().collect())
-    find = _finder(spark.sparkContext, fit_filter(prints, filter_bytes), lengths, span, k)
-    found = docs.select(*_keys(text_col), find(F.col(text_col)).alias("spans")).where(F.size("spans") > 0)
-    found = hold(found.groupBy("t1", "t2").agg(F.first("spans").alias("spans")))
-    found = found.select("t1", "t2", F.explode("spans").alias("x")).select("t1", "t2", "x.*")
-    hit = found.join(prints, "h", "left_semi")
-    hit = hold(hit.join(whole.select("m", "s1", "s2", "set1", "set2"), ["m", "s1", "s2"]).select("t1", "t2", "m", "at", "set1", "set2"))
-    # Runs of spans that touch, by the furthest end before each.
-    order = Window.partitionBy("t1", "t2").orderBy("start", "end")
-    ranges = (
-        hit.select("t1", "t2", "m", F.explode(F.col("at").cast("array<bigint>")).alias("start"))
-        .withColumn("end", F.col("start") + F.col("m"))
-        .withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("run", F.count_if(F.coalesce(F.col("start") > F.col("before"), F.lit(True))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("t1", "t2", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy("t1", "t2")
-        .agg(
-            F.sum(F.col("end") - F.col("start")).alias("n_hit"),
-            F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"),
+class Benchmark:
+    """The spans of a benchmark's items, as tables that are never collected."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, filter_bytes: int = FILTER_BYTES):
+        spark = benchmark.sparkSession
+        small_batches(spark)
+        items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).where(F.col(item_text_col).isNotNull())
+        spans = hold(items.mapInArrow(_item_spans(span, k), _SPANS))
+        # A row a distinct span.  Spans of the same items share a set, so that what
+        # many items have in common is one row for a document, whatever its length.
+        whole = spans.groupBy("m", "s1", "s2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        self.spans = hold(whole.select("m", "s1", "s2", F.xxhash64("items").alias("set1"), F.xxhash64(F.lit("set"), "items").alias("set2"), "items"))
+        self.prints = hold(spans.select("h").distinct())
+        lengths = sorted(r["m"] for r in spans.select("m").distinct().collect())
+        #: Of a text: struct(n_words, spans that may be the benchmark's).
+        self.find = _finder(spark.sparkContext, fit_filter(self.prints, filter_bytes), lengths, span, k)
+
+    def leaks(self, found: DataFrame) -> DataFrame:
+        """(t1, t2, n_hit, hits, items) of each distinct text with a hit; found: (t1, t2, spans) of texts."""
+        found = found.where(F.size("spans") > 0).groupBy("t1", "t2").agg(F.first("spans").alias("spans"))
+        found = hold(found).select("t1", "t2", F.explode("spans").alias("x")).select("t1", "t2", "x.*")
+        hit = found.join(self.prints, "h", "left_semi")
+        hit = hit.join(self.spans.select("m", "s1", "s2", "set1", "set2"), ["m", "s1", "s2"])
+        hit = hold(hit.select("t1", "t2", "m", "at", "set1", "set2"))
+        # Runs of spans that touch, by the furthest end before each.
+        order = Window.partitionBy("t1", "t2").orderBy("start", "end")
+        ranges = (
+            hit.select("t1", "t2", "m", F.explode(F.col("at").cast("array<bigint>")).alias("start"))
+            .withColumn("end", F.col("start") + F.col("m"))
+            .withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+            .withColumn("run", F.count_if(F.coalesce(F.col("start") > F.col("before"), F.lit(True))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("t1", "t2", "run")
+            .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+            .groupBy("t1", "t2")
+            .agg(
+                F.sum(F.col("end") - F.col("start")).alias("n_hit"),
+                F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"),
+            )
         )
-    )
-    named = (
-        hit.select("t1", "t2", "set1", "set2")
-        .distinct()
-        .join(sets, ["set1", "set2"])
-        .groupBy("t1", "t2")
-        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    )
-    return hold(ranges.join(named, ["t1", "t2"]))
+        sets = self.spans.groupBy("set1", "set2").agg(F.first("items").alias("items"))
+        named = (
+            hit.select("t1", "t2", "set1", "set2")
+            .distinct()
+            .join(sets, ["set1", "set2"])
+            .groupBy("t1", "t2")
+            .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        )
+        return hold(ranges.join(named, ["t1", "t2"]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "leak", **settings) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", into: str = "leak", keep: list[str] | None = None, **settings
+) -> DataFrame:
     """docs with a column `into`: struct(n_words, n_hit, hits, items); one of that name is replaced.
 
     hits: ranges of words (start, end) that lie in an occurrence of a window
@@ -288,27 +274,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     The benchmark is never collected: its fingerprints are joined with those of
     the documents that a filter of filter_bytes at most lets through.  Of what
     is found, up to BROADCAST_BYTES go to every task; more is joined by shuffling.
+    Texts are read once and held on disk with the columns to keep, all by default.
     """
+    index = Benchmark(benchmark, **settings)
     tag = uuid.uuid4().hex  # no column of docs has such a name
-    n, t1, t2, what = (f"{x}_{tag}" for x in ("n", "t1", "t2", "found"))
-    found = leaks(docs, benchmark, text_col, **settings).select(
-        F.col("t1").alias(t1), F.col("t2").alias(t2), F.struct("n_hit", "hits", "items").alias(what)
-    )
+    t1, t2, read, what = (f"{x}_{tag}" for x in ("t1", "t2", "read", "found"))
+    one, two = _keys(text_col)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != into]
+    rows = hold(docs.select(*kept, one.alias(t1), two.alias(t2), index.find(F.col(text_col)).alias(read)))
+    found = index.leaks(rows.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), F.col(f"{read}.spans").alias("spans")))
+    found = found.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.struct("n_hit", "hits", "items").alias(what))
     size = 64 + 16 * F.size(f"{what}.hits") + F.aggregate(f"{what}.items", F.lit(0), lambda n, x: n + F.octet_length(x) + 8)
     size = found.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
-    one, two = _keys(text_col)
-    kept = [c for c in docs.columns if c != into]
-    count = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(_WORD)).cast("bigint")
-    rows = docs.select(*kept, count.alias(n), one.alias(t1), two.alias(t2))
     got = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, [t1, t2], "left")
     none = {"n_hit": F.lit(0).cast("bigint"), "hits": F.array().cast("array<struct<start:bigint,end:bigint>>"), "items": F.array().cast("array<string>")}
     parts = [F.coalesce(f"{what}.{name}", empty).alias(name) for name, empty in none.items()]
-    return got.select(*kept, F.struct(F.col(n).alias("n_words"), *parts).alias(into))
+    return got.select(*kept, F.struct(F.col(f"{read}.n_words").alias("n_words"), *parts).alias(into))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs without a hit word, all columns."""
-    found = leaks(docs, benchmark, text_col, **settings).select("t1", "t2")
+    index = Benchmark(benchmark, **settings)
+    found = docs.select(*_keys(text_col), index.find(F.col(text_col)).alias("read")).select("t1", "t2", "read.spans")
+    found = index.leaks(found).select("t1", "t2")
     if found.count() <= BROADCAST_KEYS:
         found = F.broadcast(found)
     one, two = _keys(text_col)
@@ -317,7 +305,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     return found.select(
         "doc_id",
         "leak.n_words",

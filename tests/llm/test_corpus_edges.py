@@ -4,6 +4,7 @@ import hashlib
 import io
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -179,13 +180,13 @@ def test_winnowing_by_brute_force(doc, items):
     spans = decontaminate.Spans()
     held = {}
     for i, item in enumerate(items):
-        words = decontaminate.words_of(" ".join(item))
-        if words:
-            _, *found = spans.of(spans.hashes(words), m := min(10, len(words)))
+        words = decontaminate.words_of(pa.array([" ".join(item)]))[0]
+        if len(words):
+            _, *found = spans.of(words, m := min(10, len(words)))
             for key in zip(*(x.view(np.int64).tolist() for x in found), strict=True):
                 held.setdefault((m, *key), set()).add(str(i))
     prints = np.array([k[1] for k in held], np.int64).view(np.uint64)
-    got = decontaminate.candidates(spans, lambda h: np.isin(h, prints), sorted({k[0] for k in held}), "; ".join(doc))
+    got = decontaminate.candidates(spans, lambda h: np.isin(h, prints), sorted({k[0] for k in held}), decontaminate.words_of(pa.array(["; ".join(doc)]))[0])
     got = [(held.get((x["m"], x["h"], x["s1"], x["s2"]), set()), x["m"], x["at"]) for x in got]
     hit = {p + j for found, m, at in got if found for p in at for j in range(m)}
     want, named = set(), set()
