@@ -226,3 +226,89 @@ def figures(text: Column) -> Column:
     low = F.lower(text)
     written = F.transform(F.regexp_extract_all(low, F.lit(_FIGURE), 0), figure)
     return F.array_sort(F.array_distinct(F.concat(written, F.filter(F.regexp_extract_all(low, F.lit("[a-z]+"), 0), lambda w: w.isin(MONTH_WORDS)))))
+
+
+# ---- phrases of a story -----------------------------------------------------
+
+# Words within a phrase, words between phrases, and names of roles, which end one.
+GLUE = ["of", "the", "a", "an", "vs", "de"]
+BREAKS = ["for", "in", "on", "with", "and"]
+ROLES = [
+    "ceo", "cto", "coo", "cfo", "cio", "cro", "president", "founder", "co-founder", "cofounder", "director", "producer", "executive",
+    "editor", "chairman", "chairwoman", "chair", "chief", "head", "boss", "lead", "manager", "spokesperson", "spokesman", "spokeswoman",
+    "representative", "analyst", "reporter", "journalist", "author", "writer", "general", "owner", "creator", "designer", "developer",
+    "vp", "svp", "evp",
+]
+UMBRELLA = ["xbox", "playstation", "nintendo", "pc", "nvidia", "amd", "intel", "microsoft", "sony", "steam", "google"]
+_PHRASE = r"N:\S+(?:(?: [LI]:\S+)* [ND]:\S+)*"
+
+
+def _low(word: Column) -> Column:
+    return F.lower(fold(word))
+
+
+def story_phrases(title: Column, generic: list[str], known: list[str] = (), stop: list[str] = (), verbs: list[str] = ()) -> Column:
+    """Full names in a headline, in order and as written.
+
+    Glue words and an inner colon stay within a name; commas, dashes, breaking
+    words, roles and `verbs` end it.  Generic words at its end become names of
+    their own.  A lone word that opens a sentence is no name unless it is known,
+    an acronym, or capitalised twice.
+    """
+
+    def mark(token: Column) -> Column:
+        low = _low(token)
+        bare = F.regexp_replace(token, "['’][sS]$", "")
+        return F.coalesce(
+            F.when(token == ":", "I::")
+            .when(token.isin(",", "-", "–", "—") | low.isin(BREAKS), "B:")
+            .when(low.isin(GLUE), F.concat(F.lit("L:"), low))
+            .when(low.isin([*GENERIC, *ROLES, *verbs]), "B:")
+            .when(token.rlike(r"^\p{Nd}+$"), F.concat(F.lit("D:"), token))
+            .when(token.rlike(r"\p{Lu}"), F.concat(F.lit("N:"), bare)),
+            F.lit("B:"),
+        )
+
+    tokens = F.regexp_extract_all(title, F.lit(_WORD + "|[:,–—-]"), 0)
+    runs = F.regexp_extract_all(F.array_join(F.transform(tokens, mark), " "), F.lit(_PHRASE), 0)
+    runs = F.transform(runs, lambda r: F.regexp_replace(F.regexp_replace(r, " I::", ":"), r"\b[NDL]:", ""))
+    ends = lambda w: _low(w).isin([*generic, *stop])
+
+    def peeled(run: Column) -> Column:
+        words = F.split(run, " ")
+        kept = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(~ends(w), i + 1))), F.lit(0))
+        head = F.when(kept > 0, F.array(F.array_join(F.slice(words, 1, kept), " "))).otherwise(F.array().cast("array<string>"))
+        return F.concat(head, F.slice(words, kept + 1, F.size(words)))
+
+    openers = F.transform(F.split(title, r"[.!?]+|[\"“”]"), lambda s: _low(F.regexp_extract(s, _WORD, 0)))
+    capital = F.transform(F.filter(F.regexp_extract_all(title, F.lit(_WORD), 0), lambda w: w.rlike(r"^\p{Lu}")), _low)
+
+    def names_it(phrase: Column) -> Column:
+        low = _low(phrase)
+        alone = ~F.contains(phrase, F.lit(" ")) & F.array_contains(openers, low)
+        saved = low.isin(list(known)) | phrase.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$") | (F.size(F.filter(capital, lambda w: w == low)) > 1)
+        return phrase.rlike(r"\p{L}") & ~low.isin(list(stop)) & (~alone | saved)
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(runs, peeled)), names_it))
+
+
+def sub_entities(name: Column, known: list[str] = ()) -> Column:
+    """A name in lower case, its parts between breaks, and known names within; known names stay whole."""
+    display = F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    base = form(name)
+    parts = F.split(F.regexp_replace(name, rf"(?i)[:,–—]|(?<=\s)-(?=\s)|\b(?:{'|'.join(BREAKS)})\b", "\n"), "\n")
+    parts = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(F.lower(fold(p)), r"[^a-z0-9]+", " "))), lambda p: (p != base) & p.rlike("[a-z]"))
+    within = F.filter(F.array(*[F.lit(n) for n in sorted(known, key=lambda n: (-len(n), n))]).cast("array<string>"), lambda n: X.contains_phrase(base, n))
+    return F.when(base.isin(list(known)), F.array(display)).otherwise(F.array_distinct(F.concat(F.array(display), parts, within)))
+
+
+def primary_entities(title: Column, generic: list[str], known: list[str] = (), **lists) -> Column:
+    """What a story is about: all names and their parts but generic ones."""
+    found = F.flatten(F.transform(story_phrases(title, generic, known, **lists), lambda p: sub_entities(p, known)))
+    return F.filter(F.array_distinct(found), lambda e: ~e.isin(list(generic)))
+
+
+def lead_entity(entities: Column, umbrella: list[str] = UMBRELLA) -> Column:
+    """The first entity that is no umbrella name, else the first; empty without any."""
+    own = F.filter(entities, lambda e: ~e.isin(umbrella))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(entities, F.lit(0)), F.lit(""))

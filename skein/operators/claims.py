@@ -414,3 +414,30 @@ def preceding_name(text: Column, before: str, names: list[str]) -> Column:
     forms = "|".join(r"\Q" + n + r"\E" for n in sorted(names, key=lambda n: (-len(n), n)))
     head = F.when(F.contains(text, F.lit(before)), F.substring_index(text, before, 1))
     return F.try_element_at(F.regexp_extract_all(head, F.lit(rf"(?U)(?<![\w-])(?:{forms})(?![\w-])"), 0), F.lit(-1))
+
+
+# Verbs by which a headline lets its own organisation announce.
+ANNOUNCING = ["announces", "announced", "reveals", "revealed", "confirms", "confirmed", "launches", "launched", "unveils", "unveiled"]
+
+
+def headline_claims(sources: DataFrame, title: str, owner: str, name: str, link: str) -> DataFrame:
+    """The one claim that a source without prose states in its title; all columns of sources stay.
+
+    It is confirmed if the title lets the source's own organisation announce, at
+    most two words apart, else reported; origin and speaker are the owner.
+    """
+    who = F.coalesce(F.nullif(F.trim(owner), F.lit("")), F.trim(name), F.lit(""))
+    said = F.concat(F.lit(r"(?:^|\s)\Q"), X.normalize_title(who), F.lit(r"\E(?:\s\w+){0,2}\s(?:" + "|".join(ANNOUNCING) + r")\b"))
+    announces = (who != "") & F.regexp_like(X.normalize_title(F.col(title)), said)
+    return sources.withColumns(
+        {
+            "claim": F.trim(title),
+            "value": F.trim(title),
+            "source_url": F.col(link),
+            "confidence": F.lit(0.5),
+            "origin": F.lower(who),
+            "kind": F.when(announces, "confirmed").otherwise("reported"),
+            "speaker": who,
+            "reason": F.when(~announces, "headline-only source: no body text to verify"),
+        }
+    )

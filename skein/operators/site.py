@@ -98,3 +98,10 @@ def rss(articles: DataFrame, key: str, title, link, time: str, site: str, n: int
     every = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "xml"))), lambda x: x["xml"]), "").alias("all"))
     channel = every.select(F.lit(0).alias("place"), F.concat(F.lit(f'<rss version="2.0"><channel><title>{site}</title>'), "all", F.lit("</channel></rss>")).alias("xml"))
     return items.unionByName(channel)
+
+
+def topic_links(entities):
+    """struct(name, slug) of an article's entities that have a slug, in order."""
+    from skein.functions.text import slugify
+
+    return F.filter(F.transform(entities, lambda e: F.struct(e.alias("name"), slugify(e).alias("slug"))), lambda x: x["slug"] != "")

@@ -150,3 +150,14 @@ def one_per_owner_then_fill(rows: DataFrame, group: str, owner: str, order: list
     ranked = rows.withColumn("__own", F.row_number().over(own))
     fill = Window.partitionBy(group).orderBy((F.col("__own") > 1).cast("int"), *order)
     return ranked.withColumn("pick", F.row_number().over(fill)).where(F.col("pick") <= k).drop("__own")
+
+
+def url_items(urls: DataFrame, url: str, topic: str, now: Column) -> DataFrame:
+    """Pool items of addresses that someone gave by hand: the topic is the title, the host the source."""
+    from skein.functions.urls import host_of
+
+    host = host_of(F.col(url))
+    return urls.select(
+        F.col(topic).alias("title"), F.col(url).alias("link"), F.lit("").alias("content"), now.alias("published"), F.lit(0.0).alias("age_hours"), host.alias("source_name"),
+        F.lit(3).alias("tier"), host.alias("owner"), F.lit(None).cast("string").alias("region"), F.lit(True).alias("fetchable"),
+    )

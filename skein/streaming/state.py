@@ -85,6 +85,36 @@ def on_cooldown(failed: DataFrame, key: str, now: Column, hours: float = 24.0, a
     return failed.where((F.col("attempt_count") >= attempts) & (age < hours)).select(key)
 
 
+def conditional_headers(feeds: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """feeds with the etag and last_modified of their last full answer, null where there is none.
+
+    log: (key, status, etag, last_modified, fetched); only answers of 200 carry them.
+    """
+    last = log.where("status = 200").groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct("etag", "last_modified"), "fetched").alias("__h"))
+    return feeds.join(last, feeds[key] == last["__k"], "left").select(*[feeds[c] for c in feeds.columns], F.col("__h.etag").alias("etag"), F.col("__h.last_modified").alias("last_modified"))
+
+
+def run_ledger(calls: DataFrame, run: str) -> DataFrame:
+    """(run, calls, writer_families, verifier_family, fallbacks) of each run.
+
+    calls: (run, seq, role, family, error); the last verifier counts, writers are
+    listed in order, fallbacks are the errors in order.
+    """
+    listed = lambda value, when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("seq", value.alias("x"))))), lambda r: r["x"])
+    return calls.groupBy(run).agg(
+        F.count_if(F.col("error").isNull()).alias("calls"),
+        listed(F.col("family"), (F.col("role") == "writer") & F.col("error").isNull()).alias("writer_families"),
+        F.max_by("family", F.when((F.col("role") == "verifier") & F.col("error").isNull(), F.col("seq"))).alias("verifier_family"),
+        listed(F.col("error"), F.col("error").isNotNull()).alias("fallbacks"),
+    )
+
+
+def jitter(delay: Column, ratio: float, chance: Column) -> Column:
+    """A delay spread by up to that share to both sides; chance lies in [0, 1)."""
+    spread = F.greatest(F.lit(0.0), delay * (1 + ratio * (2 * chance - 1))) if ratio > 0 else delay
+    return F.round(spread, 3)
+
+
 # ---- streams ----------------------------------------------------------------
 
 

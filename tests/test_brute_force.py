@@ -125,11 +125,6 @@ def test_entity_scanner(rows, got):
     same(got("entity_scanner"), [(r["doc_id"], n) for r in rows("documents") if r["text"] for n in names(r["text"].split("\n")[0])])
 
 
-def test_story_types(rows, got):
-    want = Counter(story_type(r["text"].split("\n")[0]) for r in rows("documents") if r["text"] is not None)
-    same([x for x in got("story_types") if x[1]], [(n, t) for t, n in want.items()])
-
-
 def test_sequence_similarity(rows, got):
     turns = {(r["conv_id"], r["turn"]): r["text"] or "" for r in rows("conversations")}
     want = []

@@ -139,3 +139,28 @@ def test_ngrams_and_jaccard(spark):
     row = spark.createDataFrame([(["a", "b", "a", "b"], ["a"])], "x array<string>, y array<string>")
     got = row.select(text.ngrams(F.col("x"), 2), text.ngrams(F.col("y"), 2), text.jaccard(F.col("x"), F.col("y"))).first()
     assert got[0] == ["a b", "b a"] and got[1] == [] and got[2] == 0.5
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ("New Call of Glass: Modern Crown 4 is out", ["Call of Glass: Modern Crown 4"]),
+        ("at Acme CEO Roe Hart joins Bolt and Nut Works", ["Acme", "Roe Hart", "Bolt", "Nut Works"]),
+        ("see Crown 6 PC, a port", ["Crown 6", "PC"]),
+        ("Hundreds wait. They leave for Acme's Crown", ["Acme Crown"]),
+        ("DMZ opens", ["DMZ"]),
+        ("They and They", ["They"]),
+    ],
+)
+def test_story_phrases(apply, given, want):
+    assert apply(lambda t: titles.story_phrases(t, ["pc", "ai"]), given) == want
+
+
+def test_sub_and_lead_entities(apply):
+    assert apply(titles.sub_entities, "Call of Glass: Modern Crown 4") == ["call of glass: modern crown 4", "call of glass", "modern crown 4"]
+    assert apply(lambda t: titles.sub_entities(t, ["nut works"]), "Great Nut Works") == ["great nut works", "nut works"]
+    assert apply(lambda t: titles.sub_entities(t, ["salt and sand"]), "Salt and Sand") == ["salt and sand"]
+    found = lambda t: titles.primary_entities(t, ["pc"])
+    assert apply(found, "see Xbox, Winter Crown: Ice PC") == ["xbox", "winter crown: ice", "winter crown", "ice"]
+    assert apply(lambda t: titles.lead_entity(found(t)), "see Xbox, Winter Crown: Ice PC") == "winter crown: ice"
+    assert apply(lambda t: titles.lead_entity(found(t)), "on Xbox") == "xbox" and apply(lambda t: titles.lead_entity(found(t)), "nothing") == ""
