@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import tempfile
 import uuid
@@ -66,24 +68,51 @@ def hold(df: DataFrame) -> DataFrame:
     return df
 
 
+def settle_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """settle() in as few files as the rows need, and how many rows there are.
+
+    df is computed by all its tasks; only writing is left to a few.
+    """
+    held = hold(df)
+    n = held.count()
+    kept = settle(held, name, max(FILES, n // ROWS_A_FILE))
+    let_go(held)
+    return kept, n
+
+
 def let_go(df: DataFrame) -> None:
     """Drop what hold() keeps of df; shuffles behind it can then be cleaned up."""
     df.unpersist()
     _held[:] = [d for d in _held if d is not df]
 
 
-def release(spark: SparkSession) -> None:
-    """Drop what hold() keeps and the tables that settle() wrote; readers must be done."""
-    while _held:
-        _held.pop().unpersist()
+def kept_now() -> tuple[int, int]:
+    """How much hold() and settle() keep, for release()."""
+    return len(_held), len(_written)
+
+
+def release(spark: SparkSession, since: tuple[int, int] = (0, 0), but: DataFrame | None = None) -> None:
+    """Drop what hold() keeps and the tables that settle() wrote since then, but that of `but`.
+
+    Readers must be done.
+    """
+    for df in _held[since[0] :]:
+        df.unpersist()
+    del _held[since[0] :]
+    stays = but.inputFiles() if but is not None else []
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for where in _written[since[1] :]:
+        if not any(where.rpartition("/")[2] in f for f in stays):
+            path = jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _written.remove(where)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches to so many rows, as whole texts can be long."""
+    """Hold Arrow batches to so many rows, as whole texts can be long.
+
+    Plans read this setting when they run, so it stays for the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -142,12 +171,39 @@ def bounded_sample(
     return sorted(map(tuple, sampled(rows, docs, id_col, text_col, n, max_bytes).toLocalIterator()))
 
 
+_caches: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A cache that an operator keeps in worker processes, until make_room()."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def make_room() -> None:
+    """Drop what other operators keep in this worker process, and return the memory."""
+    for cache in _caches:
+        cache.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a worker process has freed, where the C library can; workers live on."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fit_in_a_task(rows: DataFrame, fit) -> bytes:
     """fit(list of rows as tuples) as pickled bytes; it runs in one task, so rows must be bounded."""
 
     def run(batches):
         held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        yield pa.record_batch([pa.array([pickle.dumps(fit(held), pickle.HIGHEST_PROTOCOL)], pa.binary())], ["model"])
+        model = pickle.dumps(fit(held), pickle.HIGHEST_PROTOCOL)
+        del held
+        give_back()
+        yield pa.record_batch([pa.array([model], pa.binary())], ["model"])
 
     got = rows.repartition(1).mapInArrow(run, "model binary").first()
     return bytes(got[0]) if got else pickle.dumps(fit([]))

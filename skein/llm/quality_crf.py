@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, small_batches
+from .common import bounded_sample, fold, small_batches, worker_cache
 from .numeric import fit_logistic, logistic
 
 #: Bounds of the labelled sample, for each label: documents, bytes of text.
@@ -197,7 +197,9 @@ def fit_quality(
 
     Documents are taken in the order of a hash of their ids.  Labels but 0 and
     1, null ids and labels of absent documents are left out; a document with
-    both labels is bad.  Without any label every score is 0.5.
+    both labels is bad.  Without any label, or any document, every score is 0.5.
+    Ids are bigint; other columns are not looked at.  A text is scored whole, in
+    memory in proportion to its lines.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
@@ -208,7 +210,7 @@ def fit_quality(
     return train(rows)
 
 
-_fields: dict = {}
+_fields = worker_cache()
 
 
 def quality_score(spark, field: LineCRF, text: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_in_a_task, fold, sampled, small_batches
+from .common import fit_in_a_task, fold, sampled, small_batches, worker_cache
 from .numeric import fit_logistic, logistic
 
 #: Letters of a gram at most, the predicted one included.
@@ -41,7 +41,7 @@ SAMPLE_BYTES = 2 << 20
 THRESHOLD = 0.3
 FOLDS = 4
 #: Distinct words that a worker keeps scores of.
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are spelled at once.
@@ -91,6 +91,7 @@ class LetterModel:
         #: For each order: gram keys, what their shared counts and those of each class give;
         #: and by gram of the order before: what shared counts and each class leave to shorter ones.
         self.tables = []
+        self.lookups = None  # made where words are spelled, and not sent
         slot, held = np.zeros(len(codes), np.int64), 1
         grams = _grams(codes, word, order + 1)
         now, after = next(grams), next(grams, None)
@@ -142,6 +143,9 @@ class LetterModel:
             held = len(keys)
             now, after = after, next(grams, None)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lookups": None}
+
     def log_probs(self, words: list[str]) -> np.ndarray:
         """(len(words), 2): log P of each word, its end included."""
         word, logs = self.letter_log_probs(words)
@@ -154,33 +158,62 @@ class LetterModel:
         p = np.full(len(codes), 1 / self.letters)
         own = np.stack([p, p], axis=1)
         slot = np.zeros(len(codes), np.int64)
-        for (n, h, ok), (keys, kept, mine, rest, left) in zip(_grams(codes, word, self.order), self.tables, strict=True):
+        if self.lookups is None:
+            self.lookups = [Lookup(keys) for keys, *_ in self.tables]
+        for (n, h, ok), (keys, kept, mine, rest, left), find in zip(_grams(codes, word, self.order), self.tables, self.lookups, strict=True):
             i = np.flatnonzero(ok)
             if n > 1:
                 i = i[slot[i - 1] >= 0]
             context = slot[i - 1] if n > 1 else np.zeros(len(i), np.int64)
-            at, found = _find(keys, h[i])
-            p[i] *= rest[context]
-            if len(keys):
-                p[i] += np.where(found, kept[at], 0)
-            own[i] = left[context] * p[i][:, None]
+            at, found = find(h[i])
+            q = p[i] * rest[context]
             if len(keys):
-                own[i] += np.where(found[:, None], mine[at], 0)
+                q += np.where(found, kept[at], 0)
+            p[i] = q
             slot = np.full(len(codes), -1, np.int64)
             slot[i] = np.where(found, at, -1)
             if n == 1 and len(keys):
                 signs = np.flatnonzero(place == 0)
-                at, found = _find(keys, h[signs])
-                slot[signs] = np.where(found, at, -1)
+                sign, known = find(h[signs])
+                slot[signs] = np.where(known, sign, -1)
+            # A class speaks where the longest known context ends.
+            last = np.flatnonzero((place[i] < n) | (slot[i - 1] < 0)) if n < self.order else np.arange(len(i))
+            own[i[last]] = left[context[last]] * q[last][:, None]
+            if len(keys):
+                own[i[last]] += np.where(found[last, None], mine[at[last]], 0)
         use = place >= 1
         return word[use], np.log(own[use])
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    slot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return slot, keys[slot] == wanted
+class Lookup:
+    """Places of keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            slot = self._slot(keys[left], step)
+            free = np.flatnonzero(self.at[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.at[slot[put]] = keys[left[put]], left[put]
+            left, step = np.delete(left, put), step + 1
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        return ((keys * _MIX) >> self.shift).astype(np.int64) + step & self.mask
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each wanted key is, and whether it is there."""
+        out, left, step = np.full(len(wanted), -1, np.int64), np.arange(len(wanted)), 0
+        while len(left):
+            slot = self._slot(wanted[left], step)
+            at, same = self.at[slot], self.keys[slot] == wanted[left]
+            hit = same & (at >= 0)
+            out[left[hit]] = at[hit]
+            left, step = left[~same & (at >= 0)], step + 1
+        return np.maximum(out, 0), out >= 0
 
 
 def tokens(text: str | None) -> list[str]:
@@ -267,7 +300,9 @@ def fit_toxicity(
 
     Documents are taken in the order of a hash of their ids.  Labels but 0 and
     1, null ids and labels of absent documents are left out; a document with
-    both labels is toxic.  Without any label every score is 0.5.
+    both labels is toxic.  Without any label, or any document, every score is 0.5.
+    Ids are bigint; other columns are not looked at.  A text is scored whole, in
+    memory in proportion to its words.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
@@ -295,7 +330,7 @@ def toxicity_score(spark, model: bytes, text: Column) -> Column:
     return score(text)
 
 
-_scorers: dict = {}
+_scorers = worker_cache()
 
 
 def _scorer(token: str, held):
