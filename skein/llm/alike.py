@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILES, ROWS_A_FILE, hold, let_go, settle, small_batches
+from .common import FILES, ROWS_A_FILE, hold, let_go, make_room, settle, settle_counted, small_batches
 from .components import components
+from .tokens import Tokens
 
 SHINGLE = 5
 #: Of ordering shingles, which decides on cost only: one text of so many is
@@ -29,38 +29,33 @@ LOOK, COMMON, MOST_COMMON = 16, 3, 1 << 17
 SMALL = 24
 #: Comparisons of a text with the chosen one of a large element, per round; rounds at most.
 TRIES, ROUNDS = 4, 4
-#: Ids up to which they go to every task.
+#: Rows of ids or keys up to which they go to every task.
 BROADCAST_IDS = 1 << 20
-_MOST_WORDS = 1 << 19
 _BLOCK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = ["kind", "u", "v", "key", "n", "pos", "part"]
 _FORM = "kind bigint, u bigint, v bigint, key bigint, n bigint, pos bigint, part bigint"
 
 
-class Shingler:
-    """Sorted 64-bit hashes of the distinct shingles of texts; shorter texts are one shingle."""
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles; shorter texts are one shingle."""
+    tokens = Tokens(texts)
+    words, n = tokens.hashes().view(np.uint64), tokens.n
+    starts = np.cumsum(n) - n
+    whole = _shingles(words, SHINGLE)  # those that run from text to text are not looked at
+    out = []
+    for at, k in zip(starts.tolist(), n.tolist(), strict=True):
+        out.append(np.unique(whole[at : at + k - SHINGLE + 1] if k >= SHINGLE else _shingles(words[at : at + k], k)))
+    return out
 
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.words) > _MOST_WORDS:
-            self.words.clear()
-        known = self.words
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(SHINGLE, len(h))
-        n = len(h) - k + 1
-        out = np.full(n, k, np.uint64)
-        for i in range(k):
-            out = (out ^ h[i : i + n]) * _PRIME
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    n = len(words) - k + 1 if k else 0
+    out = np.full(max(n, 0), k, np.uint64)
+    for i in range(k if n > 0 else 0):
+        out = (out ^ words[i : i + n]) * _PRIME
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def least_common(n, share: float):
@@ -76,13 +71,11 @@ def _can_be(n, i, m, j, share: float):
 
 def _prefixes(common, share: float):
     def run(batches):
+        make_room()
         keys, counts = common.value
-        shingler = Shingler()
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             found, doc, n, pos = [], [], [], []
-            for i, t in zip(ids, texts, strict=True):
-                s = shingler(t)
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
                 if not len(s):
                     continue
                 if len(keys):
@@ -106,16 +99,14 @@ def _prefixes(common, share: float):
 
 
 def _all_shingles(batches):
-    shingler = Shingler()
     for b in batches:
-        found = [shingler(t) for t in b.column(0).to_pylist()]
+        found = shingle_sets(b.column(0))
         yield pa.record_batch([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
 
 
 def _sets(batches):
-    shingler = Shingler()
     for b in batches:
-        found = [shingler(t).tobytes() for t in b.column(1).to_pylist()]
+        found = [s.tobytes() for s in shingle_sets(b.column(1))]
         yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], ["doc", "set"])
 
 
@@ -167,6 +158,7 @@ def _meet(share: float, most: int):
             yield _batch(2, np.full(len(i), head[1]), doc[i])
 
     def run(batches):
+        make_room()
         held, head = None, None
         for b in batches:
             cols = [np.asarray(b.column(i)) for i in range(5)]
@@ -231,6 +223,11 @@ def _cross(share: float):
     return run
 
 
+def _few_rows(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows; each is a number or two."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _dealt(rows: DataFrame, salt: int) -> DataFrame:
     """Rows by key, those of a key in an order of chance."""
     rows = rows.select("key", "doc", "n", "pos", "part")
@@ -241,8 +238,7 @@ def alike_among(rows: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     """Those (u, v) of pairs whose shingle sets are alike; rows: (doc, text)."""
     pairs = hold(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
     ids = hold(pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = hold(rows.join(wanted, "doc", "left_semi").mapInArrow(_sets, "doc bigint, set binary"))
+    sets = hold(rows.join(_few_rows(ids), "doc", "left_semi").mapInArrow(_sets, "doc bigint, set binary"))
 
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -259,7 +255,7 @@ def alike_among(rows: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
         .where(alike("a", "b"))
         .select("u", "v")
     )
-    near = settle(near, "alike", FILES)
+    near, _ = settle_counted(near, "alike")
     for d in (pairs, ids, sets):
         let_go(d)
     return near
@@ -287,17 +283,19 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, share: float, most:
     for i in range(1, ROUNDS + 1):
         if large.isEmpty():
             break
-        parts = components(links)
+        parts = _few_rows(components(links))
         large = large.select("key", "doc", "n", "pos").join(parts, large["doc"] == parts["node"], "left")
         large = large.select("key", "doc", "n", "pos", F.coalesce("component", "doc").alias("part"))
+        large = settle(large, "large", files)
         # Keys all of whose texts are of one part are done.
-        mixed = large.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-        large = settle(large.join(mixed, "key", "left_semi"), "large", files)
         size = large.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key")
         size = size.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("c"))
-        todo, held = size.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+        mixed = hold(size.where("p > 0"))
+        todo, held = mixed.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
         if not held:
             break
+        large = settle(large.join(_few_rows(mixed.select("key")), "key", "left_semi"), "large", files)
+        let_go(mixed)
         if i == ROUNDS or todo <= TRIES * held:
             more = _dealt(large, i).mapInArrow(_cross(share), _FORM).select("u", "v")
             return links.unionByName(alike_among(rows, more, share))

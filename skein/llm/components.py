@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILES, ROWS_A_FILE, settle
+from .common import FILES, ROWS_A_FILE, settle, settle_counted
 
 
+#: Edges that one task makes stars of.
+EDGES_A_TASK = 1 << 16
 #: A node is heavy from so many edges on, or from this share of all: at most
 #: 2 / HEAVY_SHARE nodes are, whose rows are broadcast.
 HEAVY_EDGES, HEAVY_SHARE = 1000, 1 / 4096
@@ -47,25 +50,46 @@ def _star(edges: DataFrame, large: bool, heavy: int) -> DataFrame:
     return moved.where("u < v").distinct()
 
 
+def _contract(batches):
+    """Stars (u, v) that connect what a task's edges connect, u the least of each."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        path = []
+        while (up := root.get(x, x)) != x:
+            path.append(x)
+            x = up
+        for p in path:
+            root[p] = x
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    yield pa.record_batch([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], ["u", "v"])
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node v of (u, v) has one u, which is no node v itself."""
+    ends = edges.select("v", F.lit(1).alias("n"), F.lit(False).alias("root")).unionByName(edges.select(F.col("u").alias("v"), F.lit(0).alias("n"), F.lit(True).alias("root")))
+    return ends.groupBy("v").agg(F.sum("n").alias("n"), F.bool_or("root").alias("root")).where("n > 1 OR (n > 0 AND root)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of edges (u, v); component is the least node.
 
     Edges may repeat, come in either direction, or lead from a node to itself.
+    Tasks of EDGES_A_TASK edges first make stars of what they hold; if that is
+    one task, all is done.  Else stars grow together in rounds.
     """
-    now = settle(
-        edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(),
-        "edges",
-        FILES,
-    )
-    mark = _mark(now)
-    while mark[0]:
-        heavy = max(HEAVY_EDGES, int(mark[0] * HEAVY_SHARE))
-        now = settle(_star(_star(now, True, heavy), False, heavy), "edges", max(FILES, mark[0] // ROWS_A_FILE))
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
+    now, n = settle_counted(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
+    if n:
+        tasks = -(-n // EDGES_A_TASK)
+        now = settle(now.repartition(tasks).mapInArrow(_contract, "u bigint, v bigint"), "edges", max(FILES, n // ROWS_A_FILE))
+        heavy = max(HEAVY_EDGES, int(n * HEAVY_SHARE))
+        while tasks > 1 and not _is_star(now):
+            now = settle(_star(_star(now, True, heavy), False, heavy), "edges", max(FILES, n // ROWS_A_FILE))
     return now.select(F.col("v").alias("node"), F.col("u").alias("component"))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold, small_batches
+from .common import hold, small_batches, worker_cache
 from .tokens import LETTERS, Tokens
 
 #: Words of a span that counts.
@@ -170,7 +170,7 @@ def _item_spans(span: int, k: int):
 
 
 #: What this worker process needs for documents, for the benchmark used last.
-_finders: dict = {}
+_finders = worker_cache()
 
 _SPAN = pa.struct([("m", pa.int32()), ("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.list_(pa.int32()))])
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, hold, small_batches
+from .tokens import Tokens, hash_words, types_of, word_hash
 
 END = b"\n"  # no word holds white space
 SEED = 42
@@ -50,85 +51,23 @@ SHAPES = 32
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 
 
-class Tokens:
-    """All words of texts as places in their lower-cased bytes, in order."""
-
-    def __init__(self, texts: pa.Array):
-        texts = texts.fill_null("").cast(pa.large_string())
-        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
-        edges = edges - edges[0]
-        self.data = _LOWER[raw]
-        inside = np.zeros(len(raw) + 1, bool)
-        inside[:-1] = ~_BLANK[raw]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        cut = np.unique(edges[:-1])
-        first[cut] = inside[cut]  # words end with their text
-        last = inside[:-1] & ~(inside[1:] & ~first[1:])
-        self.starts, self.ends = np.flatnonzero(first[:-1]), np.flatnonzero(last) + 1
-        #: Words of each text.
-        self.n = np.diff(np.searchsorted(self.starts, edges))
-
-    def hashes(self) -> np.ndarray:
-        return hash_words(self.data, self.starts, self.ends)
-
-    def shapes(self, at: np.ndarray) -> np.ndarray:
-        """shape() of the words with these numbers."""
-        size = self.ends[at] - self.starts[at]
-        edge = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(edge, size)
-        kind = _KIND[self.data[np.repeat(self.starts[at], size) + place]]
-        if not len(at):
-            return np.zeros(0, np.int32)
-        body = np.maximum.reduceat(np.where(kind == 3, 0, place + 1), edge)
-        strange = np.add.reduceat((kind >= 2) & (place < np.repeat(body, size)), edge, dtype=np.int64)
-        beyond = np.maximum.reduceat(kind == 1, edge)
-        length = np.searchsorted([4, 7, 11], body, side="left")
-        return (length + 4 * beyond + 8 * (body < size) + 16 * ((strange > 0) | (body == 0))).astype(np.int32)
-
-
-#: Lower case of A-Z; white space; and of a byte: 0 a-z, 1 beyond ASCII, 3 an outer sign, 2 any other.
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Of a byte: 0 a-z, 1 beyond ASCII, 3 an outer sign, 2 any other.
 _KIND = np.array([1 if c >= 128 else 0 if 97 <= c <= 122 else 3 if c in b".,;:!?" else 2 for c in range(256)], np.uint8)
-#: Words are hashed as polynomials in an odd number, whose inverse moves them to their own start.
-_ODD, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
-_SEGMENT = 1 << 17
-_powers = np.ones((2, 0), np.uint64)
-
-
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if _powers.shape[1] < n:
-        base = np.array([[_ODD], [pow(_ODD, -1, 1 << 64)]], np.uint64)
-        _powers = np.cumprod(np.c_[np.ones((2, 1), np.uint64), np.repeat(base, n - 1, axis=1)], axis=1, dtype=np.uint64)
-    return _powers
-
-
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes (signed) of data[start:end] each; words follow one another."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + _SEGMENT, side="right")))
-        size = int(ends[j - 1] - low)
-        up, down = _powers_to(max(size, _SEGMENT))
-        run = np.zeros(size + 1, np.uint64)
-        np.cumsum((data[low : low + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=run[1:])
-        a, b = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (run[b] - run[a]) * down[a] + (b - a).astype(np.uint64)
-        i = j
-    for turn in (32, 29):
-        out ^= out >> np.uint64(turn)
-        out *= _MIX
-    out ^= out >> np.uint64(32)
-    return out.view(np.int64)
-
-
-def word_hash(word: bytes) -> int:
-    return int(hash_words(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+
+
+def shapes(tokens: Tokens, at: np.ndarray) -> np.ndarray:
+    """shape() of the words with these numbers."""
+    size = tokens.ends[at] - tokens.starts[at]
+    edge = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(edge, size)
+    kind = _KIND[tokens.data[np.repeat(tokens.starts[at], size) + place]]
+    if not len(at):
+        return np.zeros(0, np.int32)
+    body = np.maximum.reduceat(np.where(kind == 3, 0, place + 1), edge)
+    strange = np.add.reduceat((kind >= 2) & (place < np.repeat(body, size)), edge, dtype=np.int64)
+    beyond = np.maximum.reduceat(kind == 1, edge)
+    length = np.searchsorted([4, 7, 11], body, side="left")
+    return (length + 4 * beyond + 8 * (body < size) + 16 * ((strange > 0) | (body == 0))).astype(np.int32)
 
 
 def shape(word: bytes) -> int:
@@ -139,15 +78,6 @@ def shape(word: bytes) -> int:
     return size + 4 * (not word.isascii()) + 8 * (len(body) < len(word)) + 16 * (not _LETTERS.fullmatch(body))
 
 
-def types_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's type number, the types' hashes, and where each type is first."""
-    coded = pa.array(hashes).dictionary_encode()
-    local, types = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-    first = np.empty(len(types), np.int64)
-    first[local[::-1]] = np.arange(len(local) - 1, -1, -1)
-    return local, types, first
-
-
 # ---- counts -----------------------------------------------------------------
 
 
@@ -157,7 +87,7 @@ def _count(batches):
         texts = table.column(0).combine_chunks()
         tokens = Tokens(texts)
         local, types, first = types_of(tokens.hashes())
-        columns = np.r_[types, word_hash(END)], np.r_[tokens.shapes(first), shape(END)], np.r_[np.bincount(local, minlength=len(types)), len(texts)]
+        columns = np.r_[types, word_hash(END)], np.r_[shapes(tokens, first), shape(END)], np.r_[np.bincount(local, minlength=len(types)), len(texts)]
         yield pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, (np.int64, np.int32, np.int64), strict=True)], ["hash", "shape", "n"])
 
 
@@ -249,7 +179,7 @@ class Reading:
         has = lexicon.hashes[at] == types if len(lexicon.hashes) else np.zeros(len(types), bool)
         ids, counts = np.empty(len(types), np.int32), np.full(len(types), -1, np.int64)  # -1: not carried
         ids[has], counts[has] = lexicon.number[at[has]], lexicon.counts[at[has]]
-        ids[~has] = lexicon.words + tokens.shapes(first[~has])
+        ids[~has] = lexicon.words + shapes(tokens, first[~has])
         #: Numbers, counts and hashes of types; the last type is the end.
         self.types_ids, self.types_counts = np.r_[ids, lexicon.end].astype(np.int32), np.r_[counts, lexicon.end_count]
         self.hashes = np.r_[types, word_hash(END)]
@@ -673,9 +603,11 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     held_out: a boolean column; the model and all counts learn from the other
     rows.  Null texts are empty: the end is their one token.  Rows that repeat
-    an id are scored each; rows with null ids are trained on like others.  Without any training row every word is
-    unseen.  Scores are log10 of probabilities.  Words are told apart by 64-bit
-    hashes.
+    an id are scored each; rows with null ids are trained on like others.  Ids
+    are bigint.  Without any training row every word is unseen; no rows give no
+    rows; other columns are not looked at.  A long text is one document, however
+    long, and takes memory in proportion.  Scores are log10 of probabilities.
+    Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)

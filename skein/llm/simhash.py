@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alike import alike_links
-from .common import FILES, ROWS_A_FILE, hold, let_go, settle, small_batches
+from .common import hold, make_room, settle_counted, small_batches
 from .components import components
 
 SHINGLE = 4
@@ -218,6 +218,7 @@ def _linker(max_bits: int, check_bits: int, max_bucket: int | None):
             yield batch(0, np.concatenate(us), np.concatenate(vs))
 
     def run(batches):
+        make_room()
         held = None  # the rows of the last key so far
         large = None  # a key that goes on to the next round
         for b in batches:
@@ -264,12 +265,8 @@ def fingerprint_links(
         keyed = keyed.select("key", F.col("bit").cast("bigint"), "fp", "rep", "chk")
         # The least document of a key comes first, so keys of one group give like links.
         dealt = keyed.repartition("key").sortWithinPartitions("key", "rep")
-        found = hold(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form))
-        n = found.count()
-        # The result is small; the shuffle behind it is not, and goes with what is held.
-        kept = settle(found, "links", max(FILES, n // ROWS_A_FILE))
-        let_go(found)
-        return kept
+        # The result is small; the shuffle behind it is not, and goes with what was held.
+        return settle_counted(dealt.mapInArrow(_linker(max_bits, check_bits, limit), form), "links")[0]
 
     found = solved(_keyed(reps), max_bucket)
     links = found.where("kind = 0").select("u", "v")
@@ -314,21 +311,22 @@ def near_components(
             rows.join(reps, "fp").where("rep < doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
         )
     # A repeated id with two texts connects their fingerprints.
-    twice = (
+    twice = hold(
         rows.where("doc_id IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
         .where("lo != hi")
         .select("doc_id")
     )
-    twice = (
-        rows.join(twice, "doc_id", "left_semi")
-        .join(reps, "fp")
-        .groupBy("doc_id")
-        .agg(F.min("rep").alias("u"), F.collect_set("rep").alias("all"))
-        .select("u", F.explode("all").alias("v"))
-    )
-    parts = components(links.unionByName(twice))
+    if not twice.isEmpty():
+        ends = (
+            rows.join(twice, "doc_id", "left_semi")
+            .join(reps, "fp")
+            .groupBy("doc_id")
+            .agg(F.min("rep").alias("u"), F.collect_set("rep").alias("all"))
+        )
+        links = links.unionByName(ends.select("u", F.explode("all").alias("v")))
+    parts = components(links)
     # As an expression the fingerprint is dealt out anew for the last join; a
     # join of its own two exchanges can split a fingerprint that many rows have.
     named = reps.join(parts, reps["rep"] == parts["node"], "left").select(
