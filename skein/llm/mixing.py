@@ -126,9 +126,12 @@ def mix(
     longest run of first rows that fits what is left.  budget is that of the
     whole mix, by default as many tokens as docs have.  Null languages, sources
     and ids are names of their own; null texts have no tokens.  Rows that tie
-    in the order are taken in the order of their tokens.  No rows give no rows.
+    in the order are taken in the order of their tokens; rows without an id are
+    ordered by a hash of their texts.  No rows give no rows; other columns are
+    not looked at.  More than MOST_LEAVES leaves are an error.
     """
     spark = docs.sparkSession
+    ids = dict(docs.dtypes)[id_col] == "bigint"
     domain = default_domain(F.col(source_col)) if domain is None else domain
     rows = hold(
         docs.select(
@@ -137,6 +140,7 @@ def mix(
             F.col(lang_col).alias("lang"),
             F.col(source_col).alias("source"),
             F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("n_tokens"),
+            F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("alias"),
         )
     )
     found = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).limit(MOST_LEAVES + 1).collect()
@@ -162,7 +166,8 @@ def mix(
     bits = (BINS - 1).bit_length()
     placed = (
         rows.join(plan, same)
-        .withColumn("at", F.xxhash64(F.lit(seed), "epochs", "doc_id"))
+        # Rows without an id are ordered by their texts, so that they do not share a bin.
+        .withColumn("at", F.xxhash64(F.lit(seed), "epochs", F.coalesce("doc_id", "alias") if ids else F.col("doc_id")))
         .withColumn("bin", F.shiftrightunsigned("at", 64 - bits).cast("int"))
         .withColumn("fine", (F.shiftrightunsigned("at", 64 - 2 * bits) % BINS).cast("int"))
     )
