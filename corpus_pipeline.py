@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import settle
+from skein.llm.common import kept_now, release, settle
 from skein.llm.decontaminate import drop_contaminated
 from skein.llm.exact_dedup import drop_exact_copies
 from skein.llm.mixing import mix
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a table before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = kept_now()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = settle(docs, name)
+            release(spark, before, but=docs)  # the stage is done; its table alone is read on
     return docs
