@@ -35,6 +35,8 @@ WORD_CLASSES = 32
 CARRIED = 1 << 19
 HIDDEN = 16
 LANES, WINDOW = 256, 32
+#: Windows of a stream at least: a short one is cut into fewer lanes, for as many steps.
+LEAST_WINDOWS = 16
 #: Each training document is in one of so many rounds, and passed over once there.
 ROUNDS = 2
 #: About so many tokens make a copy in a round, at every size of the corpus.
@@ -314,8 +316,8 @@ def first_model(lexicon: Lexicon, hidden: int = HIDDEN) -> Gru:
 class Trainer:
     """Truncated backpropagation over parallel lanes, with Adam steps."""
 
-    def __init__(self, model: Gru, lexicon: Lexicon, rate: float = RATE, lanes: int = LANES, window: int = WINDOW):
-        self.model, self.lexicon, self.rate, self.lanes, self.window = model, lexicon, rate, lanes, window
+    def __init__(self, model: Gru, lexicon: Lexicon, rate: float = RATE, lanes: int = LANES, window: int = WINDOW, windows: int = 1):
+        self.model, self.lexicon, self.rate, self.lanes, self.window, self.windows = model, lexicon, rate, lanes, window, windows
         self.m, self.v = np.zeros_like(model.flat), np.zeros_like(model.flat)
         self.grad = model.like(self.m)
         self.steps = 0
@@ -326,7 +328,7 @@ class Trainer:
         The stream is cut into lanes.  A lane's state goes on from window to
         window, and starts anew after an end.
         """
-        lanes = max(1, min(self.lanes, len(ids) // self.window))
+        lanes = max(1, min(self.lanes, len(ids) // (self.window * self.windows)))
         n = len(ids) // lanes
         stream = ids[: lanes * n].reshape(lanes, n)
         before = np.c_[np.full((lanes, 1), self.lexicon.end), stream[:, :-1]]
@@ -465,7 +467,7 @@ def _copies(book, weights, rate: float):
     def run(batches):
         lexicon, (hidden, flat) = book.value, weights.value
         model = Gru(lexicon.words, lexicon.starts, lexicon.classes, hidden, flat)
-        trainer, tokens = Trainer(model, lexicon, rate), 0
+        trainer, tokens = Trainer(model, lexicon, rate, windows=LEAST_WINDOWS), 0
         for table in _buffers(batches):
             ids = Reading(lexicon, table.column(0).combine_chunks()).ids
             trainer.run(ids)
