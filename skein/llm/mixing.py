@@ -48,10 +48,10 @@ def share_out(budget: float, children: list[tuple[float, float]]) -> list[float]
     open_ = [i for i, (w, c) in enumerate(children) if w > 0 and c > 0]
     while open_ and budget > 0:
         total = sum(children[i][0] for i in open_)
-        full = [i for i in open_ if budget * children[i][0] / total >= children[i][1]]
+        full = [i for i in open_ if budget * (children[i][0] / total) >= children[i][1]]
         if not full:
             for i in open_:
-                out[i] = budget * children[i][0] / total
+                out[i] = budget * (children[i][0] / total)
             break
         for i in full:
             out[i] = children[i][1]
