@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions import text as X
 from skein.functions.dates import age_hours
 from skein.functions.urls import normalize_url, registered_domain
 
@@ -54,8 +55,11 @@ def not_stale(items: DataFrame, hours: float, age: Column) -> DataFrame:
 
 
 def first_pattern(text: Column, patterns: list[str]) -> Column:
-    """The first pattern that a text matches, whatever the case; else null."""
-    return F.coalesce(*[F.when(text.rlike(f"(?i){p}"), F.lit(p)) for p in patterns], F.lit(None).cast("string"))
+    """The first pattern that a text matches, whatever the case; else null.
+
+    \\b borders words of ASCII, as it does in RE2.
+    """
+    return F.coalesce(*[F.when(text.rlike(f"(?iu){X.ascii_borders(p)}"), F.lit(p)) for p in patterns], F.lit(None).cast("string"))
 
 
 def latest(rows: DataFrame, key: list[str], time: str, seq: str) -> DataFrame:
