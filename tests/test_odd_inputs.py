@@ -19,3 +19,8 @@ def _both(spark, tmp_path, name):
 def test_exclude_pattern_counts_with_letters_beyond_ascii(spark, tmp_path):
     got, want = _both(spark, tmp_path, "exclude_pattern_counts")
     assert got == want and dict(got)["^in\\b"] == 3
+
+
+def test_exclude_patterns_with_letters_beyond_ascii(spark, tmp_path):
+    got, want = _both(spark, tmp_path, "exclude_patterns")
+    assert got == want and (0,) not in got and (5,) not in got and (99,) in got
