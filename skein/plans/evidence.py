@@ -164,7 +164,7 @@ def _suite(spark, sf):
         E.offer_gate(a.withColumn("facts", F.lit("soon")), "doc_id", "body", "facts", ["tion of"]),
         E.completeness_gate(a.withColumn("facts", F.lit("all")), "doc_id", "body", "facts", ["all", "every", "the"]),
         G.found_gate(T.repeated_tokens(a, "doc_id", plain._words("body"), 20), "doc_id", "repeated facts", F.col("token")),
-        G.found_gate(T.near_duplicate_sentences(sents, "doc_id", plain.STOP), "doc_id", "near duplicates", F.concat_ws("-", "first_pos", "pos")),
+        G.found_gate(T.near_duplicate_sentences(a, "doc_id", F.col("body"), plain.STOP), "doc_id", "near duplicates", F.concat_ws("-", "first_pos", "pos")),
         G.found_gate(T.dangling(sents, "doc_id", ["this", "these", "the"]), "doc_id", "dangling", F.col("pos")),
         G.found_gate(T.opener_counts(sents, "doc_id", OPENER, 1), "doc_id", "openers", F.col("opener")),
         G.sections_gate(rows, "doc_id", F.length("line") < 60, ["tion of the"]),

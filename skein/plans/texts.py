@@ -74,7 +74,7 @@ def most_copied_sentences(spark, sf):
 
 
 def near_duplicate_sentences(spark, sf):
-    return T.near_duplicate_sentences(_sents(spark, sf), "doc_id", STOP)
+    return T.near_duplicate_sentences(table(spark, sf, "documents"), "doc_id", F.col("text"), STOP)
 
 
 def repeated_tokens(spark, sf):
