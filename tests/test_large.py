@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from skein.operators import texts
+from skein.functions import articles
+from skein.operators import claims, texts
 from skein.plans import registry
 
 
@@ -20,3 +21,21 @@ def test_near_duplicate_sentences_of_one_text(spark):
     df = spark.createDataFrame([(1, "\n".join(tens)), (2, ""), (3, None), (None, "a same line here\na same line here")], "id int, text string")
     got = {(r["id"], r["pos"], r["first_pos"]) for r in texts.near_duplicate_sentences(df, "id", F.col("text"), []).collect()}
     assert got == {(1, 2, 0), (1, 3, 0), (1, 4, 1), (1, 5, 0)}
+
+
+def test_versions_of_a_fact_need_no_group_in_python(spark):
+    rows = [(1, "u", "3 units"), (2, "u2", "3 units"), (2, "u1", "about 3 units"), (3, "b", "4"), (3, "a", "5"), (4, "a", "1"), (4, "b", "2 and 3"), (4, "c", "2 and 3"), (5, None, None), (5, "x", "7"), (6, "a", "1"), (6, "b", "2"), (6, "c", "3")]
+    df = claims.resolve_versions(spark.createDataFrame(rows, "f bigint, source_url string, value string"), "f")
+    assert "FlatMapGroups" not in _plan(df)
+    got = sorted((r["f"], r["source_url"] or "", r["part"]) for r in df.collect())
+    assert got == [(1, "u", 0), (2, "u1", 0), (2, "u2", 0), (3, "a", 0), (3, "b", 1), (4, "b", 0), (4, "c", 0), (5, "", 0), (5, "x", 0), (6, "a", 0), (6, "b", 1), (6, "c", 2)]
+
+
+def test_flagged_sentences_are_dropped_once_an_article(spark, sf_dir):
+    assert _plan(registry.queries()["drop_flagged_sentences"](spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
+def test_flagged_sentences_in_other_letters():
+    for s in ("Zoë’s café it’s", "ZOES' CAFE its", "zoë café's its", "«Zoë–cafe»: it's"):
+        kept = articles.drop_flagged(f"One. {s}. Two. Three. Four.", ["Zoe café its"])
+        assert kept == ("One. Two. Three. Four." if "zoe cafe its" in articles.matching_form(s) else f"One. {s}. Two. Three. Four.")
