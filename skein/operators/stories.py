@@ -57,9 +57,9 @@ def not_stale(items: DataFrame, hours: float, age: Column) -> DataFrame:
 def first_pattern(text: Column, patterns: list[str]) -> Column:
     """The first pattern that a text matches, whatever the case; else null.
 
-    \\b borders words of ASCII, as it does in RE2.
+    Borders of words and letters of another case are those of RE2.
     """
-    return F.coalesce(*[F.when(text.rlike(f"(?iu){X.ascii_borders(p)}"), F.lit(p)) for p in patterns], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(text.rlike(f"(?iu){X.as_re2(p)}"), F.lit(p)) for p in patterns], F.lit(None).cast("string"))
 
 
 def latest(rows: DataFrame, key: list[str], time: str, seq: str) -> DataFrame:
