@@ -71,6 +71,11 @@ def test_gates_shuffle_no_text(spark, sf_dir):
             assert not any(c in row.split("hashpartitioning(")[1].split(")")[0] for c in ("token", "sentence", "lower", "text"))
 
 
+def test_gate_failures_needs_no_sorted_sentences(spark, sf_dir):
+    plan = registry.queries()["gate_failures"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
+
+
 def test_grams_by_row_are_counted_as_over_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(30).select(
         (F.hash("item_id") - 10**10).alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("bigint").alias("n_chars")))
