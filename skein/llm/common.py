@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,7 @@ def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(path)
     _written.append(path)
+    give_back_in_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -195,6 +197,26 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_in_driver(spark: SparkSession) -> bool:
+    """give_back() for the driver's JVM; whether it could, as only some JVMs can (Linux, 17.0.9 and later).
+
+    Planning and compiling in hundreds of threads leave freed native memory in
+    as many arenas of the C library, which keeps it otherwise.
+    """
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # By the interface, as the server's own class is not exported.
+        methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+        invoke = next(m for m in methods if m.getName() == "invoke")
+        args = new_array(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def fit_in_a_task(rows: DataFrame, fit) -> bytes:
     """fit(list of rows as tuples) as pickled bytes; it runs in one task, so rows must be bounded."""
 
@@ -206,4 +228,5 @@ def fit_in_a_task(rows: DataFrame, fit) -> bytes:
         yield pa.record_batch([pa.array([model], pa.binary())], ["model"])
 
     got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    give_back_in_driver(rows.sparkSession)
     return bytes(got[0]) if got else pickle.dumps(fit([]))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hold
+from .common import give_back_in_driver, hold
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of nodes by level; a node that is not named weighs 1.
@@ -84,26 +84,44 @@ def leaf_budgets(leaves: dict[tuple, int], budget: float, weights: dict, max_epo
     return out
 
 
-def _leaf(tag: str) -> Column:
-    """Whether a row's leaf is that of a table that _ends() named by tag."""
-    a, b, c = (F.col(x).eqNullSafe(F.col(f"{tag}_{x}")) for x in LEVELS)
-    return a & b & c
+def _placed(rows: DataFrame, plan: dict[tuple, list], order_id: Column, seed: int) -> DataFrame:
+    """rows with what plan has for their leaf (_PLAN), and the bin and fine bin of their order key.
+
+    plan has a row a leaf, of which there are MOST_LEAVES at most.
+    """
+    names = [f"p_{x}" for x in LEVELS]
+    held = rows.sparkSession.createDataFrame([(*path, *of) for path, of in plan.items()], ", ".join(f"{n} string" for n in names) + ", " + _PLAN)
+    a, b, c = (F.col(x).eqNullSafe(F.col(n)) for x, n in zip(LEVELS, names, strict=True))
+    bits = (BINS - 1).bit_length()
+    return (
+        rows.join(F.broadcast(held), a & b & c)
+        .withColumn("at", F.xxhash64(F.lit(seed), "epochs", order_id))
+        .withColumn("bin", F.shiftrightunsigned("at", 64 - bits).cast("int"))
+        .withColumn("fine", (F.shiftrightunsigned("at", 64 - 2 * bits) % BINS).cast("int"))
+    )
+
+
+#: Of a leaf: whole epochs, tokens of the one more that is not whole; the bin and
+#: the finer bin in which these end, null if they are all, and the tokens before.
+_PLAN = "epochs bigint, rest bigint, end_bin int, end_fine int, before bigint"
 
 
-def _ends(rows: DataFrame, bins: str, end: str, before: str) -> DataFrame:
+def _ends(rows: DataFrame, bins: str) -> list[tuple[tuple, int, int]]:
     """For each leaf the bin in which its tokens pass its rest, and the tokens before that bin.
 
-    base is what comes before the first bin.  A leaf has BINS sums at most.
+    before is what comes before the first bin.  A leaf has BINS sums at most,
+    which stay where they are; a row a leaf comes to the driver.
     """
     running = Window.partitionBy(*LEVELS).orderBy(bins)
-    return (
+    found = (
         rows.groupBy(*LEVELS, bins)
-        .agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("rest"), F.max("base").alias("base"))
-        .withColumn("up_to", F.col("base") + F.sum("held").over(running))
+        .agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        .withColumn("up_to", F.col("before") + F.sum("held").over(running))
         .where(F.col("up_to") > F.col("rest"))
-        .groupBy(*[F.col(x).alias(f"{end}_{x}") for x in LEVELS])
-        .agg(F.min(bins).alias(end), F.min_by(F.col("up_to") - F.col("held"), bins).alias(before))
+        .groupBy(*LEVELS)
+        .agg(F.min(bins).alias("end"), F.min_by(F.col("up_to") - F.col("held"), bins).alias("before"))
     )
+    return [(tuple(r)[:3], r["end"], r["before"]) for r in found.collect()]
 
 
 def mix(
@@ -150,46 +168,30 @@ def mix(
     if budget is None:
         budget = sum(leaves.values())
     given = leaf_budgets(leaves, budget, WEIGHTS if weights is None else weights, max_epochs)
-    plan = []
+    plan = {}
     for path, n in leaves.items():
         whole = int(given[path] // n) if n else 0
-        plan.append((*path, whole, int(given[path] - whole * n)))
-    # One row a leaf, of which there are MOST_LEAVES at most.
-    plan = F.broadcast(
-        spark.createDataFrame(plan, "p_domain string, p_lang string, p_source string, epochs bigint, rest bigint")
-    )
-    same = (
-        F.col("domain").eqNullSafe(F.col("p_domain"))
-        & F.col("lang").eqNullSafe(F.col("p_lang"))
-        & F.col("source").eqNullSafe(F.col("p_source"))
-    )
-    bits = (BINS - 1).bit_length()
-    placed = (
-        rows.join(plan, same)
-        # Rows without an id are ordered by their texts, so that they do not share a bin.
-        .withColumn("at", F.xxhash64(F.lit(seed), "epochs", F.coalesce("doc_id", "alias") if ids else F.col("doc_id")))
-        .withColumn("bin", F.shiftrightunsigned("at", 64 - bits).cast("int"))
-        .withColumn("fine", (F.shiftrightunsigned("at", 64 - 2 * bits) % BINS).cast("int"))
-    )
-    # The bin in which the rest ends, then the finer bin within it.  As many
-    # rows as leaves, again.
-    placed = placed.join(F.broadcast(_ends(placed.withColumn("base", F.lit(0).cast("bigint")), "bin", "end_bin", "bin_base")), _leaf("end_bin"), "left")
-    inside = placed.where(F.col("bin") == F.col("end_bin")).withColumn("base", F.col("bin_base"))
-    placed = placed.join(F.broadcast(_ends(inside, "fine", "end_fine", "before")), _leaf("end_fine"), "left")
+        plan[path] = [whole, int(given[path] - whole * n), None, None, 0]
+    # Rows without an id are ordered by their texts, so that they do not share a bin.
+    order_id = F.coalesce("doc_id", "alias") if ids else F.col("doc_id")
+    # The bin in which the rest ends, then the finer bin within it.  Each is found
+    # by a query of its own, so that no plan holds the others' several times.
+    for path, end, before in _ends(_placed(rows, plan, order_id, seed), "bin"):
+        plan[path][2], plan[path][4] = end, before
+    for path, end, before in _ends(_placed(rows, plan, order_id, seed).where("bin = end_bin"), "fine"):
+        plan[path][3], plan[path][4] = end, before
+    give_back_in_driver(spark)
+    placed = _placed(rows, plan, order_id, seed)
     cols = ["doc_id", *LEVELS, "n_tokens"]
-    place = F.struct("bin", "fine")
-    end = F.struct(F.col("end_bin").alias("bin"), F.col("end_fine").alias("fine"))
     # Without an end the rest covers the leaf, which then has no tokens at all.
-    within = placed.where((place < end) | F.col("end_bin").isNull())
-    beyond = placed.where(F.col("end_bin").isNotNull() & (place > end))
+    last = F.col("end_bin").isNotNull() & (F.col("bin") == F.col("end_bin")) & (F.col("fine") == F.col("end_fine"))
+    taken = F.col("end_bin").isNull() | (F.struct("bin", "fine") < F.struct(F.col("end_bin").alias("bin"), F.col("end_fine").alias("fine")))
     order = Window.partitionBy(*LEVELS).orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    border = placed.where(F.col("end_bin").isNotNull() & (place == end)).withColumn("run", F.col("before") + F.sum("n_tokens").over(order))
+    border = placed.where(last).withColumn("run", F.col("before") + F.sum("n_tokens").over(order))
     return (
-        within.select(*cols, (F.col("epochs") + 1).alias("copies"))
-        .unionByName(beyond.select(*cols, F.col("epochs").alias("copies")))
-        .unionByName(
-            border.select(*cols, (F.col("epochs") + (F.col("run") <= F.col("rest")).cast("bigint")).alias("copies"))
-        )
+        placed.where(~last)
+        .select(*cols, (F.col("epochs") + taken.cast("bigint")).alias("copies"))
+        .unionByName(border.select(*cols, (F.col("epochs") + (F.col("run") <= F.col("rest")).cast("bigint")).alias("copies")))
     )
 
 
