@@ -7,7 +7,8 @@ order, and what meets is compared in full.  Nothing is estimated.
 
 Under an element that many texts share, texts are compared with one of them
 first.  What is then linked need not be compared again; of all others each
-pair is.
+pair is, by bitmaps of the sets that tell for most pairs that they differ in
+too much.  The rest is compared in full, each text with its nearest first.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SMALL = 24
 TRIES, ROUNDS = 4, 4
 #: Rows of ids or keys up to which they go to every task.
 BROADCAST_IDS = 1 << 20
+#: Bits of a text's bitmap: four for each of its shingles, so many at least and at most.
+LEAST_BITS, MOST_BITS = 256, 8192
 _BLOCK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = ["kind", "u", "v", "key", "n", "pos", "part"]
@@ -194,43 +197,112 @@ def _meet(share: float, most: int):
     return run
 
 
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A bitmap of each set: a bit says whether an odd number of elements falls on it.
+
+    Two bitmaps differ in as many bits as the sets in elements, or in fewer.  The
+    halves of a bitmap make the one of half the size.
+    """
+    out = []
+    for s in sets:
+        bits = 1 << (min(max(4 * len(s), LEAST_BITS), MOST_BITS).bit_length() - 1)
+        odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64))
+    return out
+
+
+def _bitmaps(batches):
+    for b in batches:
+        sets = shingle_sets(b.column(1))
+        maps = pa.array([m.tobytes() for m in parities(sets)], pa.binary())
+        yield pa.record_batch([b.column(0), pa.array(list(map(len, sets)), pa.int64()), maps], ["doc", "n", "map"])
+
+
+def _folded(maps: list[np.ndarray], words: int) -> np.ndarray:
+    """The bitmaps as rows of so many words; smaller ones are left out, their rows are 0."""
+    out = np.zeros((len(maps), words), np.uint64)
+    for i, m in enumerate(maps):
+        if len(m) >= words:
+            out[i] = np.bitwise_xor.reduce(m.reshape(-1, words), axis=0)
+    return out
+
+
 def _cross(share: float):
-    """Over rows as of _meet: all pairs under a key that are of two parts."""
+    """Over rows as of _meet and their bitmaps: all pairs under a key that are of two parts and can be alike.
 
-    def solve(_, doc, n, pos, part):
+    Gives (u, v, far): in how much they differ at least, in thousandths of all they have.
+    """
+
+    def solve(_, doc, n, pos, part, maps):
+        words = np.array([len(m) for m in maps])
+        folded = {w: _folded(maps, w) for w in np.unique(words).tolist()}
         step = max(1, _BLOCK // len(doc))
         for at in range(0, len(doc), step):
             a = slice(at, at + step)
             ok = (part[a, None] != part) & _can_be(n[a, None], pos[a, None], n, pos, share)
             ok &= np.arange(len(doc)) > np.arange(len(doc))[a, None]
             i, j = np.nonzero(ok)
-            if len(i):
-                yield _batch(0, doc[at + i], doc[j])
+            i += at
+            less = np.minimum(words[i], words[j])
+            for w, table in folded.items():
+                of = np.flatnonzero(less == w)
+                for some in np.split(of, range(_BLOCK // w, len(of), _BLOCK // w)):
+                    x, y = i[some], j[some]
+                    differ = np.bitwise_count(table[x] ^ table[y]).sum(1, dtype=np.int64)
+                    both = np.ceil(share / (1 + share) * (n[x] + n[y]) - 1e-9)
+                    near = differ <= n[x] + n[y] - 2 * both
+                    if near.any():
+                        x, y, differ = x[near], y[near], differ[near]
+                        far = 1000 * differ // (n[x] + n[y])
+                        yield pa.record_batch([pa.array(c) for c in (np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), far)], ["u", "v", "far"])
 
     def run(batches):
+        make_room()
         held = []
         for b in batches:
             cols = [np.asarray(b.column(i)) for i in range(5)]
+            maps = np.empty(len(cols[0]), object)
+            maps[:] = [np.frombuffer(m.as_buffer(), np.uint64) for m in b.column(5)]
             edge = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]) if len(cols[0]) else []
             for at, end in zip(edge, [*edge[1:], len(cols[0])], strict=True):
                 if held and held[0][0][0] != cols[0][at]:
                     yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
-                held.append([c[at:end] for c in cols])
+                held.append([c[at:end] for c in (*cols, maps)])
         if held:
             yield from solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
+def _crossing(rows: DataFrame, large: DataFrame, salt: int, share: float) -> DataFrame:
+    """(u, v, far): pairs of two parts under the keys of large that can be alike by their bitmaps."""
+    ids = _few_rows(large.select("doc").distinct())
+    maps = rows.join(ids, "doc", "left_semi").mapInArrow(_bitmaps, "doc bigint, n bigint, map binary")
+    met = _dealt(large.join(maps, ["doc", "n"]), salt, "map").mapInArrow(_cross(share), "u bigint, v bigint, far bigint")
+    return met.where("u < v").groupBy("u", "v").agg(F.min("far").alias("far"))
+
+
+def _nearest_first(rows: DataFrame, pairs: DataFrame, links: DataFrame, share: float) -> DataFrame:
+    """links and those that pairs (u, v, far) add: each text is compared with its nearest, then what is still of two parts."""
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("u").alias("doc"), "v", "far"), F.struct(F.col("v").alias("doc"), F.col("u").alias("v"), "far"))))
+    nearest = ends.groupBy("doc").agg(F.min(F.struct("far", "v")).alias("least")).select(F.col("doc").alias("u"), "least.v")
+    links = links.unionByName(alike_among(rows, nearest, share))
+    parts = _few_rows(components(links))
+    for end in ("u", "v"):
+        part = parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
+        pairs = pairs.join(part, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+    return links.unionByName(alike_among(rows, pairs.where("part_u != part_v"), share))
+
+
 def _few_rows(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has few rows; each is a number or two."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _dealt(rows: DataFrame, salt: int) -> DataFrame:
+def _dealt(rows: DataFrame, salt: int, *more: str) -> DataFrame:
     """Rows by key, those of a key in an order of chance."""
-    rows = rows.select("key", "doc", "n", "pos", "part")
+    rows = rows.select("key", "doc", "n", "pos", "part", *more)
     return rows.repartition("key").sortWithinPartitions("key", F.xxhash64(F.lit(salt), "key", "doc"))
 
 
@@ -297,8 +369,7 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, share: float, most:
         large = settle(large.join(_few_rows(mixed.select("key")), "key", "left_semi"), "large", files)
         let_go(mixed)
         if i == ROUNDS or todo <= TRIES * held:
-            more = _dealt(large, i).mapInArrow(_cross(share), _FORM).select("u", "v")
-            return links.unionByName(alike_among(rows, more, share))
+            return _nearest_first(rows, settle_counted(_crossing(rows, large, i, share), "crossing")[0], links, share)
         more = _few(_dealt(large, i).mapInArrow(_meet(share, 0), _FORM))
         links = links.unionByName(alike_among(rows, more, share))
     return links

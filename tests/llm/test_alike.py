@@ -74,3 +74,42 @@ def test_near_dedup_keeps_texts_of_like_words_below_the_threshold(spark):
     alone = {i for i, f in enumerate(fps) if all(i == j or (f ^ g).bit_count() > 4 for j, g in enumerate(fps))}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert alone and alone <= {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+
+
+def test_texts_below_the_threshold_are_not_compared_in_pairs(spark, monkeypatch):
+    """Copies of one text, each changed in its own places: all share keys, few are alike."""
+    dice = np.random.default_rng(5)
+    words = [f"w{x}" for x in range(150)]
+    rows = []
+    for i in range(150):
+        new = list(words)
+        for at in dice.choice(150, 2 if i % 10 == 0 else 3, replace=False):
+            new[at] = f"v{i}_{at}"
+        rows.append((i, " ".join(new)))
+    near = {(i, j) for i, a in rows for j, b in rows if i < j and jaccard(a, b) >= 0.8}
+    compared = []
+    among = alike.alike_among
+
+    def counted(rows, pairs, share):
+        compared.append(pairs.count())
+        return among(rows, pairs, share)
+
+    monkeypatch.setattr(alike, "alike_among", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    links = alike.alike_links(docs, "doc_id", "text", 0.8)
+    assert {(r["u"], r["v"]) for r in links.collect()} <= near
+    groups = lambda pairs: {r["node"]: r["component"] for r in components(pairs).collect()}
+    assert groups(links) == groups(spark.createDataFrame(sorted(near), "u bigint, v bigint"))
+    assert sum(compared) < 2500, compared  # there are 11,175 pairs
+
+
+def test_bitmaps_differ_in_no_more_than_their_sets():
+    dice = np.random.default_rng(8)
+    for n in (1, 30, 70, 300, 1500, 9000):
+        a = np.unique(dice.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.r_[a[n // 9 :], dice.integers(0, 1 << 62, n // 3).astype(np.uint64)])
+        maps = alike.parities([a, b])
+        w = min(map(len, maps))
+        x, y = alike._folded(maps, w)
+        assert all((alike._folded(alike.parities([s]), w)[0] == m).all() for s, m in ((a, x), (b, y)))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
